@@ -215,12 +215,14 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str]
     keep = keep or ["doc_id"]
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    place = keep.index(text_col) if text_col in keep else len(keep)
+    extra = [] if text_col in keep else [F.col(text_col)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         langs, limits = shared.value.langs, shared.value.limits
         for batch in slices(batches):
-            texts = batch.column(batch.num_columns - 1).to_pylist()
+            texts = batch.column(place).to_pylist()
             bits = scorer.entropies(texts) if langs else np.full((len(texts), 1), np.nan)
             sure = ~np.isnan(bits[:, 0])
             best = np.where(sure, np.argmin(np.where(np.isnan(bits), np.inf, bits), axis=1), 0)
@@ -229,11 +231,11 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str]
             names = [langs[b] if s else UNKNOWN for b, s in zip(best, sure, strict=True)]
             out = [bool(not s or x > limits.get(n, np.inf)) for s, x, n in zip(sure, least, names, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(names), pa.array(share), pa.array([float(x) if s else None for x, s in zip(least, sure, strict=True)], pa.float64()), pa.array(out)],
+                [*batch.columns[: len(keep)], pa.array(names), pa.array(share), pa.array([float(x) if s else None for x, s in zip(least, sure, strict=True)], pa.float64()), pa.array(out)],
                 names=[*keep, "lang_pred", "score", "bits", "rejected"],
             )
 
-    return docs.select(*keep, F.col(text_col).alias("_text")).mapInArrow(run, f"{kinds}, lang_pred string, score double, bits double, rejected boolean")
+    return docs.select(*keep, *extra).mapInArrow(run, f"{kinds}, lang_pred string, score double, bits double, rejected boolean")
 
 
 def fold(doc_id: Column) -> Column:
@@ -254,5 +256,4 @@ def identify(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
 def keep_identified(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """The rows of docs whose text is in one of the learned languages: not without letters, not beyond its language's limit."""
     model = train(docs.where(fold(F.col("doc_id")) != 0), sample_docs)
-    found = score(docs, model, keep=docs.columns if "text" in docs.columns else None)
-    return found.where(~F.col("rejected")).select(*docs.columns)
+    return score(docs, model, keep=docs.columns).where(~F.col("rejected")).select(*docs.columns)

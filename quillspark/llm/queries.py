@@ -14,6 +14,8 @@ from quillspark.llm.decontaminate import contamination
 from quillspark.llm.langid import identify
 from quillspark.llm.media import text_media
 from quillspark.llm.packing import pack, token_pieces
+from quillspark.llm.pagediff import extract
+from quillspark.llm.sentences import drop_repeated_sentences
 from quillspark.llm.simhash import hex64, near_duplicates
 from quillspark.llm.suffixes import remove_repeats
 from quillspark.llm.urlrules import judge
@@ -47,11 +49,21 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), ((hit > 0) & (20 * hit >= F.col("n_words"))).alias("contaminated"))
 
 
+def op5_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of pages."""
+    return extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Languages of documents, learned from four folds of five."""
     return identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op7_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of documents without repeated runs of sentences."""
+    return drop_repeated_sentences(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_sentences", "n_removed", "n_spans")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash near-duplicate classes of documents."""
     found = near_duplicates(table(spark, sf_dir, "documents"))
@@ -77,7 +89,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op3_media": op3_media,
     "op4_decontaminate": op4_decontaminate,
+    "op5_page_text": op5_page_text,
     "op6_language": op6_language,
+    "op7_sentence_spans": op7_sentence_spans,
     "op8_simhash": op8_simhash,
     "op9_chat": op9_chat,
     "op10_url_rules": op10_url_rules,
