@@ -15,16 +15,17 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import lower_ascii
+from quillspark.llm.common import settle
 
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WINDOW = 13
-#: Test terms and the item words beside them are broadcast in blocks of at most this many words.
-BLOCK_WORDS = 400_000
+#: The benchmark is searched in blocks of about this many words: a block's terms go into the plan, its items are broadcast.
+BLOCK_WORDS = 50_000
 
 
 def words(text: Column) -> Column:
     """Words of a text between two empty strings: the second one's place is the number of words and one."""
-    return F.split(F.concat(F.lit(" "), lower_ascii(F.coalesce(text, F.lit(""))), F.lit(" ")), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    return F.split(F.concat(F.lit(" "), F.translate(F.coalesce(text, F.lit("")), UPPER, UPPER.lower()), F.lit(" ")), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
 def item_words(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -33,10 +34,10 @@ def item_words(items: DataFrame, id_col: str = "item_id", text_col: str = "text"
     return items.select(F.col(id_col).alias("item_id"), F.slice(found, F.lit(2), F.size(found) - 2).alias("item")).where(F.size("item") > 0)
 
 
-def term_counts(docs: DataFrame, terms: DataFrame, text_col: str = "text") -> DataFrame:
-    """(term, n): occurrences in all documents of the given terms, which must be few enough to broadcast."""
-    said = docs.select(F.explode(words(F.col(text_col))).alias("term"))
-    return said.join(F.broadcast(terms), "term").groupBy("term").agg(F.count("*").alias("n"))
+def term_counts(docs: DataFrame, terms: list[str], text_col: str = "text") -> DataFrame:
+    """(term, n): occurrences of the terms in all documents."""
+    said = F.filter(words(F.col(text_col)), lambda w: w.isin(terms))
+    return docs.select(F.explode_outer(said).alias("term")).where("term IS NOT NULL").groupBy("term").agg(F.count("*").alias("n"))
 
 
 def rarest_anchors(items: DataFrame, counts: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -48,22 +49,27 @@ def rarest_anchors(items: DataFrame, counts: DataFrame, window: int = WINDOW) ->
     return ranked.select("item_id", "item", F.explode(F.array_distinct(rarest)).alias("a")).select("item_id", "item", "a.at", "a.term")
 
 
-def postings(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text", around: int = WINDOW - 1) -> DataFrame:
-    """The index: (doc_id, pos, left, right and the columns of terms) for each occurrence of a term.
+def postings(docs: DataFrame, terms: list[str], id_col: str = "doc_id", text_col: str = "text", around: int = WINDOW - 1) -> DataFrame:
+    """The index: (doc_id, n_words, pos, term, left, right) for each occurrence of a term.
 
     `left` holds up to `around` words before it, nearest first, `right` those after it.
-    The empty term stands once in each document, after its last word.  `terms` is broadcast.
+    A document without any has one row with null pos.
     """
     every = docs.select(F.col(id_col).alias("doc_id"), words(F.col(text_col)).alias("said"))
-    each = every.select("doc_id", "said", F.posexplode("said").alias("pos", "term")).where("pos > 0")
-    before = F.greatest(F.col("pos") - around + 1, F.lit(2))
-    return each.join(F.broadcast(terms), "term").select(
-        "doc_id",
-        "pos",
-        *[c for c in terms.columns],
-        F.reverse(F.slice("said", before, F.greatest(F.col("pos") + 1 - before, F.lit(0)))).alias("left"),
-        F.slice("said", F.col("pos") + 2, F.lit(around)).alias("right"),
-    )
+    said = F.col("said")
+    places = F.filter(F.sequence(F.lit(1), F.size(said) - 1), lambda i: said[i].isin(terms))
+
+    def posting(i: Column) -> Column:
+        before = F.greatest(i - around + 1, F.lit(2))
+        return F.struct(
+            i.alias("pos"),
+            said[i].alias("term"),
+            F.reverse(F.slice(said, before, F.greatest(i + 1 - before, F.lit(0)))).alias("left"),
+            F.slice(said, i + 2, F.greatest(F.least(F.lit(around), F.size(said) - i - 2), F.lit(0))).alias("right"),
+        )
+
+    found = every.select("doc_id", (F.size(said) - 2).cast("long").alias("n_words"), F.transform(places, posting).alias("found"))
+    return found.select("doc_id", "n_words", F.explode_outer("found").alias("p")).select("doc_id", "n_words", "p.*")
 
 
 def _equal_run(mine: Column, theirs: Column) -> Column:
@@ -83,19 +89,24 @@ def _spans(window: int) -> tuple[Column, Column]:
     return span, back + ahead + 1 >= F.least(F.lit(window), F.size(item))
 
 
-def phrase_matches(found: DataFrame, window: int = WINDOW) -> DataFrame:
+def phrase_matches(found: DataFrame, anchors: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, item_id, span): runs of document words around a posting that hold whole windows of an item."""
     span, whole = _spans(window)
-    return found.where(F.col("item").isNotNull() & whole).select("doc_id", "item_id", span.alias("span"))
+    return found.join(F.broadcast(anchors), "term").where(whole).select("doc_id", "item_id", span.alias("span"))
 
 
-def proximity_matches(found: DataFrame, share: float = 0.8) -> DataFrame:
+def proximity_matches(found: DataFrame, anchors: DataFrame, share: float = 0.8) -> DataFrame:
     """(doc_id, item_id, pos): postings with at least `share` of the item's nearby distinct terms among their neighbours."""
     item, at = F.col("item"), F.col("at")
     start = F.greatest(at - WINDOW + 1, F.lit(1))
     near = F.array_distinct(F.slice(item, start, F.lit(2 * WINDOW - 1)))
     seen = F.array_union(F.array_union("left", "right"), F.array("term"))
-    return found.where(F.col("item").isNotNull()).where(F.size(F.array_intersect(near, seen)) >= share * F.size(near)).select("doc_id", "item_id", "pos")
+    return found.join(F.broadcast(anchors), "term").where(F.size(F.array_intersect(near, seen)) >= share * F.size(near)).select("doc_id", "item_id", "pos")
+
+
+def _terms(frame: DataFrame, term: Column) -> list[str]:
+    """The distinct terms of a block of the benchmark."""
+    return sorted(row[0] for row in frame.select(term.alias("term")).distinct().collect())
 
 
 def _blocks(items: DataFrame) -> list[DataFrame]:
@@ -115,15 +126,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     Documents' other columns are not used.  The benchmark is searched in blocks that are
     small enough to broadcast, so its size has no limit.
     """
-    end = docs.sparkSession.sql("SELECT '' AS term")
     span, whole = _spans(window)
-    real = F.col("term") != ""
     parts = []
     for block in _blocks(item_words(benchmark)):
-        counts = term_counts(docs, block.select(F.explode("item").alias("term")).distinct(), text_col)
-        anchors = rarest_anchors(block, counts, window)
-        found = postings(docs, anchors if parts else anchors.unionByName(end, allowMissingColumns=True), id_col, text_col, window - 1)
-        parts.append(found.where(~real | whole).select("doc_id", F.when(~real, F.col("pos") - 1).cast("long").alias("n_words"), F.when(real, span).alias("span"), F.when(real, F.col("item_id").cast("string")).alias("item")))
+        counts = term_counts(docs, _terms(block, F.explode("item")), text_col)
+        anchors = settle(rarest_anchors(block, counts, window))
+        found = postings(docs, _terms(anchors, F.col("term")), id_col, text_col, window - 1).join(F.broadcast(anchors), "term", "left")
+        parts.append(found.select("doc_id", "n_words", F.when(whole, span).alias("span"), F.when(whole, F.col("item_id").cast("string")).alias("item")))
     every = reduce(DataFrame.unionByName, parts)
     spans = F.array_sort(F.collect_set("span"))
     merged = F.aggregate(

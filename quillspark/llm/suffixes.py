@@ -31,6 +31,8 @@ from quillspark.llm.common import settle, slices
 
 DEPTH = 200
 BLOCK = 40
+#: Stands for a null id.  With it the id is never null, and both uses of the dealt texts share one exchange.
+NO_ID = -(1 << 63)
 #: Bytes hashed at once, a power of two; a place among them fits the low bits of a key.
 CHUNK_BITS = 20
 _PLACE = np.uint64((1 << CHUNK_BITS) - 1)
@@ -167,10 +169,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     A byte goes if a window of `depth` bytes of UTF-8 covers it that starts anywhere else
     too, in the same document or another; windows are those of the whole input.  `spans` are
     the maximal ones, in order, null if there are none.  Null texts are empty, and texts
-    shorter than `depth` stay as they are.  ids must be unique and not null.
+    shorter than `depth` stay as they are.  ids must be unique; one may be null.
     """
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bodies = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("binary"), F.lit("").cast("binary")).alias("body"))
+    bodies = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(text_col).cast("binary"), F.lit("").cast("binary")).alias("body"))
     lists = settle(sort_buckets(window_runs(bodies.where(F.octet_length("body") >= depth), depth)))
     dealt = bodies.repartition(partitions, "id")
     starts = open_windows(dealt.join(lists.where(F.size("open") > 0), "id"), depth).groupBy("id").agg(F.collect_list("at").alias("at"))
@@ -192,4 +194,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             n_bytes = pa.array(map(len, batch.column(1).to_pylist()), pa.int64())
             yield _batch({"id": batch.column(0), "n_bytes": n_bytes, "kept": pa.array(kept, pa.binary()), "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))})
 
-    return found.select("id", "body", "equal", "at").mapInArrow(run, "id long, n_bytes long, kept binary, spans array<struct<start: long, end: long>>")
+    kept = found.select("id", "body", "equal", "at").mapInArrow(run, "id long, n_bytes long, kept binary, spans array<struct<start: long, end: long>>")
+    return kept.withColumn("id", F.nullif("id", F.lit(NO_ID)))
