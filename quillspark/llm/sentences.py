@@ -91,8 +91,8 @@ def drop_repeated_sentences(docs: DataFrame, id_col: str = "doc_id", text_col: s
     names are replaced, all others are kept as they are.
     """
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    later = later_spans(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))).groupBy("id").agg(F.collect_list("at").alias("_at"))
-    plain = docs.drop("n_sentences", "n_removed", "n_spans", "_at", "_text")
+    later = later_spans(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))).groupBy("id").agg(F.collect_list("at").alias("_at")).withColumnRenamed("id", "_later")
+    plain = docs.drop("n_sentences", "n_removed", "n_spans", "_at", "_text", "_later")
     place = len(plain.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,7 +102,7 @@ def drop_repeated_sentences(docs: DataFrame, id_col: str = "doc_id", text_col: s
             yield pa.RecordBatch.from_arrays([*batch.columns[:place], *columns], names=[*batch.schema.names[:place], "_text", "n_sentences", "n_removed", "n_spans"])
 
     dealt = plain.withColumn("_text", F.col(text_col)).withColumn(text_col, F.lit(None).cast("string")).repartition(partitions, F.col(id_col).cast("long"))
-    joined = dealt.join(later, F.col(id_col).cast("long") == later["id"], "left").select(*dealt.columns, "_at")
+    joined = dealt.join(later, F.col(id_col).cast("long") == later["_later"], "left").select(*dealt.columns, "_at")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema)
     found = joined.mapInArrow(run, f"{kinds}, n_sentences long, n_removed long, n_spans long")
     return found.withColumn(text_col, F.col("_text")).drop("_text")
