@@ -233,7 +233,7 @@ def token_multiset_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("id", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 
 
-@query("SELECT a.item_id, round(CASE WHEN length(trim(b.text)) = 0 THEN CASE WHEN length(trim(a.text)) = 0 THEN 0 ELSE 1 END ELSE levenshtein(lower(trim(a.text)), lower(trim(b.text))) / length(trim(b.text)) END, 6) AS cer FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1")
+@query()
 def char_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Character error rate of each benchmark text against the next."""
     bench = table(spark, sf_dir, "benchmark")
