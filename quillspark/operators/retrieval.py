@@ -24,6 +24,12 @@ def ranked(frame: DataFrame, by: str, score: Column, tie: str, name: str = "rank
     return frame.withColumn(name, F.row_number().over(Window.partitionBy(by).orderBy(score.desc(), F.col(tie))))
 
 
+def spread_out(rows: DataFrame) -> DataFrame:
+    """Rows dealt over the shuffle partitions where the scan gives fewer; many files stay as they are."""
+    wanted = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(wanted) if rows.rdd.getNumPartitions() < wanted else rows
+
+
 def bm25(queries: DataFrame, docs: DataFrame, k1: float = K1, b: float = B, limit: int = LIMIT) -> DataFrame:
     """(query_id, doc_id, score, rank) of the best `limit` docs (doc_id, text) for each query (query_id, text).
 
@@ -31,9 +37,9 @@ def bm25(queries: DataFrame, docs: DataFrame, k1: float = K1, b: float = B, limi
     some query has are shuffled; document lengths travel with them.  No token, no rows.
     """
     asked = queries.select("query_id", F.explode(F.array_distinct(search_tokens(F.col("text")))).alias("term"))
-    said = docs.select("doc_id", search_tokens(F.col("text")).alias("tokens"))
+    said = spread_out(docs.select("doc_id", "text")).select("doc_id", search_tokens(F.col("text")).alias("tokens"))
     corpus = said.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("mean")).select("n", F.when(F.col("mean") > 0, F.col("mean")).otherwise(1.0).alias("mean"))
-    tokens = said.select("doc_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    tokens = said.select("doc_id", F.size("tokens").alias("dl"), F.explode_outer("tokens").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
     postings = tokens.groupBy("term", "doc_id", "dl").agg(F.count("*").alias("f"))
     spread = postings.groupBy("term").agg(F.count("*").alias("df"))
     weighed = asked.join(spread, "term").crossJoin(F.broadcast(corpus)).withColumn("idf", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
