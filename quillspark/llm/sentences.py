@@ -61,25 +61,28 @@ def span_hashes(text: str, min_sentences: int = MIN_SENTENCES, min_words: int =
 
 
 def _spans(texts: DataFrame) -> DataFrame:
-    """(span, id, at): hashes of all spans of the texts (id, text), and the sentences they start with."""
+    """(span, id, at, again): hashes of all spans of the texts (id, text), the sentences they start with, and whether their text has had them before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             found = [span_hashes(t or "")[:2] for t in batch.column(1).to_pylist()]
             owner = np.repeat(np.arange(len(found)), [len(h) for h, _ in found])
             span, at = (np.concatenate(x) for x in zip(*found, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(span), batch.column(0).take(pa.array(owner)), pa.array(at.astype(np.int32))], names=["span", "id", "at"])
+            again = np.concatenate([np.isin(np.arange(len(h)), np.unique(h, return_index=True)[1], invert=True) for h, _ in found])
+            yield pa.RecordBatch.from_arrays([pa.array(span), batch.column(0).take(pa.array(owner)), pa.array(at.astype(np.int32)), pa.array(again)], names=["span", "id", "at", "again"])
 
-    return texts.select("id", "text").mapInArrow(run, "span long, id long, at int")
+    return texts.select("id", "text").mapInArrow(run, "span long, id long, at int, again boolean")
 
 
 def later_spans(texts: DataFrame) -> DataFrame:
-    """(id, at): where spans start that have come before, by id and then by place."""
+    """(id, at): where spans start that have come before, by id and then by place.
+
+    The smallest id of each repeated span is written first.  So both sides of the join on
+    the span are dealt anew, and adaptive execution can split a span that is very common.
+    """
     spans = _spans(texts)
-    often = spans.groupBy("span").agg(F.count("*").alias("_n")).where("_n > 1").select("span")
-    held = settle(spans.join(often, "span"))
-    first = held.groupBy("span").agg(F.min(F.struct("id", "at")).alias("_first"))
-    return held.join(first, "span").where(F.struct("id", "at") != F.col("_first")).select("id", "at")
+    often = settle(spans.groupBy("span").agg(F.count("*").alias("_n"), F.min("id").alias("_first")).where("_n > 1").select("span", "_first"))
+    return spans.join(often, "span").where("id > _first OR again").select("id", "at")
 
 
 def drop_repeated_sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -87,8 +90,8 @@ def drop_repeated_sentences(docs: DataFrame, id_col: str = "doc_id", text_col: s
 
     The first span of a kind is the one of the smallest id, then the first in its text; its
     sentences stay.  `n_spans` counts maximal removed runs of sentences.  Null texts stay
-    null; a text may end up empty.  ids must be unique and not null.  Columns of the added
-    names are replaced, all others are kept as they are.
+    null; a text may end up empty.  ids must be unique; texts of null ids stay whole and are
+    no span's first.  Columns of the added names are replaced, all others are kept as they are.
     """
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     later = later_spans(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))).groupBy("id").agg(F.collect_list("at").alias("_at")).withColumnRenamed("id", "_later")
