@@ -158,3 +158,13 @@ def test_no_rows(spark):
 def test_kept_digest_of_plain_text(spark):
     row = remove_repeats(docs(spark, ["plain"])).select(F.sha2("kept", 256).alias("h")).first()
     assert row["h"] == hashlib.sha256(b"plain").hexdigest()
+
+
+def test_sentence_spans_within_a_text_and_of_null_ids(spark):
+    from quillspark.llm.sentences import drop_repeated_sentences
+
+    passage = " ".join(f"Sentence number {n} says something of its own kind." for n in range(6)) + " "
+    docs = spark.createDataFrame([(None, passage), (1, "Short. "), (2, passage + passage), (3, passage), (4, None)], "doc_id long, text string")
+    left = {r["doc_id"]: (r["text"], r["n_removed"]) for r in drop_repeated_sentences(docs).collect()}
+    assert left[None] == (passage, 0) and left[1] == ("Short. ", 0) and left[4] == (None, 0)
+    assert left[2][0].startswith(passage) and left[2][1] > 0 and left[3] == ("", 6)
