@@ -19,7 +19,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-copies."""
+    """One document of each group of near-copies: sets of five-word shingles with a Jaccard similarity of 0.8 or more."""
     return one_of_each(docs)
 
 

@@ -7,6 +7,10 @@ one codeword within three bits; a segment's fuzzy keys are the indices of all wo
 one bit away.  So one side needs its own index only and the other its few keys: they
 meet whenever the segment differs in at most one bit.  The keys of two segments
 together are joined, and every pair that meets is verified on all 64 bits.
+
+`one_of_each` drops texts, so it decides by the Jaccard similarity of word-shingle sets.
+At 0.8 fingerprints differ in about ten bits, too many for fuzzy keys alone: pairs are
+proposed by them and by bands of smallest hashes, and the sets themselves decide.
 """
 
 from __future__ import annotations
@@ -26,6 +30,11 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 PAIRS = ((0, 1), (0, 2), (1, 2))
 #: Generator polynomial of the Golay code, a fixed value: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GENERATOR = 0b110001110101
+#: Near-copies in `one_of_each`: words of a shingle and least Jaccard similarity of the sets.
+COPY_SHINGLE, SIMILARITY = 5, 0.8
+#: Keys of a set, each of so many smallest hashes; a pair at 0.8 shares none with probability 0.0002.
+BANDS, BAND_ROWS = 16, 4
+_MULTIPLIERS = np.random.default_rng(42).integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _remainders(words: np.ndarray) -> np.ndarray:
@@ -57,11 +66,21 @@ def fuzzy_keys(values: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
     """The fingerprint as a signed 64-bit number; texts without a word have 0."""
+    return _majority(shingle_hashes(text, shingle, seed))
+
+
+def shingle_hashes(text: str | None, shingle: int, seed: int = 42) -> np.ndarray:
+    """XXH64 of all word shingles in order; a text of fewer words is one shingle, one without a word none."""
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return np.zeros(0, dtype=np.uint64)
     runs = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False)) if len(words) >= shingle else [b" ".join(words)]
-    hashes = np.fromiter(map(partial(xxh64_intdigest, seed=seed), runs), dtype=np.uint64)
+    return np.fromiter(map(partial(xxh64_intdigest, seed=seed), runs), dtype=np.uint64)
+
+
+def _majority(hashes: np.ndarray) -> int:
+    if not len(hashes):
+        return 0
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), 1 << 16):
         part = hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8)
@@ -126,10 +145,78 @@ def hex64(value: Column) -> Column:
     return F.lower(F.lpad(F.hex(value), 16, "0"))
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
+def band_keys(held: np.ndarray) -> list[int]:
+    """Signed keys of a set of shingle hashes: each of BAND_ROWS smallest hashes under multipliers of its own."""
+    if not len(held):
+        return []
+    least = np.full(len(_MULTIPLIERS), np.iinfo(np.uint64).max, dtype=np.uint64)
+    for at in range(0, len(held), 2048):
+        least = np.minimum(least, (_MULTIPLIERS[:, None] * held[None, at : at + 2048]).min(1))
+    keys = [xxh64_intdigest(band.tobytes(), seed=i) for i, band in enumerate(least.reshape(BANDS, BAND_ROWS))]
+    return np.array(keys, dtype=np.uint64).view(np.int64).tolist()
+
+
+def _sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """(id, same, fp, keys) of texts (id, text): a digest of the shingle set, its fingerprint without repeats, and its band keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            held = [np.unique(shingle_hashes(text, shingle)) for text in batch.column(1).to_pylist()]
+            same = np.array([xxh64_intdigest(x.tobytes()) for x in held], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same), pa.array(map(_majority, held), pa.int64()), pa.array(map(band_keys, held), pa.list_(pa.int64()))], names=["id", "same", "fp", "keys"])
+
+    return texts.mapInArrow(run, "id long, same long, fp long, keys array<long>")
+
+
+def _similar(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) whose texts' shingle sets are similar enough, written."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            near = []
+            for left, right in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                x, y = np.unique(shingle_hashes(left, shingle)), np.unique(shingle_hashes(right, shingle))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                near.append(both >= similarity * (len(x) + len(y) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    left, right = (texts.select(F.col("id").alias(i), F.col("text").alias(t)) for i, t in (("a", "_left"), ("b", "_right")))
+    return settle(pairs.join(left, "a").join(right, "b").select("a", "b", "_left", "_right").mapInArrow(run, "a long, b long").distinct())
+
+
+def similar_links(texts: DataFrame, points: DataFrame, shingle: int = COPY_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """Links (a, b) that join all similar texts (id, text), from one point (id, fp, keys) for each shingle set.
+
+    Every proposed pair is decided by its sets.  First all points of a key are compared with
+    its smallest id, then those that are still in different components with each other; so a
+    large group of near-copies costs one comparison a point and key.
+    """
+    spread = points.select("id", F.explode(F.array_union("keys", F.array("fp"))).alias("key"))
+    tops = spread.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first")
+    shared = settle(spread.join(tops, "key").select("key", "first", "id"))
+    fuzzy = fuzzy_links(settle(points.groupBy("fp").agg(F.min("id").alias("id")).select("id", "fp")))
+    pairs = settle(shared.where("id > first").select(F.col("first").alias("a"), F.col("id").alias("b")).union(fuzzy).distinct())
+    wanted = shared.select("id").union(pairs.select(F.explode(F.array("a", "b")).alias("id"))).distinct()
+    held = settle(texts.join(wanted, "id", "left_semi"))
+    links = _similar(pairs, held, shingle, similarity)
+    ring = components(links).withColumnRenamed("node", "id")
+    tagged = settle(shared.join(ring, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c")))
+    mixed = tagged.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
+    apart = tagged.join(mixed, "key")
+    a, b = (apart.select("key", F.col("id").alias(i), F.col("c").alias(c)) for i, c in (("a", "_ca"), ("b", "_cb")))
+    rest = a.join(b, "key").where("a < b AND _ca <> _cb").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
+    return links.union(_similar(settle(rest), held, shingle, similarity))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = COPY_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of docs whose id names its component: one of each group of near-copies.
 
+    Texts link where the Jaccard similarity of their sets of word shingles is at least
+    `similarity`; texts without a word are one class.
     Null ids never name a component, so such rows are dropped; rows that repeat a kept id stay.
     """
-    kept = near_duplicates(docs, id_col, text_col, shingle).where("id = component_id").select(F.col("id").alias("_kept")).distinct()
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
+    points = settle(_sets(texts, shingle).groupBy("same").agg(F.min("id").alias("id"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
+    ring = components(similar_links(texts, points, shingle, similarity))
+    kept = points.join(ring, points["id"] == ring["node"], "left").select(F.coalesce("component", "id").alias("_kept")).distinct()
     return docs.join(kept, docs[id_col] == kept["_kept"], "left_semi")

@@ -168,3 +168,35 @@ def test_sentence_spans_within_a_text_and_of_null_ids(spark):
     left = {r["doc_id"]: (r["text"], r["n_removed"]) for r in drop_repeated_sentences(docs).collect()}
     assert left[None] == (passage, 0) and left[1] == ("Short. ", 0) and left[4] == (None, 0)
     assert left[2][0].startswith(passage) and left[2][1] > 0 and left[3] == ("", 6)
+
+
+def brute_jaccard_components(texts):
+    held = []
+    for text in texts:
+        words = text.lower().split()
+        held.append({tuple(words[i : i + 5]) for i in range(len(words) - 4)} or {tuple(words)})
+    top = list(range(len(held)))
+    for j, y in enumerate(held):
+        for i, x in enumerate(held[:j]):
+            if top[i] != top[j] and min(len(x), len(y)) >= 0.8 * max(len(x), len(y)) and len(x & y) >= 0.8 * len(x | y):
+                low, high = sorted((top[i], top[j]))
+                top = [low if t == high else t for t in top]
+    return top
+
+
+def test_one_of_each_finds_near_copies_of_five_word_sets(spark, sf):
+    """Planted copies at 0.8 to 0.95, one repeated line with different tails, and the whole table, against brute force."""
+    rng = random.Random(8)
+    texts = [r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect()]
+    for _ in range(60):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(80, 300))]
+        texts.append(" ".join(words))
+        for at in rng.sample(range(10, len(words) - 10), max(1, len(words) // 55)):
+            words[at] = "changed"
+        texts.append(" ".join(words))
+    line = "the same line of nine words again and again "
+    texts += [line * 60 + " ".join(f"t{i}x{k}" for k in range(40)) for i in range(5)]
+    top = brute_jaccard_components(texts)
+    assert len(set(top[-125:-5])) <= 70
+    kept = {r["doc_id"] for r in one_of_each(docs(spark, texts)).select("doc_id").collect()}
+    assert kept == set(top)
