@@ -47,12 +47,24 @@ def _encoding(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("own", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
 
 
+@lru_cache(1)
+def _added(path: str) -> dict[str, int]:
+    """The vocabulary's added tokens, which stand for themselves wherever a text spells them."""
+    with open(path, encoding="utf-8") as file:
+        added = json.load(file).get("added_tokens") or []
+    if any(token[side] for token in added for side in ("single_word", "lstrip", "rstrip")):
+        raise ValueError("added tokens that take their surroundings are not supported")
+    return {token["content"]: token["id"] for token in added}
+
+
 class WordIds(dict):
     """Ids of words as little-endian unsigned 32-bit bytes, remembered within a bound."""
 
-    def __init__(self, encoding: tiktoken.Encoding):
+    def __init__(self, encoding: tiktoken.Encoding, added: dict[str, int]):
         super().__init__()
         self.encode = encoding.encode_ordinary
+        self.added = added
+        self.split = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True))) or r"(?!)")
 
     def __missing__(self, word: str) -> bytes:
         ids = self.encode(word)
@@ -62,6 +74,13 @@ class WordIds(dict):
         return found
 
     def text(self, text: str) -> bytes:
+        found, at = [], 0
+        for token in self.split.finditer(text):
+            found += [self.plain(text[at : token.start()]), self.added[token[0]].to_bytes(4, "little")]
+            at = token.end()
+        return b"".join([*found, self.plain(text[at:])]) if at else self.plain(text)
+
+    def plain(self, text: str) -> bytes:
         if BEYOND_LATIN.search(text):
             return np.array(self.encode(text), dtype="<u4").tobytes()
         return b"".join(map(self.__getitem__, LATIN_WORDS.findall(text)))
@@ -77,7 +96,7 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     width = 4 * capacity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(_encoding(path))
+        words = WordIds(_encoding(path), _added(path))
         for batch in slices(batches):
             row, piece, start, length, ids = [], [], [], [], []
             for i, text in enumerate(batch.column(1).to_pylist()):

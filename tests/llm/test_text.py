@@ -60,8 +60,8 @@ def test_contamination(spark):
 
 def test_pieces_have_the_tokenizers_ids(spark, sf):
     own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    odd = [None, "", " ", "don't  stop\n\n\tnow ", "naïve Ελλάδα 漢字 🎉 x²", "a\x1cb _under_ 12ab", "<|endoftext|> tail", "w " * 5000]
-    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()] + [(10**6 + i, t) for i, t in enumerate(odd) if t != "<|endoftext|> tail"]
+    odd = [None, "", " ", "don't  stop\n\n\tnow ", "naïve Ελλάδα 漢字 🎉 x²", "a\x1cb _under_ 12ab", "<|endoftext|> tail", "a <|endoftext|><|endoftext|>  b 漢<|endoftext|>", "w " * 5000]
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()] + [(10**6 + i, t) for i, t in enumerate(odd)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     held = defaultdict(list)
     for r in token_pieces(docs).collect():
