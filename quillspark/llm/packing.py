@@ -3,18 +3,19 @@
 Pieces of one length are alike, so packing needs only how many there are of each: at
 most `capacity` counts, however large the corpus.  Bin completion takes the largest
 length left, searches the undominated fillings of the room beside it by branch and
-bound, and repeats the best one as often as the counts allow.  Pieces then take the
-slots of their length by rank.
+bound, and repeats the best one as often as the counts allow; while that takes more
+sequences than a lower bound, it goes back over them.  Pieces then take the slots of
+their length by rank.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from bisect import bisect_right
+from bisect import bisect_right, insort
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate
+from itertools import accumulate, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 from quillspark.llm.common import settle, slices
 
 CAPACITY = 2048
+#: Sequences tried in all while looking for plans shorter than the first.
+SEARCH_STEPS = 2000
 VOCABULARY = "byte_bpe_50k.json"
 #: Words whose ids a worker remembers.
 MEMORY_WORDS = 300_000
@@ -109,68 +112,127 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary")
 
 
-def best_completion(counts: list[int], sizes: list[int], room: int, nodes: int = 4000) -> list[int]:
-    """The filling of `room` by remaining sizes (ascending) that wastes least.
+def completions(counts: list[int], sizes: list[int], room: int, keep: int, most: int, nodes: int = 4000) -> list[list[int]]:
+    """Up to `keep` fillings of `room` by remaining sizes (ascending) that waste least and at most `most`, best first.
 
-    Depth first, larger sizes first, so a filling comes before those that it dominates;
-    the first descent is the best-fit filling and the incumbent.  A branch ends where even
-    its largest possible sum can't beat the incumbent; the search ends at no waste or after
-    `nodes` steps.
+    Depth first over sizes and how often each is taken, larger sizes and more of them first,
+    so a filling comes before those that it dominates, the first descent is the best-fit
+    filling, and the depth is that of distinct sizes.  A branch ends where even its largest
+    possible sum can't beat the worst kept; the search ends at no waste or after `nodes` steps.
     """
-    best: list[int] = []
-    least, left = room, nodes
+    kept: list[tuple[int, int, list[tuple[int, int]]]] = []
+    limit, left = most + 1, nodes
     within = list(accumulate(size * counts[size] for size in sizes))
 
-    def search(room: int, upto: int, chosen: list[int]) -> None:
-        nonlocal best, least, left
-        if room < least:
-            best, least = chosen[:], room
-        for place in range(bisect_right(sizes, min(room, upto)) - 1, -1, -1):
-            if not least or left <= 0 or room - min(room, within[place]) >= least:
-                return
+    def search(room: int, top: int, chosen: list[tuple[int, int]]) -> None:
+        nonlocal limit, left
+        if room < limit:
+            insort(kept, (room, nodes - left, chosen))
+            del kept[keep:]
+            limit = kept[-1][0] if len(kept) == keep else limit
+        for place in range(min(top, bisect_right(sizes, room)) - 1, -1, -1):
             size = sizes[place]
-            if counts[size] > chosen.count(size):
+            for times in range(min(counts[size], room // size), 0, -1):
+                if not limit or left <= 0 or room - min(room, within[place]) >= limit:
+                    return
                 left -= 1
-                search(room - size, size, [*chosen, size])
+                search(room - times * size, place, [*chosen, (size, times)])
+
+    search(room, len(sizes), [])
+    return [[size for size, times in chosen for _ in range(times)] for _, _, chosen in kept]
+
+
+def best_completion(counts: list[int], sizes: list[int], room: int, nodes: int = 4000) -> list[int]:
+    """The filling of `room` by remaining sizes (ascending) that wastes least."""
+    return completions(counts, sizes, room, 1, room, nodes)[0]
+
 
-    search(room, room, [])
-    return best
+def least_sequences(counts: list[int], capacity: int) -> int:
+    """Sequences that any plan needs: for each size, lengths that exclude it fill some alone, others share what is left."""
+    number, total = list(accumulate(counts)), list(accumulate(s * n for s, n in enumerate(counts)))
+    half, least = capacity // 2, -(-total[-1] // capacity)
+    for small in range(1, half + 1):
+        alone = number[capacity] - number[capacity - small]
+        large = number[capacity - small] - number[half]
+        free = large * capacity - (total[capacity - small] - total[half])
+        least = max(least, alone + large + max(0, -(-(total[half] - total[small - 1] - free) // capacity)))
+    return least
 
 
-def plan_sequences(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[int], int]]:
-    """Patterns of lengths that fit a sequence, and how many sequences follow each."""
+def plan_sequences(histogram: dict[int, int], capacity: int = CAPACITY, steps: int = SEARCH_STEPS) -> list[tuple[list[int], int]]:
+    """Patterns of lengths that fit a sequence, and how many sequences follow each.
+
+    The first plan takes the best filling each time.  While a plan needs more sequences than
+    `least_sequences`, one with a sequence less is sought over other fillings and fewer
+    repeats; `steps` bounds that search, and the best plan found so far is the answer.
+    """
     counts = [0] * (capacity + 1)
     for length, n in histogram.items():
         if not 1 <= length <= capacity:
             raise ValueError(f"a length must be from 1 to {capacity}, not {length}")
         counts[length] += n
-    sizes = [s for s in range(1, capacity + 1) if counts[s]]
-    plan = []
-    while sizes:
-        largest = sizes[-1]
-        counts[largest] -= 1
-        pattern = [largest, *best_completion(counts, sizes, capacity - largest)]
-        counts[largest] += 1
-        used = {s: pattern.count(s) for s in pattern}
-        times = min(counts[s] // n for s, n in used.items())
-        for s, n in used.items():
-            counts[s] -= n * times
-        plan.append((pattern, times))
-        sizes = [s for s in sizes if counts[s]]
+    least, total = least_sequences(counts, capacity), sum(s * n for s, n in enumerate(counts))
+    plan = _search(counts, capacity, None, 1, 0)[0] or []
+    while (need := sum(times for _, times in plan)) > least and steps > 0:
+        better, steps = _search(counts, capacity, (need - 1) * capacity - total, 6, steps)
+        if better is None:
+            break
+        plan = better
     return plan
 
 
-def slots(plan: list[tuple[list[int], int]]) -> list[tuple[int, int, int, int, int]]:
-    """(length, first rank, end rank, first sequence, offset) of the plan's places."""
+def _search(counts: list[int], capacity: int, slack: int | None, keep: int, steps: int) -> tuple[list[tuple[list[int], int]] | None, int]:
+    """The first plan that wastes at most `slack` in all, back over earlier sequences where need be, and the steps left; no slack given takes the first way down."""
+    counts, plan, choices, wasted = counts[:], [], [], 0
+
+    def change(pattern: list[int], times: int) -> None:
+        for s in pattern:
+            counts[s] -= times
+
+    def ways() -> Iterator[tuple[list[int], int]]:
+        sizes = [s for s in range(1, capacity + 1) if counts[s]]
+        largest = sizes[-1]
+        counts[largest] -= 1
+        most = capacity if slack is None else slack - wasted
+        fillings = completions(counts, sizes, capacity - largest, keep, most)
+        counts[largest] += 1
+        found = [[largest, *filling] for filling in fillings]
+        repeats = [min(counts[s] // pattern.count(s) for s in set(pattern)) for pattern in found]
+        yield from zip(found, repeats, strict=True)
+        yield from ((pattern, 1) for pattern, n in zip(found, repeats, strict=True) if n > 1 and keep > 1)
+
+    while any(counts):
+        if len(choices) == len(plan):
+            choices.append(ways())
+        steps -= slack is not None
+        if steps < 0:
+            return None, 0
+        way = next(choices[-1], None)
+        if way is None:
+            choices.pop()
+            if not plan:
+                return None, steps
+            pattern, times = plan.pop()
+            change(pattern, -times)
+            wasted -= times * (capacity - sum(pattern))
+        elif slack is None or wasted + way[1] * (capacity - sum(way[0])) <= slack:
+            plan.append(way)
+            change(*way)
+            wasted += way[1] * (capacity - sum(way[0]))
+    return plan, steps
+
+
+def slots(plan: list[tuple[list[int], int]]) -> list[tuple[int, int, int, int, int, int]]:
+    """(length, first rank, end rank, first sequence, offset, pieces side by side) of the plan's places."""
     taken: dict[int, int] = {}
     found, sequence = [], 0
     for pattern, times in plan:
         offset = 0
-        for length in pattern:
-            rank = taken.get(length, 0)
-            found.append((length, rank, rank + times, sequence, offset))
-            taken[length] = rank + times
-            offset += length
+        for length, run in groupby(pattern):
+            beside, rank = len(list(run)), taken.get(length, 0)
+            found.append((length, rank, rank + beside * times, sequence, offset, beside))
+            taken[length] = rank + beside * times
+            offset += length * beside
         sequence += times
     return found
 
@@ -192,8 +254,11 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, salts: int | None = None)
     bases = parts.select("length", "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
     histogram = dict(held.groupBy("length").agg(F.count("*").alias("n")).collect())
     rows = slots(plan_sequences(histogram, capacity))
-    places = spark.createDataFrame(rows, "length long, lo long, hi long, first long, offset long").groupBy("length").agg(F.collect_list(F.struct("lo", "hi", "first", "offset")).alias("_slots"))
+    places = spark.createDataFrame(rows, "length long, lo long, hi long, first long, offset long, beside long").groupBy("length").agg(F.collect_list(F.struct("lo", "hi", "first", "offset", "beside")).alias("_slots"))
     own = Window.partitionBy("length", "_salt").orderBy(*[c for c in held.columns if c in ("doc_id", "piece")] or ["length"])
     ranked = salted.join(F.broadcast(bases), ["length", "_salt"]).withColumn("_rank", F.col("_base") + F.row_number().over(own) - 1)
     placed = ranked.join(F.broadcast(places), "length").withColumn("_slot", F.filter("_slots", lambda s: (s["lo"] <= F.col("_rank")) & (F.col("_rank") < s["hi"]))[0])
-    return placed.select(*held.columns, (F.col("_slot.first") + F.col("_rank") - F.col("_slot.lo")).alias("sequence_id"), F.col("_slot.offset").alias("offset"))
+    at = F.col("_rank") - F.col("_slot.lo")
+    sequence = F.col("_slot.first") + F.floor(at / F.col("_slot.beside"))
+    offset = F.col("_slot.offset") + F.pmod(at, F.col("_slot.beside")) * F.col("length")
+    return placed.select(*held.columns, sequence.alias("sequence_id"), offset.alias("offset"))

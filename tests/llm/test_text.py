@@ -241,3 +241,43 @@ def test_pipeline_stages(spark, sf):
     packed = corpus_pipeline.run(spark, sf)
     assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} == ids
     assert packed.where(F.col("offset") + F.col("length") > 2048).count() == 0
+
+
+def test_packing_of_many_empty_documents(spark):
+    docs = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit("").alias("text"))
+    rows = pack(token_pieces(docs)).collect()
+    places = {(r["sequence_id"], r["offset"]) for r in rows}
+    assert len(rows) == len(places) == 5000 and all(r["length"] == 1 for r in rows)
+    assert places == {(s, o) for s in range(3) for o in range(2048 if s < 2 else 5000 - 4096)}
+
+
+def test_plans_go_back_over_sequences():
+    def need(histogram, capacity):
+        plan = plan_sequences(histogram, capacity)
+        used = defaultdict(int)
+        for pattern, times in plan:
+            assert sum(pattern) <= capacity
+            for s in pattern:
+                used[s] += times
+        assert used == histogram
+        return sum(times for _, times in plan)
+
+    def least(lengths, bins, capacity):
+        if not lengths:
+            return len(bins)
+        fits = {b for b in bins if b >= lengths[0]} | {capacity}
+        found = []
+        for b in fits:
+            left = list(bins)
+            if b in left:
+                left.remove(b)
+            found.append(least(lengths[1:], [*left, b - lengths[0]], capacity))
+        return min(found)
+
+    rng = random.Random(11)
+    for _ in range(150):
+        lengths = sorted((rng.randint(2, 14) for _ in range(8)), reverse=True)
+        histogram = {s: lengths.count(s) for s in lengths}
+        assert need(histogram, 20) == least(lengths, [], 20), lengths
+    planted = {15: 2, 10: 2, 7: 1, 8: 1, 13: 5, 16: 3, 11: 2, 6: 1, 18: 1, 14: 1, 5: 2, 20: 1, 12: 1}
+    assert need(planted, 40) == 7
