@@ -2,11 +2,12 @@
 
 A page becomes text lines, one per block, each with the zone that markup gives it: chrome
 (menus, footers, forms, adverts and the like), article, or plain.  Pages are ordered by
-host and path; each is paired with the neighbour whose path shares the longest prefix.
-The pair's lines outside articles are aligned by longest common subsequence, and shared
-ones are a template's, so they are deleted.  Lines of an article stay: near pages do carry
-equal paragraphs.  A page with an article keeps its article's lines, another one its plain
-lines that aren't shared.
+host and path, one for each url; each is paired with the neighbour whose path shares the
+longest prefix.  All lines of the pair are aligned by longest common subsequence, and shared
+ones are a template's, so they are deleted.  Near pages do carry equal paragraphs too, so a
+shared line of an article is deleted only where most of the article is not shared and the
+line is much shorter than the paragraphs that aren't.  A page with an article keeps what is
+left of its article's lines, another one what is left of its plain lines.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from quillspark.llm.common import settle, slices
 from quillspark.llm.urlrules import url_parts
@@ -37,6 +39,8 @@ _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(
 _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|([a-zA-Z-]+)""")
 _SEPARATORS = re.compile(r"[^a-z0-9]+")
 CHROME, PLAIN, ARTICLE = 0, 1, 2
+#: A template's line in an article is shorter than the median line of its own by this factor.
+TEMPLATE_SHARE = 2
 
 
 def _is_chrome(tag: str, attributes: str, in_article: bool) -> bool:
@@ -113,9 +117,14 @@ def text_lines(page: str | None) -> list[tuple[str, int]]:
     return lines
 
 
-def shared_lines(mine: list[str], theirs: list[str]) -> set[int]:
+def marks(lines: list[tuple[str, int]]) -> list[int]:
+    """Signed 64-bit digests that stand for the lines' texts in an alignment."""
+    return [(h := xxh64_intdigest(text.encode("utf-8", "surrogatepass"))) - ((h >> 63) << 64) for text, _ in lines]
+
+
+def shared_lines(mine: list, theirs: list) -> set[int]:
     """Places of the lines of `mine` in a longest common subsequence with `theirs`, by bit-parallel rows."""
-    places: dict[str, int] = {}
+    places: dict = {}
     for i, line in enumerate(mine):
         places[line] = places.get(line, 0) | 1 << i
     full = (1 << len(mine)) - 1
@@ -136,23 +145,26 @@ def shared_lines(mine: list[str], theirs: list[str]) -> set[int]:
     return found
 
 
-def main_lines(lines: list[tuple[str, int]], partner: list[str] | None) -> list[str]:
-    """What is left of a page: its article, or its plain lines without those that its partner shares."""
-    if any(zone == ARTICLE for _, zone in lines):
-        return [text for text, zone in lines if zone == ARTICLE]
-    outside = [text for text, _ in lines]
-    shared = shared_lines(outside, partner) if partner else set()
-    return [text for i, (text, zone) in enumerate(lines) if zone == PLAIN and i not in shared]
+def main_lines(lines: list[tuple[str, int]], partner: list[int] | None) -> list[str]:
+    """What is left of a page: its article's lines, or else its plain ones, without those that its partner's `marks` show to be a template's."""
+    shared = shared_lines(marks(lines), partner) if partner else set()
+    article = [i for i, (_, zone) in enumerate(lines) if zone == ARTICLE]
+    if not article:
+        return [text for i, (text, zone) in enumerate(lines) if zone == PLAIN and i not in shared]
+    own = sorted(len(lines[i][0]) for i in article if i not in shared)
+    differs = 2 * sum(own) > sum(len(lines[i][0]) for i in article)
+    return [lines[i][0] for i in article if not (differs and i in shared and TEMPLATE_SHARE * len(lines[i][0]) < own[len(own) // 2])]
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars, partner) of every page.
 
     text joins the main lines by two line ends, empty if there are none; null html has none.
-    The partner is the row before or after in the order of host, path and id, whichever
-    shares the longer path prefix (the one before of equals); it has the same host and
-    another url, else it is null.  Neighbours are found by a range sort, so a host may hold
-    any share of the pages.  Rows may repeat ids.
+    Each url stands once, by its smallest id, in the order of host, path and id.  The partner
+    is the url before or after, whichever shares the longer path prefix (the one before of
+    equals); it has the same host, else it is null, as for null urls.  Neighbours are found
+    by a range sort, so a host may hold any share of the pages.  Rows may repeat ids and urls.
+    Alignment needs digests of lines only, so the lines themselves are dealt once.
     """
     spark = pages.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -162,17 +174,18 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         for batch in slices(batches):
             lines = [text_lines(page) for page in batch.column(4).to_pylist()]
             kinds = pa.list_(pa.struct([("text", pa.string()), ("zone", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array([[{"text": t, "zone": z} for t, z in x] for x in lines], kinds)], names=["id", "url", "host", "path", "lines"])
+            arrays = [*batch.columns[:4], pa.array([[{"text": t, "zone": z} for t, z in x] for x in lines], kinds), pa.array(map(marks, lines), pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["id", "url", "host", "path", "lines", "marks"])
 
     parsed = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), host.alias("host"), path.alias("path"), F.col(html_col).alias("html")).mapInArrow(
-        parse, "id long, url string, host string, path string, lines array<struct<text: string, zone: int>>"
+        parse, "id long, url string, host string, path string, lines array<struct<text: string, zone: int>>, marks array<long>"
     )
     kept = settle(parsed.withColumn("row", F.monotonically_increasing_id()))
-    partners = _partners(kept, partitions)
-    article = F.exists("lines", lambda x: x["zone"] == ARTICLE)
-    outside = kept.select(F.col("row").alias("partner"), F.transform("lines", lambda x: x["text"]).alias("_theirs"))
-    wanted = kept.where(~article).join(partners, "row", "left").join(outside, "partner", "left")
-    alone = kept.where(article).withColumn("partner", F.lit(None).cast("long")).withColumn("_theirs", F.lit(None).cast("array<string>"))
+    firsts = kept.where("url IS NOT NULL").groupBy("url").agg(F.min(F.struct("id", "row", "host", "path")).alias("f")).select("url", "f.*")
+    firsts = settle(firsts)
+    near = firsts.join(_partners(firsts, partitions), "row").where("partner IS NOT NULL").select("url", "partner")
+    theirs = near.join(kept.select(F.col("row").alias("partner"), F.col("marks").alias("_theirs")), "partner")
+    wanted = kept.join(theirs, "url", "left")
     columns = ["id", "url", "lines", "partner", "_theirs"]
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,7 +193,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             texts = ["\n\n".join(main_lines([(x["text"], x["zone"]) for x in mine], theirs)) for mine, theirs in zip(batch.column(2).to_pylist(), batch.column(4).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64()), batch.column(3)], names=["page_id", "url", "text", "n_chars", "partner"])
 
-    return wanted.select(*columns).unionByName(alone.select(*columns)).mapInArrow(finish, "page_id long, url string, text string, n_chars long, partner long")
+    return wanted.select(*columns).mapInArrow(finish, "page_id long, url string, text string, n_chars long, partner long")
 
 
 def _partners(rows: DataFrame, partitions: int) -> DataFrame:

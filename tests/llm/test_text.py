@@ -281,3 +281,23 @@ def test_plans_go_back_over_sequences():
         assert need(histogram, 20) == least(lengths, [], 20), lengths
     planted = {15: 2, 10: 2, 7: 1, 8: 1, 13: 5, 16: 3, 11: 2, 6: 1, 18: 1, 14: 1, 5: 2, 20: 1, 12: 1}
     assert need(planted, 40) == 7
+
+
+def test_pages_lose_template_lines_within_articles(spark):
+    def article(*lines):
+        return "<main>" + "".join(f"<p>{x}</p>" for x in lines) + "</main>"
+
+    long = [f"Paragraph {i} is told at some length and on its own page, {'so it goes on ' * 6}." for i in range(8)]
+    rows = [
+        (1, "http://a.org/x/1", article("Title one", long[0], "Subscribe now", long[1], long[2])),
+        (2, "http://a.org/x/2", article("Title two", long[3], "Subscribe now", long[1], long[4])),
+        (3, "http://a.org/x/2", article("Title two", long[3], "Subscribe now", long[1], long[4])),
+        (4, "http://b.org/x/1", article("One title", long[5], long[6], long[0])),
+        (5, "http://b.org/x/2", article("One title", long[5], long[6], long[7])),
+        (6, None, article("Alone")),
+    ]
+    found = {r["page_id"]: r for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found[1]["text"].split("\n\n") == ["Title one", long[0], long[1], long[2]]
+    assert found[2]["text"].split("\n\n") == found[3]["text"].split("\n\n") == ["Title two", long[3], long[1], long[4]]
+    assert found[4]["text"].split("\n\n") == ["One title", long[5], long[6], long[0]] and found[6]["text"] == "Alone"
+    assert all(found[i]["partner"] is not None for i in range(1, 6)) and found[6]["partner"] is None
