@@ -24,18 +24,27 @@ from quillspark.llm.common import settle, slices
 
 MIN_SENTENCES, MIN_WORDS = 3, 25
 #: A sentence of more words is also cut after every word whose checksum is a multiple of CUT.
-LONG_SENTENCE, CUT = 40, 8
-_SENTENCE = re.compile(r"[^.!?,;:|\n]*[.!?,;:|\n]+\s*|[^.!?,;:|\n]+")
-_WORD = re.compile(r"\S+\s*")
+LONG_SENTENCE, CUT = 12, 4
+_STOPS = ".!?,;:|\n。！？；：，、｡､…؟،؛۔।॥።፣"
+_SENTENCE = re.compile(f"[^{_STOPS}]*[{_STOPS}]+\\s*|[^{_STOPS}]+")
+#: Letters of scripts that put no spaces between words; each counts as a word.
+_LETTERS = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_UNSPACED = re.compile(f"[{_LETTERS}]")
+_WORD = re.compile(f"(?:[{_LETTERS}]|[^\\s{_LETTERS}]+)\\s*")
+
+
+def count_words(text: str) -> int:
+    """Words between white space, and letters of scripts without it."""
+    return len(text.split()) if text.isascii() or not _UNSPACED.search(text) else len(_WORD.findall(text))
 
 
 def split_sentences(text: str) -> list[str]:
     """Sentences and clauses with what follows them; joined they are the text."""
     found = []
     for part in _SENTENCE.findall(text):
-        if len(part) > 2 * LONG_SENTENCE and len(words := _WORD.findall(part)) > LONG_SENTENCE:
-            lead = part[: len(part) - sum(map(len, words))]
-            held = lead
+        if len(part) > LONG_SENTENCE and count_words(part) > LONG_SENTENCE:
+            words = _WORD.findall(part)
+            held = part[: len(part) - sum(map(len, words))]
             for word in words:
                 held += word
                 if zlib.crc32(word.strip().encode()) % CUT == 0:
@@ -49,10 +58,11 @@ def split_sentences(text: str) -> list[str]:
 
 def span_hashes(text: str, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash, first sentence and end of each span of a text; white space within it doesn't count."""
-    words = [s.split() for s in split_sentences(text)]
+    sentences = split_sentences(text)
+    words = [s.split() for s in sentences]
     if len(words) < min_sentences:
         return (np.zeros(0, np.int64),) * 3
-    said = np.concatenate([[0], np.cumsum([len(w) for w in words])])
+    said = np.concatenate([[0], np.cumsum([len(w) for w in words] if text.isascii() or not _UNSPACED.search(text) else [count_words(s) for s in sentences])])
     first = np.arange(len(words))
     end = np.maximum(np.searchsorted(said, said[:-1] + min_words), first + min_sentences)
     whole = end <= len(words)

@@ -200,3 +200,22 @@ def test_one_of_each_finds_near_copies_of_five_word_sets(spark, sf):
     assert len(set(top[-125:-5])) <= 70
     kept = {r["doc_id"] for r in one_of_each(docs(spark, texts)).select("doc_id").collect()}
     assert kept == set(top)
+
+
+def test_sentence_spans_of_passages_at_any_offset(spark):
+    """Passages of 51 to 60 words in clauses of 26 to 40, pasted in the middle of sentences; and a script without spaces."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    prose = lambda n: "".join(word() + (". " if rng.random() < 0.03 else " ") for _ in range(n))
+    found = 0
+    for _ in range(400):
+        passage = prose(rng.randint(51, 60))
+        left, right = (set(span_hashes(prose(rng.randint(20, 90)) + passage + prose(rng.randint(20, 90)))[0].tolist()) for _ in range(2))
+        found += bool(left & right)
+    assert found >= 0.96 * 400
+    assert split_sentences("一二三。四五！六") == ["一二三。", "四五！", "六"]
+    signs = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(n))
+    shared = signs(120)
+    rows = [(i, signs(40) + shared + signs(40)) for i in range(2)]
+    left = {r["doc_id"]: r["text"] for r in drop_repeated_sentences(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert left[0] == rows[0][1] and len(left[1]) < 140 and left[1].startswith(rows[1][1][:20])
