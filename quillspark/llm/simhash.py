@@ -213,10 +213,11 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Texts link where the Jaccard similarity of their sets of word shingles is at least
     `similarity`; texts without a word are one class.
-    Null ids never name a component, so such rows are dropped; rows that repeat a kept id stay.
+    Rows of null ids all stay and link nothing; rows that repeat a kept id stay.
     """
+    unnamed = docs.where(F.col(id_col).cast("long").isNull())
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
     points = settle(_sets(texts, shingle).groupBy("same").agg(F.min("id").alias("id"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
     ring = components(similar_links(texts, points, shingle, similarity))
     kept = points.join(ring, points["id"] == ring["node"], "left").select(F.coalesce("component", "id").alias("_kept")).distinct()
-    return docs.join(kept, docs[id_col] == kept["_kept"], "left_semi")
+    return docs.join(kept, docs[id_col].cast("long") == kept["_kept"], "left_semi").unionByName(unnamed)

@@ -219,3 +219,9 @@ def test_sentence_spans_of_passages_at_any_offset(spark):
     rows = [(i, signs(40) + shared + signs(40)) for i in range(2)]
     left = {r["doc_id"]: r["text"] for r in drop_repeated_sentences(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert left[0] == rows[0][1] and len(left[1]) < 140 and left[1].startswith(rows[1][1][:20])
+
+
+def test_one_of_each_keeps_rows_of_null_ids(spark):
+    rows = [(None, "a text of its own that nobody else has"), (None, None), (3, "one two three four five six"), (4, "one two three four five six")]
+    kept = one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, kept), key=str) == sorted(rows[:3], key=str)
