@@ -1,13 +1,14 @@
 """Main text of web pages by differencing each page with the page of the nearest url on its host.
 
-A page becomes text lines, one per block, each with the zone that markup gives it: chrome
-(menus, footers, forms, adverts and the like), article, or plain.  Pages are ordered by
-host and path, one for each url; each is paired with the neighbour whose path shares the
-longest prefix.  All lines of the pair are aligned by longest common subsequence, and shared
-ones are a template's, so they are deleted.  Near pages do carry equal paragraphs too, so a
-shared line of an article is deleted only where most of the article is not shared and the
-line is much shorter than the paragraphs that aren't.  A page with an article keeps what is
-left of its article's lines, another one what is left of its plain lines.
+Pages are ordered by host and path, one for each url; each is paired with the neighbour
+whose path shares the longest prefix.  A page becomes text lines, one per block.  The lines
+of a pair are aligned by longest common subsequence, and shared ones are a template's, so
+they are deleted: at once where they stand in a bare container, as page furniture does.
+Near pages do carry equal paragraphs and headings, so one of those goes only where the
+pages of all six nearest urls have it at the same place, most of the page is its own, and
+the line is much shorter than the page's own ones.  What markup itself declares to be
+furniture (menus, footers, forms, adverts and the like) can't be main text and goes before;
+a page with an article keeps what is left of the article, another one what is left of all.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -39,8 +41,12 @@ _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(
 _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|([a-zA-Z-]+)""")
 _SEPARATORS = re.compile(r"[^a-z0-9]+")
 CHROME, PLAIN, ARTICLE = 0, 1, 2
-#: A template's line in an article is shorter than the median line of its own by this factor.
+#: Blocks of running text; lines in other ones are in bare containers.
+PROSE = frozenset("article main p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th caption figcaption summary".split())
+#: A template's paragraph is shorter than the median line of a page's own by this factor.
 TEMPLATE_SHARE = 2
+#: Urls looked at on either side in the order of hosts and paths.
+AROUND = 3
 
 
 def _is_chrome(tag: str, attributes: str, in_article: bool) -> bool:
@@ -60,21 +66,29 @@ def _is_chrome(tag: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
-def text_lines(page: str | None) -> list[tuple[str, int]]:
-    """(text, zone) of the blocks of a page, in order, white space as one blank; blocks without text don't count.
+class Line(NamedTuple):
+    """A block's text, its zone, and whether the block is one of running text."""
+
+    text: str
+    zone: int
+    prose: bool
+
+
+def text_lines(page: str | None) -> list[Line]:
+    """The blocks of a page, in order, white space as one blank; blocks without text don't count.
 
     Markup may be broken: an end tag closes up to its start tag or nothing, a new paragraph
     closes an open one, an article or main closes page furniture left open around it, and
     what ends within a tag loses the tag.
     """
-    lines: list[tuple[str, int]] = []
+    lines: list[Line] = []
     parts: list[str] = []
     open_tags: list[tuple[str, int]] = []
     zone, raw = PLAIN, ""
 
     def flush() -> None:
         if text := " ".join(html.unescape("".join(parts)).split()):
-            lines.append((text, zone))
+            lines.append(Line(text, zone, next((t for t, _ in reversed(open_tags) if t in BLOCKS), "") in PROSE))
         parts.clear()
 
     for found in _TOKEN.finditer(page or ""):
@@ -117,103 +131,138 @@ def text_lines(page: str | None) -> list[tuple[str, int]]:
     return lines
 
 
-def marks(lines: list[tuple[str, int]]) -> list[int]:
-    """Signed 64-bit digests that stand for the lines' texts in an alignment."""
-    return [(h := xxh64_intdigest(text.encode("utf-8", "surrogatepass"))) - ((h >> 63) << 64) for text, _ in lines]
+def marks(lines: list[Line]) -> list[int]:
+    """Signed 64-bit digests of the lines that markup leaves, which stand for them in alignments."""
+    return [(h := xxh64_intdigest(x.text.encode("utf-8", "surrogatepass"))) - ((h >> 63) << 64) for x in lines if x.zone != CHROME]
+
 
+def aligned(mine: list, theirs: list) -> list[tuple[int, int]]:
+    """Places of equal lines in a longest common subsequence of two pages, by bit-parallel rows.
 
-def shared_lines(mine: list, theirs: list) -> set[int]:
-    """Places of the lines of `mine` in a longest common subsequence with `theirs`, by bit-parallel rows."""
+    Equal starts and ends are taken first, and lines that only one page has play no part, so
+    the rows held are as many and as long as what is left to decide.
+    """
+    start, most = 0, min(len(mine), len(theirs))
+    while start < most and mine[start] == theirs[start]:
+        start += 1
+    end = 0
+    while end < most - start and mine[-1 - end] == theirs[-1 - end]:
+        end += 1
+    both = set(mine[start : len(mine) - end]) & set(theirs[start : len(theirs) - end])
+    at = [i for i in range(start, len(mine) - end) if mine[i] in both]
+    to = [j for j in range(start, len(theirs) - end) if theirs[j] in both]
     places: dict = {}
-    for i, line in enumerate(mine):
-        places[line] = places.get(line, 0) | 1 << i
-    full = (1 << len(mine)) - 1
+    for i, place in enumerate(at):
+        places[mine[place]] = places.get(mine[place], 0) | 1 << i
+    full = (1 << len(at)) - 1
     row, rows = full, [full]
-    for line in theirs:
-        hit = row & places.get(line, 0)
+    for place in to:
+        hit = row & places[theirs[place]]
         row = ((row + hit) | (row - hit)) & full
         rows.append(row)
-    found, i, j = set(), len(mine), len(theirs)
+    found, i, j = [], len(at), len(to)
     while i and j:
         if rows[j] >> (i - 1) & 1:
             i -= 1
         elif not rows[j - 1] >> (i - 1) & 1:
             j -= 1
         else:
-            found.add(i - 1)
             i, j = i - 1, j - 1
-    return found
+            found.append((at[i], to[j]))
+    ends = [(len(mine) - k, len(theirs) - k) for k in range(end, 0, -1)]
+    return [(k, k) for k in range(start)] + found[::-1] + ends
 
 
-def main_lines(lines: list[tuple[str, int]], partner: list[int] | None) -> list[str]:
-    """What is left of a page: its article's lines, or else its plain ones, without those that its partner's `marks` show to be a template's."""
-    shared = shared_lines(marks(lines), partner) if partner else set()
-    article = [i for i, (_, zone) in enumerate(lines) if zone == ARTICLE]
-    if not article:
-        return [text for i, (text, zone) in enumerate(lines) if zone == PLAIN and i not in shared]
-    own = sorted(len(lines[i][0]) for i in article if i not in shared)
-    differs = 2 * sum(own) > sum(len(lines[i][0]) for i in article)
-    return [lines[i][0] for i in article if not (differs and i in shared and TEMPLATE_SHARE * len(lines[i][0]) < own[len(own) // 2])]
+def main_lines(lines: list[Line], near: list[list[int]] | None) -> list[str]:
+    """What is left of a page's article, or else of its plain lines.
 
+    `near` holds the `marks` of the partner and, where the host has so many, of the nearest
+    AROUND urls on either side.
+    """
+    left = [x for x in lines if x.zone != CHROME]
+    mine = marks(left)
+    shared = {i for i, _ in aligned(mine, near[0])} if near else set()
+    gone = {i for i in shared if not left[i].prose}
+    if shared - gone and near and len(near) > 2 * AROUND:
+        everywhere = shared.intersection(*({i for i, j in aligned(mine, theirs) if i == j or len(mine) - i == len(theirs) - j} for theirs in near[1:]))
+        own = sorted(len(left[i].text) for i in range(len(left)) if i not in everywhere)
+        if 2 * sum(own) > sum(len(x.text) for x in left):
+            gone |= {i for i in everywhere if TEMPLATE_SHARE * len(left[i].text) < own[len(own) // 2]}
+    zone = ARTICLE if any(x.zone == ARTICLE for x in left) else PLAIN
+    return [x.text for i, x in enumerate(left) if x.zone == zone and i not in gone]
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(page_id, url, text, n_chars, partner) of every page.
 
-    text joins the main lines by two line ends, empty if there are none; null html has none.
-    Each url stands once, by its smallest id, in the order of host, path and id.  The partner
-    is the url before or after, whichever shares the longer path prefix (the one before of
-    equals); it has the same host, else it is null, as for null urls.  Neighbours are found
-    by a range sort, so a host may hold any share of the pages.  Rows may repeat ids and urls.
-    Alignment needs digests of lines only, so the lines themselves are dealt once.
-    """
-    spark = pages.sparkSession
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    host, path = url_parts(F.col(url_col))
+def outlines(pages: DataFrame) -> DataFrame:
+    """(id, url, host, path, marks) of pages (id, url, html)."""
+    host, path = url_parts(F.col("url"))
 
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            lines = [text_lines(page) for page in batch.column(4).to_pylist()]
-            kinds = pa.list_(pa.struct([("text", pa.string()), ("zone", pa.int32())]))
-            arrays = [*batch.columns[:4], pa.array([[{"text": t, "zone": z} for t, z in x] for x in lines], kinds), pa.array(map(marks, lines), pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["id", "url", "host", "path", "lines", "marks"])
-
-    parsed = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), host.alias("host"), path.alias("path"), F.col(html_col).alias("html")).mapInArrow(
-        parse, "id long, url string, host string, path string, lines array<struct<text: string, zone: int>>, marks array<long>"
-    )
-    kept = settle(parsed.withColumn("row", F.monotonically_increasing_id()))
-    firsts = kept.where("url IS NOT NULL").groupBy("url").agg(F.min(F.struct("id", "row", "host", "path")).alias("f")).select("url", "f.*")
-    firsts = settle(firsts)
-    near = firsts.join(_partners(firsts, partitions), "row").where("partner IS NOT NULL").select("url", "partner")
-    theirs = near.join(kept.select(F.col("row").alias("partner"), F.col("marks").alias("_theirs")), "partner")
-    wanted = kept.join(theirs, "url", "left")
-    columns = ["id", "url", "lines", "partner", "_theirs"]
+            found = [marks(text_lines(page)) for page in batch.column(4).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(found, pa.list_(pa.int64()))], names=["id", "url", "host", "path", "marks"])
 
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            texts = ["\n\n".join(main_lines([(x["text"], x["zone"]) for x in mine], theirs)) for mine, theirs in zip(batch.column(2).to_pylist(), batch.column(4).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64()), batch.column(3)], names=["page_id", "url", "text", "n_chars", "partner"])
+    return pages.select("id", "url", host.alias("host"), path.alias("path"), "html").mapInArrow(run, "id long, url string, host string, path string, marks array<long>")
 
-    return wanted.select(*columns).mapInArrow(finish, "page_id long, url string, text string, n_chars long, partner long")
 
+def neighbours(rows: DataFrame) -> DataFrame:
+    """(url, partner, around) of the rows (url, host, path, id, marks), one for each url.
 
-def _partners(rows: DataFrame, partitions: int) -> DataFrame:
-    """(row, partner) by the range sort; what a sorted part can't see, its neighbours' edge rows, is handed on by part."""
-    slim = rows.select("host", "path", "url", "id", "row")
-    parts = settle(slim.repartitionByRange(partitions, "host", "path", "id", "row").withColumn("part", F.spark_partition_id()))
-    key = F.struct("host", "path", "id", "row", "url")
-    edges = parts.groupBy("part").agg(F.min(key).alias("first"), F.max(key).alias("last"))
+    `around` holds up to AROUND rows before and as many after in the order of host, path, id
+    and url that have the same host; `partner` is the one next to it whose path shares the
+    longer prefix (the one before of equals), null if a url is alone on its host.  Rows are
+    sorted by range, so a host may hold any share of them; the rows that a sorted part can't
+    see are handed on by the parts beside it.
+    """
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = ["host", "path", "id", "url"]
+    parts = settle(rows.select(*order, "marks").repartitionByRange(partitions, *order).withColumn("part", F.spark_partition_id()))
+    one = F.struct(*order, "marks")
+    own, back = (Window.partitionBy("part").orderBy(*[F.col(c).asc() if up else F.col(c).desc() for c in order]) for up in (True, False))
+    numbered = parts.withColumns({"_up": F.row_number().over(own), "_down": F.row_number().over(back)})
+    edges = numbered.where(f"_up <= {AROUND} OR _down <= {AROUND}").groupBy("part").agg(*[F.array_sort(F.collect_list(F.when(F.col(c) <= AROUND, one))).alias(name) for c, name in (("_up", "first"), ("_down", "last"))])
     across = Window.orderBy("part")
-    handed = edges.select("part", F.lag("last").over(across).alias("above"), F.lead("first").over(across).alias("below"))
-    own = Window.partitionBy("part").orderBy("host", "path", "id", "row")
-    near = parts.withColumns({"before": F.lag(key).over(own), "after": F.lead(key).over(own)}).join(F.broadcast(handed), "part")
-    near = near.withColumns({"before": F.coalesce("before", "above"), "after": F.coalesce("after", "below")})
-
-    def prefix(other: str) -> Column:
-        theirs = F.col(f"{other}.path")
-        steps = F.sequence(F.lit(1), F.least(F.length("path"), F.length(theirs)))
-        same = F.size(F.filter(steps, lambda n: F.substring(F.col("path"), F.lit(1), n) == F.substring(theirs, F.lit(1), n)))
-        fits = (F.col(f"{other}.host") == F.col("host")) & ~F.col(f"{other}.url").eqNullSafe(F.col("url"))
-        return F.when(fits, F.when(F.least(F.length("path"), F.length(theirs)) > 0, same).otherwise(0)).otherwise(-1)
-
-    near = near.withColumns({"_b": F.coalesce(prefix("before"), F.lit(-1)), "_a": F.coalesce(prefix("after"), F.lit(-1))})
-    return near.select("row", F.when(F.greatest("_a", "_b") < 0, F.lit(None)).when(F.col("_b") >= F.col("_a"), F.col("before.row")).otherwise(F.col("after.row")).alias("partner"))
+    handed = edges.select("part", F.flatten(F.collect_list("last").over(across.rowsBetween(-AROUND, -1))).alias("above"), F.flatten(F.collect_list("first").over(across.rowsBetween(1, AROUND))).alias("below"))
+    seen = parts.withColumns({"before": F.collect_list(one).over(own.rowsBetween(-AROUND, -1)), "after": F.collect_list(one).over(own.rowsBetween(1, AROUND))}).join(handed, "part")
+    before, after = F.concat("above", "before"), F.concat("after", "below")
+    before = F.slice(before, F.greatest(F.size(before) - AROUND + 1, F.lit(1)), F.lit(AROUND))
+    here = lambda x: x["host"] == F.col("host")
+    seen = seen.select("url", "host", "path", F.filter(before, here).alias("before"), F.filter(F.slice(after, 1, AROUND), here).alias("after"))
+    b, a = F.try_element_at("before", F.lit(-1)), F.try_element_at("after", F.lit(1))
+
+    def prefix(other: Column) -> Column:
+        steps = F.sequence(F.lit(0), F.least(F.length("path"), F.length(other["path"])))
+        return F.coalesce(F.size(F.filter(steps, lambda n: F.substring(F.col("path"), F.lit(1), n) == F.substring(other["path"], F.lit(1), n))), F.lit(-1))
+
+    return seen.select("url", F.when(prefix(b) >= prefix(a), b).otherwise(a).alias("partner"), F.concat("before", "after").alias("around"))
+
+
+def differing(pages: DataFrame) -> DataFrame:
+    """(url, near) of the urls with a page that shares a line with its partner's; `near` as `main_lines` takes it."""
+    rows = settle(outlines(pages.where("url IS NOT NULL")))
+    firsts = rows.groupBy("url", "host", "path").agg(F.min(F.struct("id", "marks")).alias("f")).select("url", "host", "path", "f.*")
+    near = neighbours(firsts).where("partner IS NOT NULL")
+    both = F.array(F.col("partner.marks"))
+    near = near.select("url", F.when(F.size("around") == 2 * AROUND, F.concat(both, F.transform("around", lambda x: x["marks"]))).otherwise(both).alias("near"))
+    return near.join(rows.select("url", "marks"), "url").where(F.arrays_overlap("marks", F.col("near")[0])).select("url", "near").dropDuplicates(["url"])
+
+
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(page_id, url, text, n_chars) of every page.
+
+    text joins the main lines by two line ends, empty if there are none; null html has none.
+    A url is compared with others by its page of smallest id; rows may repeat ids and urls,
+    and pages of null urls are compared with none.  Digests of lines are all that is sorted
+    and written; pages themselves are read twice and dealt by url only where the urls that
+    share lines are too many to broadcast.
+    """
+    plain = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
+    found = settle(differing(plain))
+    wanted = plain.where("url IS NOT NULL").join(found, "url", "left").select("id", "url", "html", "near")
+    wanted = wanted.unionByName(plain.where("url IS NULL").withColumn("near", F.lit(None).cast("array<array<bigint>>")))
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            texts = ["\n\n".join(main_lines(text_lines(page), near)) for page, near in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
+
+    return wanted.mapInArrow(finish, "page_id long, url string, text string, n_chars long")

@@ -20,7 +20,7 @@ from quillspark.llm.chatformat import escape, format_conversations, read_back, u
 from quillspark.llm.decontaminate import contamination
 from quillspark.llm.langid import identify, keep_identified
 from quillspark.llm.packing import best_completion, pack, plan_sequences, token_pieces
-from quillspark.llm.pagediff import extract, shared_lines
+from quillspark.llm.pagediff import AROUND, aligned, extract, neighbours, outlines, text_lines
 from quillspark.llm.queries import QUERIES, URL_RULES
 from quillspark.llm.urlrules import judge
 
@@ -196,13 +196,15 @@ def test_pages(spark):
 
 def test_shared_lines_is_a_longest_common_subsequence():
     rng = random.Random(4)
-    for _ in range(80):
-        a, b = ([rng.choice("xyzw") for _ in range(rng.randrange(12))] for _ in range(2))
+    for _ in range(300):
+        a, b = ([rng.choice("xyzwab") for _ in range(rng.randrange(12))] for _ in range(2))
         table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
         for i, x in enumerate(a):
             for j, y in enumerate(b):
                 table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
-        assert len(shared_lines(a, b)) == table[-1][-1]
+        found = aligned(a, b)
+        assert len(found) == table[-1][-1] and all(a[i] == b[j] for i, j in found)
+        assert all(i < k and j < n for (i, j), (k, n) in zip(found, found[1:], strict=False))
 
 
 def brute_rule(url, rules):
@@ -283,21 +285,54 @@ def test_plans_go_back_over_sequences():
     assert need(planted, 40) == 7
 
 
-def test_pages_lose_template_lines_within_articles(spark):
-    def article(*lines):
-        return "<main>" + "".join(f"<p>{x}</p>" for x in lines) + "</main>"
+def article(*lines):
+    return "<main>" + "".join(x if x.startswith("<") else f"<p>{x}</p>" for x in lines) + "</main>"
 
-    long = [f"Paragraph {i} is told at some length and on its own page, {'so it goes on ' * 6}." for i in range(8)]
-    rows = [
-        (1, "http://a.org/x/1", article("Title one", long[0], "Subscribe now", long[1], long[2])),
-        (2, "http://a.org/x/2", article("Title two", long[3], "Subscribe now", long[1], long[4])),
-        (3, "http://a.org/x/2", article("Title two", long[3], "Subscribe now", long[1], long[4])),
-        (4, "http://b.org/x/1", article("One title", long[5], long[6], long[0])),
-        (5, "http://b.org/x/2", article("One title", long[5], long[6], long[7])),
-        (6, None, article("Alone")),
-    ]
-    found = {r["page_id"]: r for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert found[1]["text"].split("\n\n") == ["Title one", long[0], long[1], long[2]]
-    assert found[2]["text"].split("\n\n") == found[3]["text"].split("\n\n") == ["Title two", long[3], long[1], long[4]]
-    assert found[4]["text"].split("\n\n") == ["One title", long[5], long[6], long[0]] and found[6]["text"] == "Alone"
-    assert all(found[i]["partner"] is not None for i in range(1, 6)) and found[6]["partner"] is None
+
+LONG = [f"Paragraph {i} is told at some length and on its own page, {'so it goes on ' * 6}." for i in range(30)]
+
+
+def test_pages_lose_template_lines_within_articles(spark):
+    rows = [(i, f"http://a.org/x/{i}", article(f"Title {i}", LONG[i], "Subscribe now", LONG[20], LONG[i + 8])) for i in range(2 * AROUND + 1)]
+    rows += [(90, "http://a.org/x/1", article("Title 90", LONG[3], "Subscribe now", LONG[20], LONG[4]))]
+    rows += [(100 + i, f"http://b.org/x/{i}", article("One title", LONG[5 + i], "<div>Share this</div>", "Les.", LONG[20])) for i in range(2)]
+    rows += [(200, None, article("Alone")), (201, "http://c.org/", article("Alone", "<div>Share this</div>"))]
+    found = {r["page_id"]: r["text"].split("\n\n") for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    middle = AROUND
+    for i in range(2 * AROUND + 1):
+        notice = [] if i == middle else ["Subscribe now"]
+        assert found[i] == [f"Title {i}", LONG[i], *notice, LONG[20], LONG[i + 8]]
+    assert found[90] == ["Title 90", LONG[3], "Subscribe now", LONG[20], LONG[4]]
+    assert all(found[100 + i] == ["One title", LONG[5 + i], "Les.", LONG[20]] for i in range(2))
+    assert found[200] == ["Alone"] and found[201] == ["Alone", "Share this"]
+
+
+def test_extracted_pages_do_not_rest_on_article_tags(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    bare = pages.withColumn("html", F.regexp_replace("html", "<(/?)(article|main)", "<$1div"))
+    whole = {r["page_id"]: r["text"] for r in extract(pages).collect()}
+    assert {r["page_id"]: r["text"] for r in extract(bare).collect()} == whole
+    lines = {r["page_id"]: [x.text for x in text_lines(r["html"]) if x.zone == 2] for r in pages.collect()}
+    assert whole == {i: "\n\n".join(x) for i, x in lines.items()}
+
+
+def test_neighbours_of_whole_pages(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select(F.col("page_id").alias("id"), "url", "html")
+    rows = outlines(pages).groupBy("url", "host", "path").agg(F.min(F.struct("id", "marks")).alias("f")).select("url", "host", "path", "f.*")
+    held = sorted((r["host"], r["path"], r["id"], r["url"]) for r in rows.collect())
+
+    def shares(a, b):
+        return next((n for n, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+
+    want = {}
+    for k, (host, path, _, url) in enumerate(held):
+        before, after = ([held[j] for j in js if 0 <= j < len(held) and held[j][0] == host] for js in (range(k - AROUND, k), range(k + 1, k + 1 + AROUND)))
+        near = sorted([*before[-1:], *after[:1]], key=lambda x: -shares(path, x[1]))
+        want[url] = (near[0][3] if near else None, [x[3] for x in before + after])
+    for partitions in ("3", "60"):
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        try:
+            found = {r["url"]: (r["partner"]["url"] if r["partner"] else None, [x["url"] for x in r["around"]]) for r in neighbours(rows).collect()}
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+        assert found == want
