@@ -46,6 +46,21 @@ def slices(batches: Iterator[pa.RecordBatch], limit: int = SLICE_BYTES) -> Itera
             yield batch.slice(at, rows)
 
 
+def with_membership(rows: DataFrame, key: str, held: DataFrame, name: str, bits: int = 1 << 27) -> DataFrame:
+    """`rows` with a boolean `name`: false only where the column `key` isn't among those of `held`, or null.
+
+    A bitmap of `bits` hashed keys is broadcast, 16 MB however many keys there are; the more
+    there are beyond a tenth of that, the more other rows are true as well.
+    """
+    place = F.pmod(F.xxhash64(key), F.lit(bits))
+    maps = held.where(F.col(key).isNotNull()).select(place.alias("_p")).groupBy(F.bitmap_bucket_number("_p").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_p")).alias("_bits"))
+    marked = rows.withColumn("_p", place).withColumn("_bucket", F.bitmap_bucket_number("_p")).join(F.broadcast(maps), "_bucket", "left")
+    at = F.bitmap_bit_position("_p")
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False)) & F.col(key).isNotNull()
+    return marked.select(*rows.columns, hit.alias(name))
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z to a-z, nothing else.  `lower` does the same to texts without other letters, and does it faster."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

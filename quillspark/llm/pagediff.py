@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from quillspark.llm.common import settle, slices
+from quillspark.llm.common import settle, slices, with_membership
 from quillspark.llm.urlrules import url_parts
 
 # Fixed values of the HTML standard, and words that name page furniture.
@@ -193,19 +193,18 @@ def main_lines(lines: list[Line], near: list[list[int]] | None) -> list[str]:
 
 
 def outlines(pages: DataFrame) -> DataFrame:
-    """(id, url, host, path, marks) of pages (id, url, html)."""
-    host, path = url_parts(F.col("url"))
+    """(id, url, marks) of pages (id, url, html)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            found = [marks(text_lines(page)) for page in batch.column(4).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(found, pa.list_(pa.int64()))], names=["id", "url", "host", "path", "marks"])
+            found = [marks(text_lines(page)) for page in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(found, pa.list_(pa.int64()))], names=["id", "url", "marks"])
 
-    return pages.select("id", "url", host.alias("host"), path.alias("path"), "html").mapInArrow(run, "id long, url string, host string, path string, marks array<long>")
+    return pages.select("id", "url", "html").mapInArrow(run, "id long, url string, marks array<long>")
 
 
 def neighbours(rows: DataFrame) -> DataFrame:
-    """(url, partner, around) of the rows (url, host, path, id, marks), one for each url.
+    """The rows (url, id, marks, ...), one for each url, with partner and around added.
 
     `around` holds up to AROUND rows before and as many after in the order of host, path, id
     and url that have the same host; `partner` is the one next to it whose path shares the
@@ -215,7 +214,8 @@ def neighbours(rows: DataFrame) -> DataFrame:
     """
     partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ["host", "path", "id", "url"]
-    parts = settle(rows.select(*order, "marks").repartitionByRange(partitions, *order).withColumn("part", F.spark_partition_id()))
+    host, path = url_parts(F.col("url"))
+    parts = settle(rows.withColumns({"host": host, "path": path}).repartitionByRange(partitions, *order).withColumn("part", F.spark_partition_id()))
     one = F.struct(*order, "marks")
     own, back = (Window.partitionBy("part").orderBy(*[F.col(c).asc() if up else F.col(c).desc() for c in order]) for up in (True, False))
     numbered = parts.withColumns({"_up": F.row_number().over(own), "_down": F.row_number().over(back)})
@@ -226,24 +226,23 @@ def neighbours(rows: DataFrame) -> DataFrame:
     before, after = F.concat("above", "before"), F.concat("after", "below")
     before = F.slice(before, F.greatest(F.size(before) - AROUND + 1, F.lit(1)), F.lit(AROUND))
     here = lambda x: x["host"] == F.col("host")
-    seen = seen.select("url", "host", "path", F.filter(before, here).alias("before"), F.filter(F.slice(after, 1, AROUND), here).alias("after"))
+    seen = seen.select(*rows.columns, "path", F.filter(before, here).alias("before"), F.filter(F.slice(after, 1, AROUND), here).alias("after"))
     b, a = F.try_element_at("before", F.lit(-1)), F.try_element_at("after", F.lit(1))
 
     def prefix(other: Column) -> Column:
         steps = F.sequence(F.lit(0), F.least(F.length("path"), F.length(other["path"])))
         return F.coalesce(F.size(F.filter(steps, lambda n: F.substring(F.col("path"), F.lit(1), n) == F.substring(other["path"], F.lit(1), n))), F.lit(-1))
 
-    return seen.select("url", F.when(prefix(b) >= prefix(a), b).otherwise(a).alias("partner"), F.concat("before", "after").alias("around"))
+    return seen.select(*rows.columns, F.when(prefix(b) >= prefix(a), b).otherwise(a).alias("partner"), F.concat("before", "after").alias("around"))
 
 
 def differing(pages: DataFrame) -> DataFrame:
-    """(url, near) of the urls with a page that shares a line with its partner's; `near` as `main_lines` takes it."""
-    rows = settle(outlines(pages.where("url IS NOT NULL")))
-    firsts = rows.groupBy("url", "host", "path").agg(F.min(F.struct("id", "marks")).alias("f")).select("url", "host", "path", "f.*")
-    near = neighbours(firsts).where("partner IS NOT NULL")
+    """(url, near) of the urls of pages (id, url, html) that may share a line with their partner's; `near` as `main_lines` takes it."""
+    rows = outlines(pages.where("url IS NOT NULL"))
+    firsts = rows.groupBy("url").agg(F.min(F.struct("id", "marks")).alias("f"), (F.min("marks") != F.max("marks")).alias("several")).select("url", "f.*", "several")
+    near = neighbours(firsts).where(F.col("several") | F.arrays_overlap("marks", "partner.marks"))
     both = F.array(F.col("partner.marks"))
-    near = near.select("url", F.when(F.size("around") == 2 * AROUND, F.concat(both, F.transform("around", lambda x: x["marks"]))).otherwise(both).alias("near"))
-    return near.join(rows.select("url", "marks"), "url").where(F.arrays_overlap("marks", F.col("near")[0])).select("url", "near").dropDuplicates(["url"])
+    return near.where("partner IS NOT NULL").select("url", F.when(F.size("around") == 2 * AROUND, F.concat(both, F.transform("around", lambda x: x["marks"]))).otherwise(both).alias("near"))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -252,13 +251,13 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     text joins the main lines by two line ends, empty if there are none; null html has none.
     A url is compared with others by its page of smallest id; rows may repeat ids and urls,
     and pages of null urls are compared with none.  Digests of lines are all that is sorted
-    and written; pages themselves are read twice and dealt by url only where the urls that
-    share lines are too many to broadcast.
+    and written; of the pages themselves only those that share lines are dealt by url.
     """
     plain = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     found = settle(differing(plain))
-    wanted = plain.where("url IS NOT NULL").join(found, "url", "left").select("id", "url", "html", "near")
-    wanted = wanted.unionByName(plain.where("url IS NULL").withColumn("near", F.lit(None).cast("array<array<bigint>>")))
+    told = with_membership(plain, "url", found, "_differs")
+    wanted = told.where("_differs").join(found, "url", "left").select("id", "url", "html", "near")
+    wanted = wanted.unionByName(told.where("NOT _differs").select("id", "url", "html", F.lit(None).cast("array<array<bigint>>").alias("near")))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
