@@ -36,9 +36,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces with their sequence and place."""
-    pieces = token_pieces(docs)
-    return pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+    """Token pieces, their ids included, with their sequence and place."""
+    return pack(token_pieces(docs)).withColumn("ids_crc32", F.crc32("ids"))
 
 
 STAGES = [("language", language), ("near_dedup", near_dedup), ("substring_dedup", substring_dedup), ("decontamination", decontamination), ("packing", packing)]

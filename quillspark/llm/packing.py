@@ -237,28 +237,31 @@ def slots(plan: list[tuple[list[int], int]]) -> list[tuple[int, int, int, int, i
     return found
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, salts: int | None = None) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """`pieces` (a column `length` from 1 to capacity) with sequence_id and offset added.
 
     Sequences hold at most `capacity`, without gaps from offset 0.  Only the histogram of
-    lengths and the plan for it reach the driver; both are bounded by `capacity`.  A common
-    length is ranked in `salts` parts.  Columns named sequence_id or offset are replaced.
-    No rows give no rows.
+    lengths and the plan for it reach the driver; both are bounded by `capacity`.  Pieces are
+    ranked within their length after a range sort, so a common length is ranked in many
+    parts; what is broadcast has a row for each length and each part.  Other columns, such as
+    the pieces' ids, are written once and meet their places by row.  Columns named
+    sequence_id or offset are replaced.  No rows give no rows.
     """
     spark = pieces.sparkSession
-    salts = salts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    held = settle(pieces.drop("sequence_id", "offset"))
-    salted = held.withColumn("_salt", F.pmod(F.xxhash64(*[c for c, kind in held.dtypes if not kind.startswith("map")]), F.lit(salts)).cast("int"))
-    parts = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
-    bases = parts.select("length", "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    histogram = dict(held.groupBy("length").agg(F.count("*").alias("n")).collect())
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    held = settle(pieces.drop("sequence_id", "offset", "_row").withColumn("_row", F.monotonically_increasing_id()))
+    order = ["length", *[c for c in ("doc_id", "piece") if c in held.columns], "_row"]
+    parts = settle(held.select(*order).repartitionByRange(partitions, *order).withColumn("_part", F.spark_partition_id()))
+    counts = parts.groupBy("length", "_part").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select("length", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    histogram = dict(counts.groupBy("length").agg(F.sum("_n").alias("n")).collect())
     rows = slots(plan_sequences(histogram, capacity))
     places = spark.createDataFrame(rows, "length long, lo long, hi long, first long, offset long, beside long").groupBy("length").agg(F.collect_list(F.struct("lo", "hi", "first", "offset", "beside")).alias("_slots"))
-    own = Window.partitionBy("length", "_salt").orderBy(*[c for c in held.columns if c in ("doc_id", "piece")] or ["length"])
-    ranked = salted.join(F.broadcast(bases), ["length", "_salt"]).withColumn("_rank", F.col("_base") + F.row_number().over(own) - 1)
+    own = Window.partitionBy("length", "_part").orderBy(*order)
+    ranked = parts.withColumn("_rank", F.row_number().over(own) - 1).join(F.broadcast(bases), ["length", "_part"]).withColumn("_rank", F.col("_rank") + F.col("_base"))
     placed = ranked.join(F.broadcast(places), "length").withColumn("_slot", F.filter("_slots", lambda s: (s["lo"] <= F.col("_rank")) & (F.col("_rank") < s["hi"]))[0])
     at = F.col("_rank") - F.col("_slot.lo")
     sequence = F.col("_slot.first") + F.floor(at / F.col("_slot.beside"))
     offset = F.col("_slot.offset") + F.pmod(at, F.col("_slot.beside")) * F.col("length")
-    return placed.select(*held.columns, sequence.alias("sequence_id"), offset.alias("offset"))
+    return held.join(placed.select("_row", sequence.alias("sequence_id"), offset.alias("offset")), "_row").drop("_row")

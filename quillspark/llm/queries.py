@@ -33,8 +33,8 @@ def op1_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' token pieces packed into sequences of 2048."""
-    pieces = token_pieces(table(spark, sf_dir, "documents"))
-    return pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+    packed = pack(token_pieces(table(spark, sf_dir, "documents")))
+    return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,6 +17,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from quillspark.llm import media
 from quillspark.llm.chatformat import escape, format_conversations, read_back, unescape
+from quillspark.llm.common import with_membership
 from quillspark.llm.decontaminate import contamination
 from quillspark.llm.langid import identify, keep_identified
 from quillspark.llm.packing import best_completion, pack, plan_sequences, token_pieces
@@ -85,6 +86,14 @@ def test_packing_is_gapless_and_tight(spark, sf):
             assert offset == at
             at += length
         assert at <= 2048
+    own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    pieces = {(r["doc_id"], r["piece"]): r for r in rows}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        ids = np.array([*own.encode(r["text"] or "", add_special_tokens=False).ids, 0], "<u4")
+        cut = (len(ids) - 1) % 2048 + 1
+        for k, (a, b) in enumerate(zip([0, *range(cut, len(ids), 2048)], range(cut, len(ids) + 1, 2048), strict=True)):
+            p = pieces[r["doc_id"], k]
+            assert (p["start"], p["length"], p["ids_crc32"]) == (a, b - a, zlib.crc32(ids[a:b].tobytes()))
     total = sum(r["length"] for r in rows)
     assert len(by) <= 1.02 * -(-total // 2048) + 1
     assert len({(r["doc_id"], r["piece"]) for r in rows}) == len(rows)
@@ -111,6 +120,8 @@ def test_best_completion_is_optimal():
 def test_pack_without_rows(spark):
     none = spark.createDataFrame([], "doc_id long, text string, offset int")
     assert pack(token_pieces(none)).count() == 0
+    some = spark.createDataFrame([(i, 900, "a", 7) for i in (1, 1, None, 2)], "doc_id long, length int, text string, offset int")
+    assert sorted((r["sequence_id"], r["offset"], r["text"]) for r in pack(some).collect()) == [(0, 0, "a"), (0, 900, "a"), (1, 0, "a"), (1, 900, "a")]
 
 
 def test_media_round_trips():
@@ -318,8 +329,8 @@ def test_extracted_pages_do_not_rest_on_article_tags(spark):
 
 def test_neighbours_of_whole_pages(spark):
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select(F.col("page_id").alias("id"), "url", "html")
-    rows = outlines(pages).groupBy("url", "host", "path").agg(F.min(F.struct("id", "marks")).alias("f")).select("url", "host", "path", "f.*")
-    held = sorted((r["host"], r["path"], r["id"], r["url"]) for r in rows.collect())
+    rows = outlines(pages).groupBy("url").agg(F.min(F.struct("id", "marks")).alias("f")).select("url", "f.*")
+    held = sorted((*brute_rule(r["url"], [])[:2], r["id"], r["url"]) for r in rows.collect())
 
     def shares(a, b):
         return next((n for n, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
@@ -336,3 +347,13 @@ def test_neighbours_of_whole_pages(spark):
         finally:
             spark.conf.set("spark.sql.shuffle.partitions", "4")
         assert found == want
+
+
+def test_membership_has_no_false_negatives(spark):
+    keys = [f"k{i}" for i in range(500)]
+    rows = spark.createDataFrame([(k,) for k in [*keys, None]], "k string")
+    held = rows.where("k IS NULL OR k LIKE '%7'")
+    for bits, most in ((1 << 27, 50), (64, 500)):
+        found = {r["k"]: r["_in"] for r in with_membership(rows, "k", held, "_in", bits).collect()}
+        assert len(found) == 501 and not found[None] and all(found[k] for k in keys if k.endswith("7"))
+        assert sum(found.values()) <= most
