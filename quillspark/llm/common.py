@@ -34,7 +34,7 @@ def settle(frame: DataFrame) -> DataFrame:
     """Write the frame to the shared folder and read it back: later steps neither recompute it nor depend on executors."""
     spark = frame.sparkSession
     path = f"{shared_folder(spark)}/settled-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
+    frame.write.parquet(path, compression="zstd")
     return spark.read.schema(frame.schema).parquet(path)
 
 
@@ -46,10 +46,10 @@ def slices(batches: Iterator[pa.RecordBatch], limit: int = SLICE_BYTES) -> Itera
             yield batch.slice(at, rows)
 
 
-def with_membership(rows: DataFrame, key: str, held: DataFrame, name: str, bits: int = 1 << 27) -> DataFrame:
+def with_membership(rows: DataFrame, key: str, held: DataFrame, name: str, bits: int = 1 << 25) -> DataFrame:
     """`rows` with a boolean `name`: false only where the column `key` isn't among those of `held`, or null.
 
-    A bitmap of `bits` hashed keys is broadcast, 16 MB however many keys there are; the more
+    A bitmap of `bits` hashed keys is broadcast, 4 MB however many keys there are; the more
     there are beyond a tenth of that, the more other rows are true as well.
     """
     place = F.pmod(F.xxhash64(key), F.lit(bits))
