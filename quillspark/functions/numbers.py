@@ -17,8 +17,8 @@ def number_or_zero(value: Column) -> Column:
 
 
 def parse_money(token: Column) -> Column:
-    """Whole units from a token with commas or points between thousands."""
-    return F.regexp_replace(F.regexp_extract(token, r"(-?\d{1,3}(?:[,.]\d{3})+|-?\d+)", 1), "[,.]", "").try_cast("long")
+    """Whole units of a token: its digits, whatever stands between or around them; 0 without any."""
+    return F.coalesce(F.nullif(F.regexp_replace(token.cast("string"), r"\D", ""), F.lit("")).try_cast("long"), F.lit(0))
 
 
 def half_even(value: Column, places: int = 0) -> Column:
@@ -43,14 +43,14 @@ def inclusive_tax(total: Column) -> Column:
 
 
 def separator_lost(a: Column, b: Column) -> Column:
-    """Whether one number is the other times a thousand or a thousandth."""
-    return F.coalesce((a != 0) & (b != 0) & ((F.abs(a - b * 1000) < 0.01) | (F.abs(b - a * 1000) < 0.01)), F.lit(False))
+    """Whether one positive number is the other times a thousand."""
+    return F.coalesce((a > 0) & (b > 0) & ((F.abs(a * 1000 - b) < 0.01) | (F.abs(b * 1000 - a) < 0.01)), F.lit(False))
 
 
 def speed_score(mean_ms: Column, p95_ms: Column) -> Column:
-    """0 to 3 points for a mean under two minutes, 1 at most if the 95th percentile is over three."""
+    """0 to 3 points for a mean under two minutes, 1 at most if the 95th percentile is over three; 0 without a mean."""
     points = F.greatest(F.lit(0.0), F.least(F.lit(3.0), (120 - mean_ms / 1000) / 30))
-    return F.when(p95_ms > 180_000, F.least(points, F.lit(1.0))).otherwise(points)
+    return F.when(mean_ms.isNull(), 0.0).when(p95_ms > 180_000, F.least(points, F.lit(1.0))).otherwise(points)
 
 
 def sigmoid(value: Column) -> Column:

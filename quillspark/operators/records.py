@@ -11,14 +11,22 @@ from quillspark.functions.numbers import half_even
 
 
 def latest(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:
-    """One row per key, the first in the given order."""
+    """One row per key, the first in the given order; a null key is one key.
+
+    The plan limits each key to its first row within every partition before rows are dealt
+    (WindowGroupLimit), so a key that holds any share of them is no hot one.
+    """
     own = Window.partitionBy(*keys).orderBy(*order)
     return rows.withColumn("_rn", F.row_number().over(own)).where("_rn = 1").drop("_rn")
 
 
-def upsert(table: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
-    """The table with changes put in by key: a change replaces its row, new keys are added."""
-    return table.join(changes, keys, "left_anti").unionByName(changes)
+def upsert(table: DataFrame, changes: DataFrame, keys: list[str], *order: Column) -> DataFrame:
+    """The table with changes put in by key: a key's latest change replaces its row, new keys are added.
+
+    `order` puts the latest change of a key first; without it keys must not repeat.
+    """
+    last = latest(changes, keys, *order) if order else changes
+    return table.join(last, keys, "left_anti").unionByName(last)
 
 
 def only_new(rows: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:
@@ -104,3 +112,40 @@ def tax_parts(rows: DataFrame, total: str) -> DataFrame:
 def weighted_score(parts: dict[str, tuple[Column, float]]) -> Column:
     """Sum of booleans or shares times their weights; nulls count 0."""
     return reduce(lambda a, b: a + b, [F.coalesce(c.cast("double"), F.lit(0.0)) * w for c, w in parts.values()])
+
+
+def unique_ids(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """Rows with a key of their own: all but the first of each key get their number within it added."""
+    place = F.row_number().over(Window.partitionBy(key).orderBy(order))
+    return rows.withColumn("_rn", place).withColumn(key, F.when(F.col("_rn") == 1, F.col(key)).otherwise(F.concat(F.col(key), F.lit("-"), F.col("_rn").cast("string")))).drop("_rn")
+
+
+def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """(name, n) of several tables."""
+    return reduce(DataFrame.unionByName, [rows.agg(F.lit(name).alias("name"), F.count("*").alias("n")) for name, rows in tables.items()])
+
+
+def multisets(a: DataFrame, b: DataFrame, by: str, value: str) -> DataFrame:
+    """(by, equal, common): whether the values of two tables are the same as multisets, and how many they share."""
+    tagged = a.select(by, value, F.lit(1).alias("_a"), F.lit(0).alias("_b")).unionByName(b.select(by, value, F.lit(0).alias("_a"), F.lit(1).alias("_b")))
+    counts = tagged.groupBy(by, value).agg(F.sum("_a").alias("_a"), F.sum("_b").alias("_b"))
+    return counts.groupBy(by).agg(F.every(F.col("_a") == F.col("_b")).alias("equal"), F.sum(F.least("_a", "_b")).alias("common"))
+
+
+def last_mentioned(text: Column, items: list[str]) -> Column:
+    """The item that stands last in the text, the first in the list of equals; null if none does."""
+    places = [F.when(F.contains(text, F.lit(i)), F.length(text) - F.instr(F.reverse(text), i[::-1]) - len(i) + 2).otherwise(0) for i in items]
+    best = F.array_position(F.array(*places), F.greatest(*places)) if len(items) > 1 else F.lit(1)
+    return F.when(F.array_max(F.array(*places)) > 0, F.element_at(F.array(*map(F.lit, items)), best.cast("int")))
+
+
+def rerank(rows: DataFrame, by: str, score: str, again: str, tie: str, first: int = 10, last: int = 5) -> DataFrame:
+    """The best `last` by `again` among the best `first` by `score`, with `rank` from 1."""
+    best = rows.withColumn("_r", F.row_number().over(Window.partitionBy(by).orderBy(F.desc(score), tie))).where(F.col("_r") <= first)
+    return best.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(F.desc(again), tie))).where(F.col("rank") <= last).drop("_r")
+
+
+def with_status(documents: DataFrame, parts: DataFrame, key: str) -> DataFrame:
+    """Documents with the number of their parts, and READY if there are any, else EMPTY."""
+    counts = parts.groupBy(key).agg(F.count("*").alias("n"))
+    return documents.join(counts, key, "left").select(*documents.columns, F.coalesce("n", F.lit(0)).alias("n"), F.when(F.col("n") > 0, "READY").otherwise("EMPTY").alias("status"))

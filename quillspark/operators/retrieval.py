@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions.numbers import norm
 from quillspark.functions.text import search_tokens
+from quillspark.session import checkpointed
 
 K1, B, LIMIT, THRESHOLD = 1.5, 0.75, 12, 0.2
 #: Scores are ranked at this many decimals, so that ties fall to the id on any partitioning.
@@ -35,9 +36,10 @@ def bm25(queries: DataFrame, docs: DataFrame, k1: float = K1, b: float = B, limi
 
     The corpus mean counts every document, empty ones included.  Only postings of terms that
     some query has are shuffled; document lengths travel with them.  No token, no rows.
+    Texts are tokenised once, for the corpus and the postings.
     """
     asked = queries.select("query_id", F.explode(F.array_distinct(search_tokens(F.col("text")))).alias("term"))
-    said = spread_out(docs.select("doc_id", "text")).select("doc_id", search_tokens(F.col("text")).alias("tokens"))
+    said = checkpointed(spread_out(docs.select("doc_id", "text")).select("doc_id", search_tokens(F.col("text")).alias("tokens")))
     corpus = said.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("mean")).select("n", F.when(F.col("mean") > 0, F.col("mean")).otherwise(1.0).alias("mean"))
     tokens = said.select("doc_id", F.size("tokens").alias("dl"), F.explode_outer("tokens").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
     postings = tokens.groupBy("term", "doc_id", "dl").agg(F.count("*").alias("f"))

@@ -26,9 +26,9 @@ def asof_last(rows: DataFrame, by: str, order: list[str], marker: Column, value:
     return rows.withColumn(name, F.last(F.when(marker, value), ignorenulls=True).over(seen))
 
 
-def contiguous(rows: DataFrame, by: str, start: str, end: str) -> DataFrame:
+def contiguous(rows: DataFrame, by: str, start: str, end: str, *ties: str) -> DataFrame:
     """Rows with `joined`: whether they start where the one before ends (true for the first)."""
-    order = Window.partitionBy(by).orderBy(start, end)
+    order = Window.partitionBy(by).orderBy(start, end, *ties)
     return rows.withColumn("joined", F.coalesce(F.lag(end).over(order) == F.col(start), F.lit(True)))
 
 

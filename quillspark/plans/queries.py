@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,27 +13,13 @@ from quillspark.operators import monitoring as M
 from quillspark.operators import records as R
 from quillspark.operators import retrieval as V
 from quillspark.operators import sequences as S
+from quillspark.plans.registry import ORACLES, QUERIES, query
 from quillspark.sources.tables import table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
 #: The library's tokens in SQL.
 TOKENS = f"list_filter(list_transform(regexp_extract_all(lower(coalesce(text, '')), '[가-힣A-Za-z0-9]+'), lambda t: regexp_replace(t, '({T.SEARCH_PARTICLES})$', '')), lambda t: length(t) >= 2)"
 
 
-def query(sql: str | None = None) -> Callable:
-    """Register a query under its function's name."""
-
-    def register(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        QUERIES[run.__name__] = run
-        if sql:
-            ORACLES[run.__name__] = sql
-        return run
-
-    return register
-
-
 BM25 = f"""
 WITH asked AS (SELECT DISTINCT item_id AS query_id, unnest({TOKENS}) AS term FROM benchmark),
 said AS (SELECT doc_id, {TOKENS} AS tokens FROM documents),
@@ -340,3 +325,9 @@ def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_retailprice", "p_size")
     after = parts.where("p_size % 5 <> 0").withColumn("p_retailprice", F.when(F.col("p_size") % 3 == 0, F.col("p_retailprice") + 1).otherwise(F.col("p_retailprice")))
     return R.snapshot_diff(parts.where("p_size % 7 <> 0"), after, "p_partkey", ["p_name", "p_retailprice"])
+
+
+#: Other modules register theirs on import.
+from quillspark.plans import evaluation, layout, listings, receipts, texts  # noqa: E402
+
+__all__ = ["ORACLES", "QUERIES", "evaluation", "layout", "listings", "receipts", "texts"]

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(name: str = "quillspark", cores: str = "*", partitions: int = 8, **settings: str) -> SparkSession:
@@ -12,3 +14,16 @@ def session(name: str = "quillspark", cores: str = "*", partitions: int = 8, **s
     for key, value in (fixed | settings).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def checkpointed(frame: DataFrame) -> DataFrame:
+    """The frame cut from its lineage, in the folder that the cluster shares; a temporary one only where none is set and the master is local."""
+    context = frame.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        folder = frame.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="quillspark-")
+        context.setCheckpointDir(folder)
+    return frame.checkpoint()

@@ -74,7 +74,6 @@ def test_text_functions(spark):
     assert masked == f"mail {T.MASK} now"
     assert one(spark, T.is_rejection(s("찾을 수 없습니다")), T.is_rejection(s("yes")), T.is_rejection(s(None))) == (True, False, False)
     assert one(spark, T.condition_supported(s("5일"), s("3일 이상")), T.condition_supported(s("2일"), s("3일 이상"))) == (True, False)
-    assert one(spark, T.chunk_fixed(s("x" * 1000)))[0] == ["x" * 600, "x" * 520]
 
 
 def test_number_functions(spark):
