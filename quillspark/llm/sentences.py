@@ -1,6 +1,7 @@
 """Substring dedup by sliding sentence spans.
 
-Texts are cut into sentences and clauses.  From each of them a span runs over as many as
+Texts are cut into sentences and clauses, and these after every word whose checksum says so,
+since a long one would hide what is repeated within it.  From each of them a span runs over as many as
 make at least MIN_SENTENCES and MIN_WORDS; every span is hashed and counted over all
 documents, and sentences under a span that isn't the first of its kind are removed.
 Where a span starts and ends depends on its own words alone, so a passage gives the same
@@ -12,6 +13,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,11 +22,11 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from quillspark.llm.bytehash import Rolling
-from quillspark.llm.common import settle, slices
+from quillspark.llm.common import settle, slices, with_membership
 
 MIN_SENTENCES, MIN_WORDS = 3, 25
-#: A sentence of more words is also cut after every word whose checksum is a multiple of CUT.
-LONG_SENTENCE, CUT = 12, 4
+#: A clause also ends after every word whose checksum is a multiple of this.
+CUT = 4
 _STOPS = ".!?,;:|\n。！？；：，、｡､…؟،؛۔।॥።፣"
 _SENTENCE = re.compile(f"[^{_STOPS}]*[{_STOPS}]+\\s*|[^{_STOPS}]+")
 #: Letters of scripts that put no spaces between words; each counts as a word.
@@ -42,20 +44,23 @@ def split_sentences(text: str) -> list[str]:
     """Sentences and clauses with what follows them; joined they are the text."""
     found = []
     for part in _SENTENCE.findall(text):
-        if len(part) > LONG_SENTENCE and count_words(part) > LONG_SENTENCE:
-            words = _WORD.findall(part)
-            held = part[: len(part) - sum(map(len, words))]
-            for word in words:
-                held += word
-                if zlib.crc32(word.strip().encode()) % CUT == 0:
-                    found.append(held)
-                    held = ""
-            found += [held] if held else []
-        else:
-            found.append(part)
+        words = _WORD.findall(part)
+        held = part[: len(part) - sum(map(len, words))]
+        for word in words:
+            held += word
+            if _ends(word.rstrip()):
+                found.append(held)
+                held = ""
+        found += [held] if held else []
     return found
 
 
+@lru_cache(1 << 16)
+def _ends(word: str) -> bool:
+    """Whether a clause ends after a word."""
+    return zlib.crc32(word.encode()) % CUT == 0
+
+
 def span_hashes(text: str, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash, first sentence and end of each span of a text; white space within it doesn't count."""
     sentences = split_sentences(text)
@@ -87,12 +92,15 @@ def _spans(texts: DataFrame) -> DataFrame:
 def later_spans(texts: DataFrame) -> DataFrame:
     """(id, at): where spans start that have come before, by id and then by place.
 
-    The smallest id of each repeated span is written first.  So both sides of the join on
-    the span are dealt anew, and adaptive execution can split a span that is very common.
+    The smallest id of each repeated span is written first.  Spans that a bitmap of these
+    rules out aren't dealt again; both sides of the join on the others are dealt anew, and
+    adaptive execution can split a span that is very common.  Spans are computed twice
+    rather than written, since they take more room than the texts.
     """
     spans = _spans(texts)
     often = settle(spans.groupBy("span").agg(F.count("*").alias("_n"), F.min("id").alias("_first")).where("_n > 1").select("span", "_first"))
-    return spans.join(often, "span").where("id > _first OR again").select("id", "at")
+    told = with_membership(spans, "span", often, "_may", bits=1 << 27).where("_may")
+    return told.join(often, "span").where("id > _first OR again").select("id", "at")
 
 
 def drop_repeated_sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
