@@ -23,8 +23,8 @@ from quillspark.llm.common import slices
 ORDER = 4
 #: Documents of each language that a model is fitted on, about; with it the model's size is bounded.
 SAMPLE_DOCS = 1000
-#: Words whose scores a worker remembers, and the longest piece scored as one word.
-MEMORY_WORDS, PIECE = 400_000, 48
+#: Words whose scores a worker remembers, their letters in all, and letters scored at once.
+MEMORY_WORDS, MEMORY_LETTERS, BLOCK_LETTERS = 400_000, 1 << 23, 1 << 17
 #: A text is rejected beyond this multiple of the highest cross-entropy of its language's sample.
 SLACK = 1.25
 EDGE = "\x02"
@@ -108,15 +108,22 @@ class Model:
         codes = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
         ends = np.cumsum(sizes)
         place = np.arange(len(codes)) - np.repeat(ends - sizes, sizes)
-        at = np.flatnonzero(place >= ORDER - 1)
-        chance = np.tile(self.floor, (len(at), 1))
-        for order in range(1, ORDER + 1):
-            gram = codes[at[:, None] + np.arange(1 - order, 1)]
-            (keys, share), (contexts, weight) = self.shares[order - 1], self.weights[order - 1]
-            chance = share[_find(keys, _hash(gram))] + weight[_find(contexts, _hash(gram[:, :-1]))] * chance
-        spent = -np.log2(chance)
-        owner = np.repeat(np.arange(len(words)), sizes)[at]
-        return np.stack([np.bincount(owner, spent[:, i], len(words)) for i in range(len(self.langs))], axis=1)
+        every = np.flatnonzero(place >= ORDER - 1)
+        owners = np.repeat(np.arange(len(words)), sizes)
+        spent = np.zeros((len(words), len(self.langs)))
+        for start in range(0, len(every), BLOCK_LETTERS):
+            at = every[start : start + BLOCK_LETTERS]
+            chance = np.tile(self.floor, (len(at), 1))
+            for order in range(1, ORDER + 1):
+                gram = codes[at[:, None] + np.arange(1 - order, 1)]
+                (keys, share), (contexts, weight) = self.shares[order - 1], self.weights[order - 1]
+                chance = share[_find(keys, _hash(gram))] + weight[_find(contexts, _hash(gram[:, :-1]))] * chance
+            first = owners[at[0]]
+            bits, owner = -np.log2(chance), owners[at] - first
+            for i in range(len(self.langs)):
+                sums = np.bincount(owner, bits[:, i])
+                spent[first : first + len(sums), i] += sums
+        return spent
 
 
 class Scorer:
@@ -128,11 +135,12 @@ class Scorer:
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
+        self.letters = 0
         self.table = np.zeros((1024, len(self.model.langs) + 1))
 
     def learn(self, tokens: set[str]) -> None:
         new = [t for t in tokens if t not in self.known]
-        if len(self.known) + len(new) > MEMORY_WORDS:
+        if len(self.known) + len(new) > MEMORY_WORDS or self.letters > MEMORY_LETTERS:
             self.clear()
             new = list(tokens)
         plain = [letters(t) for t in new]
@@ -144,13 +152,14 @@ class Scorer:
             rows[part, -1] = [len(plain[i]) + 1 for i in part]
         while len(self.table) < len(self.known) + len(new):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        self.letters += sum(map(len, new))
         start = len(self.known)
         self.table[start : start + len(new)] = rows
         self.known.update(zip(new, range(start, start + len(new)), strict=True))
 
     def entropies(self, texts: list[str | None]) -> np.ndarray:
         """Bits per letter by text and language; NaN for texts without letters."""
-        split = [_pieces(t) for t in texts]
+        split = [(t or "").split() for t in texts]
         self.learn({token for tokens in split for token in tokens})
         found = np.full((len(texts), len(self.model.langs)), np.nan)
         for i, tokens in enumerate(split):
@@ -161,21 +170,13 @@ class Scorer:
         return found
 
 
-def _pieces(text: str | None) -> list[str]:
-    """Tokens between white space, long ones in pieces."""
-    tokens = (text or "").split()
-    if tokens and max(map(len, tokens)) > PIECE:
-        tokens = [t[at : at + PIECE] for t in tokens for at in range(0, len(t), PIECE)]
-    return tokens
-
-
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of padded n-grams by language."""
     counts: Counter = Counter()
     for batch in slices(batches):
         words: Counter = Counter()
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            for token, n in Counter(_pieces(text)).items():
+            for token, n in Counter(text.split()).items():
                 words[lang, letters(token)] += n
         for (lang, word), n in words.items():
             if word:
@@ -254,6 +255,11 @@ def identify(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    """The rows of docs whose text is in one of the learned languages: not without letters, not beyond its language's limit."""
+    """The rows of docs whose text is in one of the learned languages: not without letters, not beyond its language's limit.
+
+    Null and empty texts go; rows that repeat, null ids and columns of any name stay as they are.
+    """
     model = train(docs.where(fold(F.col("doc_id")) != 0), sample_docs)
-    return score(docs, model, keep=docs.columns).where(~F.col("rejected")).select(*docs.columns)
+    named = docs.toDF(*[f"_{i}_{c}" for i, c in enumerate(docs.columns)])
+    scored = score(named, model, text_col=named.columns[docs.columns.index("text")], keep=named.columns)
+    return scored.where(~F.col("rejected")).select(*[F.col(f"`{mine}`").alias(c) for mine, c in zip(named.columns, docs.columns, strict=True)])
