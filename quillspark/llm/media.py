@@ -14,10 +14,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import slices
+from quillspark.llm.common import settle, slices
 
 #: Payloads are padded to a multiple of this many bytes, the samples of one row of their image.
 UNIT = 576
+#: Samples of an image that are summed at once.
+BLOCK_SAMPLES = 1 << 20
 _HEADER = re.compile(rb"(?:\s|#[^\r\n]*[\r\n])*([^\s#]+)")
 
 
@@ -69,6 +71,8 @@ def decode_bmp(data: bytes) -> np.ndarray:
     rows = rows[::-1] if height > 0 else rows
     if depth == 8:
         colours = np.frombuffer(data, np.uint8, (start - 14 - header) // 4 * 4, 14 + header).reshape(-1, 4)[:, 2::-1]
+        if rows.size and rows.max() >= len(colours):
+            raise ValueError("BMP names a colour that its palette lacks")
         grey = bool((colours == colours[:, :1]).all())
         return (colours[:, 0] if grey else colours)[rows]
     return np.ascontiguousarray(rows.reshape(abs(height), width, depth // 8)[:, :, 2::-1])
@@ -86,8 +90,14 @@ def encode_bmp(image: np.ndarray) -> bytes:
 
 
 def decode(data: bytes) -> np.ndarray:
-    """An image of either format."""
-    return decode_bmp(data) if data[:2] == b"BM" else decode_netpbm(data)
+    """An image of either format; ValueError for what is neither, cut short, or without a sample."""
+    try:
+        image = decode_bmp(data) if data[:2] == b"BM" else decode_netpbm(data)
+    except (struct.error, OverflowError, IndexError) as error:
+        raise ValueError(f"unreadable image: {error}") from error
+    if not image.size:
+        raise ValueError("an image without a sample")
+    return image
 
 
 def grey(image: np.ndarray) -> np.ndarray:
@@ -96,23 +106,40 @@ def grey(image: np.ndarray) -> np.ndarray:
 
 
 def area_resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Mean of each output sample's area of a grey image, by its integral image; area edges are interpolated."""
-    total = np.zeros((image.shape[0] + 1, image.shape[1] + 1))
-    np.cumsum(np.cumsum(image, axis=0, dtype=np.float64), axis=1, out=total[1:, 1:])
-
-    def at(count: int, size: int, sums: np.ndarray) -> np.ndarray:
-        edge = np.arange(count + 1) * (size / count)
-        low = np.minimum(edge.astype(np.int64), size - 1)
-        part = (edge - low)[:, None]
-        return sums[low] * (1 - part) + sums[low + 1] * part
+    """Mean of each output sample's area of an image's grey, by its integral image; area edges are interpolated.
 
-    sums = at(width, image.shape[1], at(height, image.shape[0], total).T).T
-    return np.diff(np.diff(sums, axis=0), axis=1) / (image.shape[0] / height * image.shape[1] / width)
+    The integral image is summed in blocks of rows, of which only those at the edges are kept.
+    """
+    rows, columns = image.shape[:2]
+    low, part = _edges(height, rows)
+    wanted = np.unique(np.concatenate([low, low + 1]))
+    kept = np.zeros((len(wanted), columns + 1))
+    carry = np.zeros(columns + 1)
+    step = max(1, BLOCK_SAMPLES // columns)
+    for start in range(0, rows, step):
+        total = np.zeros((min(step, rows - start) + 1, columns + 1))
+        np.cumsum(np.cumsum(grey(image[start : start + step]), axis=1), axis=0, out=total[1:, 1:])
+        total += carry
+        some = (wanted >= start) & (wanted < start + len(total))
+        kept[some] = total[wanted[some] - start]
+        carry = total[-1]
+    place = np.searchsorted(wanted, low)
+    sums = kept[place] * (1 - part)[:, None] + kept[place + 1] * part[:, None]
+    low, part = _edges(width, columns)
+    sums = sums[:, low] * (1 - part) + sums[:, low + 1] * part
+    return np.diff(np.diff(sums, axis=0), axis=1) / (rows / height * columns / width)
+
+
+def _edges(count: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sample that each of `count` equal parts' edges falls in, and where in it."""
+    edge = np.arange(count + 1) * (size / count)
+    low = np.minimum(edge.astype(np.int64), size - 1)
+    return low, edge - low
 
 
 def difference_hash(image: np.ndarray) -> int:
     """64 bits: whether each of 8 x 8 samples of the 9 x 8 resized image is brighter than the next in its row."""
-    small = area_resize(grey(image), 8, 9)
+    small = area_resize(image, 8, 9)
     return int.from_bytes(np.packbits(small[:, :-1] > small[:, 1:]).tobytes(), "big")
 
 
@@ -153,37 +180,49 @@ def media_tiles(media: DataFrame, id_col: str, media_col: str, tile: tuple[int,
 def _tile(data: bytes | None, tile: tuple[int, int] | None) -> tuple[int | None, int | None, bytes | None, int | None]:
     try:
         image = decode(data or b"")
-    except (ValueError, struct.error):
+    except ValueError:
         return None, None, None, None
     mark = difference_hash(image)
     if tile:
-        image = np.clip(np.rint(area_resize(grey(image), *tile)), 0, 255).astype(np.uint8)
+        image = np.clip(np.rint(area_resize(image, *tile)), 0, 255).astype(np.uint8)
     return image.shape[0], image.shape[1], to_npy(image), mark - (1 << 64 if mark >> 63 else 0)
 
 
-def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_tile: bool = True) -> DataFrame:
-    """Each text kept as an image: (doc_id, n_bytes, npy, payload digests and feature).
+def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_bytes, npy) of each text: its UTF-8 bytes (null: none) as a PGM image, decoded and kept as an NPY tile of 8-bit samples."""
 
-    The UTF-8 bytes (null: none) become a PGM image, which is decoded and stored as an NPY
-    tile of 8-bit samples; the digests and the difference hash are taken from the tile as
-    read back.  Equal texts give equal values; a text of any length is one row.
-    `keep_tile` leaves the tile's bytes in the result.
-    """
-    kinds = {"n_bytes": pa.int64(), "payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string()} | ({"npy": pa.binary()} if keep_tile else {})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            texts = [data or b"" for data in batch.column(1).to_pylist()]
+            tiles = [to_npy(decode_netpbm(payload_image(data))) for data in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, texts), pa.int64()), pa.array(tiles, pa.binary())], names=["doc_id", "n_bytes", "npy"])
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("media")).mapInArrow(run, "doc_id long, n_bytes long, npy binary")
+
+
+def read_tiles(stored: DataFrame) -> DataFrame:
+    """(doc_id, n_bytes, payload digests, media digests, feature) of stored tiles (doc_id, n_bytes, npy); the feature is the difference hash."""
+    kinds = {"payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            rows = [_stored(data or b"", keep_tile) for data in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds.values(), strict=True))], names=["doc_id", *kinds])
+            rows = [_told(npy) for npy in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds.values(), strict=True))], names=["doc_id", "n_bytes", *kinds])
 
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("media")).mapInArrow(run, schema + ", npy binary" * keep_tile)
+    return stored.mapInArrow(run, schema)
 
 
-def _stored(data: bytes, keep_tile: bool) -> tuple:
-    npy = to_npy(decode_netpbm(payload_image(data)))
+def _told(npy: bytes) -> tuple:
     image = from_npy(npy)
     payload = image.tobytes()
-    digest = hashlib.sha256(payload).hexdigest()
-    found = (len(data), len(payload), digest, zlib.crc32(payload[-32:]), len(npy), hashlib.sha256(npy).hexdigest(), f"{difference_hash(image):016x}")
-    return (*found, npy) if keep_tile else found
+    return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(npy), hashlib.sha256(npy).hexdigest(), f"{difference_hash(image):016x}"
+
+
+def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Each text kept as an image and told by its stored bytes: `read_tiles` of `store_texts`, written in between.
+
+    Equal texts give equal values; a text of any length, null or empty, is one row.  Repeated
+    ids keep a row each; other columns are not used.
+    """
+    return read_tiles(settle(store_texts(docs, id_col, text_col)))

@@ -39,7 +39,7 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts kept as images, read back, with features."""
-    return text_media(table(spark, sf_dir, "documents"), keep_tile=False)
+    return text_media(table(spark, sf_dir, "documents"))
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import io
 import random
 import re
+import struct
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -19,7 +21,7 @@ from quillspark.llm import media
 from quillspark.llm.chatformat import escape, format_conversations, read_back, unescape
 from quillspark.llm.common import with_membership
 from quillspark.llm.decontaminate import contamination
-from quillspark.llm.langid import identify, keep_identified
+from quillspark.llm.langid import Model, identify, keep_identified
 from quillspark.llm.packing import best_completion, pack, plan_sequences, token_pieces
 from quillspark.llm.pagediff import AROUND, aligned, extract, neighbours, outlines, text_lines
 from quillspark.llm.queries import QUERIES, URL_RULES
@@ -137,6 +139,26 @@ def test_media_round_trips():
     assert np.allclose(block, grey)
 
 
+def test_media_of_odd_files(spark):
+    """Malformed, empty, null and repeated media give a row each; tall images are summed in blocks."""
+    palette = media.encode_bmp(np.zeros((1, 1), np.uint8))[:14] + struct.pack("<IiiHHIIiiII", 40, 2, 1, 1, 8, 0, 0, 0, 0, 2, 0) + bytes(8) + bytes([0, 9, 0, 0])
+    palette = palette[:10] + struct.pack("<I", 62) + palette[14:]
+    good = media.encode_netpbm(np.arange(12, dtype=np.uint8).reshape(3, 4))
+    odd = [None, b"", b"P5", b"P5\n0 0\n255\n", b"P5 9 9 255 x", b"P2 1 1 255 z", b"BM", palette, b"P2 1 1 255 999999999999999999999999"]
+    rows = [(i, x, "c", 1) for i, x in enumerate([*odd, good, good])]
+    found = {r["id"]: r for r in media.media_tiles(spark.createDataFrame(rows, "key long, media binary, npy string, id int"), "key", "media", (2, 2)).collect()}
+    assert len(found) == len(rows) and all(found[i]["npy"] is None and found[i]["dhash"] is None for i in range(len(odd)))
+    assert found[9]["npy"] == found[10]["npy"] and media.from_npy(found[9]["npy"]).shape == (2, 2) and found[9]["height"] == 2
+    assert media.media_tiles(spark.createDataFrame([], "key long, media binary"), "key", "media").count() == 0
+    rng = np.random.default_rng(5)
+    tall = rng.integers(0, 256, (4001, 576), np.uint8)
+    whole = media.area_resize(tall, 8, 9)
+    for i, j in ((0, 0), (3, 4), (7, 8)):
+        y0, y1, x0, x1 = i * 4001 / 8, (i + 1) * 4001 / 8, j * 64, (j + 1) * 64
+        weights = np.clip(np.minimum(np.arange(1, 4002), y1) - np.maximum(np.arange(4001), y0), 0, 1)
+        assert abs(whole[i, j] - (weights @ tall[:, x0:x1]).sum() / (weights.sum() * 64)) < 1e-6
+
+
 def test_media_query(spark, sf):
     texts = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     features = defaultdict(set)
@@ -144,7 +166,9 @@ def test_media_query(spark, sf):
         data = texts[r["doc_id"]]
         payload = data + b"\xff" * (max(1, -(-len(data) // 576)) * 576 - len(data))
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
-        assert r["media_bytes"] >= len(payload)
+        npy = io.BytesIO()
+        np.save(npy, np.frombuffer(payload, np.uint8).reshape(-1, 576))
+        assert (r["media_bytes"], r["media_sha256"]) == (len(npy.getvalue()), hashlib.sha256(npy.getvalue()).hexdigest())
         features[data].add((r["media_sha256"], r["feature"]))
     assert all(len(f) == 1 for f in features.values())
 
@@ -163,6 +187,46 @@ def test_language(spark, sf):
     assert identify(docs.where("false")).count() == keep_identified(docs.where("false")).count() == 0
 
 
+def test_language_model_is_interpolated_kneser_ney(spark):
+    """Bits of words against the formula worked out plainly, and texts of one very long word."""
+    counts = [("a", g, n) for g, n in (("\x02\x02\x02x", 3), ("\x02\x02xy", 2), ("\x02xyx", 1), ("xyx\x02", 1), ("\x02xy\x02", 1), ("yxyx", 2))]
+    model = Model.fit([*counts, ("b", "\x02\x02\x02z", 1)])
+    levels, level = {}, {g: n for _, g, n in counts}
+    for order in range(4, 0, -1):
+        once, twice = (sum(n == k for n in level.values()) for k in (1, 2))
+        levels[order] = (dict(level), min(max(once / (once + 2 * twice) if once else 0.5, 0.1), 0.95))
+        level = Counter(g[1:] for g in level)
+
+    def chance(context, letter):
+        order = len(context) + 1
+        held, discount = levels[order]
+        lower = chance(context[1:], letter) if context else 1 / (len(levels[1][0]) + 1)
+        total = sum(n for g, n in held.items() if g[:-1] == context)
+        if not total:
+            return lower
+        kinds = sum(g[:-1] == context for g in held)
+        return max(held.get(context + letter, 0) - discount, 0) / total + discount * kinds / total * lower
+
+    for word in ("xyx", "yz", "x" * 9):
+        padded = "\x02" * 3 + word + "\x02"
+        want = -sum(np.log2(chance(padded[i - 3 : i], padded[i])) for i in range(3, len(padded)))
+        assert abs(model.bits([word])[0, 0] - want) < 1e-9
+    long = "xyxzyx" * 60_000
+    pair = model.bits(["ab", long, "yx"])
+    assert np.allclose(pair[0], model.bits(["ab"])[0]) and np.allclose(pair[2], model.bits(["yx"])[0]) and pair[1, 0] > 1000
+
+
+def test_language_rejects_what_it_does_not_know(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rng = random.Random(3)
+    strange = [" ".join("".join(rng.choice("qxzwkjvв") for _ in range(rng.randrange(4, 9))) for _ in range(40)), "漢字 " * 30, "漢" * 3000]
+    odd = docs.unionByName(spark.createDataFrame([(10**6 + i, t, None, "s", 0) for i, t in enumerate(strange * 2)], docs.schema)).withColumn("bits", F.lit("c"))
+    kept = {r["doc_id"] for r in keep_identified(odd).select("doc_id").collect()}
+    assert not [i for i in kept if i >= 10**6]
+    clean = {r["doc_id"] for r in docs.where("lang IS NOT NULL").collect()}
+    assert len(clean & kept) >= 0.99 * len(clean)
+
+
 def test_chat(spark, sf):
     said = "<|im_end|><|im_start|>assistant ok"
     rows = [(r["conv_id"], r["turn"], r["role"], r["text"]) for r in spark.read.parquet(f"{sf}/conversations.parquet").collect()]
