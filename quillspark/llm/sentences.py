@@ -1,6 +1,6 @@
 """Substring dedup by sliding sentence spans.
 
-Texts are cut into sentences and clauses, and these after every word whose checksum says so,
+Texts are cut into sentences and clauses, and these after every word whose hash says so,
 since a long one would hide what is repeated within it.  From each of them a span runs over as many as
 make at least MIN_SENTENCES and MIN_WORDS; every span is hashed and counted over all
 documents, and sentences under a span that isn't the first of its kind are removed.
@@ -10,69 +10,84 @@ spans wherever it is pasted.
 
 from __future__ import annotations
 
-import re
-import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh64_intdigest
 
 from quillspark.llm.bytehash import Rolling
 from quillspark.llm.common import settle, slices, with_membership
 
 MIN_SENTENCES, MIN_WORDS = 3, 25
-#: A clause also ends after every word whose checksum is a multiple of this.
+#: A clause also ends after every word whose hash is a multiple of this.
 CUT = 4
-_STOPS = ".!?,;:|\n。！？；：，、｡､…؟،؛۔।॥።፣"
-_SENTENCE = re.compile(f"[^{_STOPS}]*[{_STOPS}]+\\s*|[^{_STOPS}]+")
-#: Letters of scripts that put no spaces between words; each counts as a word.
-_LETTERS = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
-_UNSPACED = re.compile(f"[{_LETTERS}]")
-_WORD = re.compile(f"(?:[{_LETTERS}]|[^\\s{_LETTERS}]+)\\s*")
+_STOPS = ".!?,;:|。！？；：，、｡､…؟،؛۔।॥።፣"
+_CLOSERS = "\"'”’»)]"
+_BLANKS = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f"
+#: Letters of scripts that put no spaces between words, as ranges; each counts as a word.
+_LETTERS = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
 
 
-def count_words(text: str) -> int:
-    """Words between white space, and letters of scripts without it."""
-    return len(text.split()) if text.isascii() or not _UNSPACED.search(text) else len(_WORD.findall(text))
+def _table(signs: str) -> np.ndarray:
+    """Whether each code point up to 0xFFFF is one of the signs."""
+    found = np.zeros(1 << 16, dtype=bool)
+    found[[ord(c) for c in signs]] = True
+    return found
+
+
+_STOP, _CLOSER, _BLANK = map(_table, (_STOPS, _CLOSERS, _BLANKS))
+
+
+def _clauses(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of a text's words, where each starts, and the ends of its clauses among them.
+
+    Words stand between ASCII white space; a clause ends after a word that a stop closes,
+    quotes and brackets after it apart, and after one whose hash is a multiple of CUT.
+    """
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    low = np.minimum(codes, 0xFFFF)
+    word = ~_BLANK[low]
+    alone = np.zeros(len(codes), dtype=bool)
+    if not text.isascii():
+        for first, last in _LETTERS:
+            alone |= (codes >= first) & (codes <= last)
+    cut = np.concatenate([[True], ~word[:-1] | alone[:-1]]) | alone if len(codes) else word
+    starts = np.flatnonzero(word & cut)
+    ends = np.flatnonzero(word & np.concatenate([~word[1:] | cut[1:], [True]])) if len(codes) else starts
+    hashes = Rolling(codes).spans(starts, ends + 1)
+    tail = ends
+    for _ in range(2):
+        tail = np.where(_CLOSER[low[tail]] & (tail > starts), tail - 1, tail)
+    close = np.flatnonzero(_STOP[low[tail]] | ((hashes >> np.uint64(8)) % np.uint64(CUT) == 0)) + 1
+    return hashes, starts, close if len(starts) == 0 or (len(close) and close[-1] == len(starts)) else np.append(close, len(starts))
+
+
+def _parts(text: str, starts: np.ndarray, ends: np.ndarray) -> list[str]:
+    """The clauses as texts; blanks before the first word belong to the first."""
+    bounds = [0, *starts[ends[:-1]].tolist(), len(text)]
+    return [text[a:z] for a, z in zip(bounds, bounds[1:], strict=False) if a < z]
 
 
 def split_sentences(text: str) -> list[str]:
     """Sentences and clauses with what follows them; joined they are the text."""
-    found = []
-    for part in _SENTENCE.findall(text):
-        words = _WORD.findall(part)
-        held = part[: len(part) - sum(map(len, words))]
-        for word in words:
-            held += word
-            if _ends(word.rstrip()):
-                found.append(held)
-                held = ""
-        found += [held] if held else []
-    return found
+    _, starts, ends = _clauses(text)
+    return _parts(text, starts, ends)
 
 
-@lru_cache(1 << 16)
-def _ends(word: str) -> bool:
-    """Whether a clause ends after a word."""
-    return zlib.crc32(word.encode()) % CUT == 0
+def _hashes(words: np.ndarray, ends: np.ndarray, min_sentences: int, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    said = np.concatenate([[0], ends]).astype(np.int64)
+    first = np.arange(len(ends))
+    end = np.maximum(np.searchsorted(said, said[:-1] + min_words), first + min_sentences)
+    whole = end <= len(ends)
+    return Rolling(words).spans(said[first[whole]], said[end[whole]]).view(np.int64), first[whole], end[whole]
 
 
 def span_hashes(text: str, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash, first sentence and end of each span of a text; white space within it doesn't count."""
-    sentences = split_sentences(text)
-    words = [s.split() for s in sentences]
-    if len(words) < min_sentences:
-        return (np.zeros(0, np.int64),) * 3
-    said = np.concatenate([[0], np.cumsum([len(w) for w in words] if text.isascii() or not _UNSPACED.search(text) else [count_words(s) for s in sentences])])
-    first = np.arange(len(words))
-    end = np.maximum(np.searchsorted(said, said[:-1] + min_words), first + min_sentences)
-    whole = end <= len(words)
-    hashes = np.array([xxh64_intdigest(" ".join(w).encode()) for w in words], dtype=np.uint64)
-    return Rolling(hashes).spans(first[whole], end[whole]).view(np.int64), first[whole], end[whole]
+    words, _, ends = _clauses(text)
+    return _hashes(words, ends, min_sentences, min_words)
 
 
 def _spans(texts: DataFrame) -> DataFrame:
@@ -131,14 +146,14 @@ def drop_repeated_sentences(docs: DataFrame, id_col: str = "doc_id", text_col: s
 
 def _without(text: str | None, at: list[int] | None) -> tuple[str | None, int, int, int]:
     """A text without the spans that start at the given sentences."""
-    sentences = split_sentences(text or "")
+    words, place, ends = _clauses(text or "")
     if not at:
-        return text, len(sentences), 0, 0
-    _, first, end = span_hashes(text)
-    gone = np.zeros(len(sentences) + 1, dtype=np.int64)
+        return text, max(len(ends), int(bool(text))), 0, 0
+    _, first, end = _hashes(words, ends, MIN_SENTENCES, MIN_WORDS)
+    gone = np.zeros(len(ends) + 1, dtype=np.int64)
     some = np.isin(first, at)
     np.add.at(gone, first[some], 1)
     np.add.at(gone, end[some], -1)
     gone = np.cumsum(gone)[:-1] > 0
     starts = int((gone & ~np.concatenate([[False], gone[:-1]])).sum())
-    return "".join(s for s, g in zip(sentences, gone, strict=True) if not g), len(sentences), int(gone.sum()), starts
+    return "".join(s for s, g in zip(_parts(text, place, ends), gone, strict=True) if not g), len(ends), int(gone.sum()), starts
