@@ -14,7 +14,7 @@ from quillspark.llm.simhash import one_of_each
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the model knows."""
+    """Documents in a language that the model knows; those without a letter, null and empty texts among them, go."""
     return keep_identified(docs)
 
 
@@ -24,19 +24,27 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without runs of sentences that came before; n_chars counts what is left."""
-    left = drop_repeated_sentences(docs).select(*docs.columns)
+    """Texts without runs of sentences that came before; n_chars counts what is left.
+
+    All rows stay, whatever their id; null texts stay null, and other columns as they are.
+    """
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    plain = docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(f"_other{i}") for i, c in enumerate(others)])
+    left = drop_repeated_sentences(plain).select("doc_id", "text", *[F.col(f"_other{i}").alias(c) for i, c in enumerate(others)]).select(*[f"`{c}`" for c in docs.columns])
     return left.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else left
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which less than a twentieth of the words lies in benchmark passages."""
+    """Documents of which less than a twentieth of the words lies in benchmark passages.
+
+    Rows of one id are judged together; rows of null ids stay.
+    """
     found = contamination(docs, table(spark, sf_dir, "benchmark")).where((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
-    return docs.join(found.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(found.select(F.col("doc_id").alias("_hit")), docs["doc_id"] == F.col("_hit"), "left_anti")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces, their ids included, with their sequence and place."""
+    """Token pieces, their ids included, with their sequence and place; null texts are empty."""
     return pack(token_pieces(docs)).withColumn("ids_crc32", F.crc32("ids"))
 
 

@@ -421,3 +421,26 @@ def test_membership_has_no_false_negatives(spark):
         found = {r["k"]: r["_in"] for r in with_membership(rows, "k", held, "_in", bits).collect()}
         assert len(found) == 501 and not found[None] and all(found[k] for k in keys if k.endswith("7"))
         assert sum(found.values()) <= most
+
+
+def test_pipeline_stages_take_nulls_repeats_and_clashing_names(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60)
+    extra = {"bits": "b", "_at": "a", "n_hit": "h", "length": "l", "n_sentences": "s", "_kept": "k", "path": "p"}
+    shape = docs.withColumns({c: F.lit(v) for c, v in extra.items()})
+    odd = spark.createDataFrame([(i, t, None, None, None, *extra.values()) for i, t in ((None, None), (None, ""), (-1, None), (-2, ""), (-3, "12 34"), (-3, "12 34"))], shape.schema)
+    told = spark.createDataFrame([tuple(r) for r in shape.unionByName(odd).collect()], shape.schema)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, told.where("false"), sf).count() == 0, name
+        kept = stage(spark, told, sf)
+        if name == "packing":
+            assert kept.where("doc_id IS NULL").count() == 2 and kept.where("doc_id = -3").count() == 2
+            continue
+        assert kept.columns == told.columns, name
+        assert kept.where(" AND ".join(f"`{c}` = '{v}'" for c, v in extra.items())).count() == kept.count(), name
+        ids = [r["doc_id"] for r in kept.select("doc_id").collect()]
+        if name == "language":
+            assert not any(i is None or i < 0 for i in ids)
+        elif name == "near_dedup":
+            assert ids.count(None) == 2 and ids.count(-3) == 2 and ids.count(-1) == 0 and ids.count(-2) == 1
+        else:
+            assert ids.count(None) == 2 and ids.count(-3) == 2 and {-1, -2} <= set(ids)
