@@ -49,7 +49,8 @@ def band_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH r AS (SELECT page, pos, {", ".join(f"last_value(CASE WHEN level = {k} THEN struct_pack(a := pos, t := title) END IGNORE NULLS) OVER w AS h{k}" for k in (1, 2, 3, 4))} FROM {CELLS.sql} WINDOW w AS (PARTITION BY page ORDER BY pos ROWS UNBOUNDED PRECEDING))
-SELECT page, pos, list_filter([h1.t, CASE WHEN coalesce(h2.a > h1.a, true) THEN h2.t END, CASE WHEN coalesce(h3.a > greatest(h1.a, h2.a), true) THEN h3.t END, CASE WHEN coalesce(h4.a > greatest(h1.a, h2.a, h3.a), true) THEN h4.t END], lambda t: t IS NOT NULL) AS path FROM r"""
+SELECT page, pos, list_filter([h1.t, CASE WHEN coalesce(h2.a > h1.a, true) THEN h2.t END, CASE WHEN coalesce(h3.a > greatest(h1.a, h2.a), true) THEN h3.t END, CASE WHEN coalesce(h4.a > greatest(h1.a, h2.a, h3.a), true) THEN h4.t END], lambda t: t IS NOT NULL) AS path FROM r""",
+    joined=("path",),
 )
 def heading_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The headings in force at each cell."""

@@ -35,7 +35,7 @@ def payment_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 GOODS = StandIn("part", {"id": "p_partkey", "name": "CASE p_partkey % 5 WHEN 0 THEN '12) ' WHEN 1 THEN '+ BEST: 추천 ' WHEN 2 THEN '강추 오리지널 ' ELSE ' ' END || p_name || CASE WHEN p_partkey % 2 = 0 THEN '  AB1234567' ELSE ' 12.5' END"})
 
 
-@query(f"SELECT id, p_name || CASE WHEN id % 2 = 0 THEN '' ELSE ' 12.5' END AS name, list_sort(list_distinct(regexp_extract_all(lower(p_name || CASE WHEN id % 2 = 0 THEN '' ELSE ' 12.5' END), '[0-9]+(?:[.,][0-9]+)?|[a-z]+'))) AS tokens FROM {GOODS.sql} JOIN part ON id = p_partkey")
+@query(f"SELECT id, p_name || CASE WHEN id % 2 = 0 THEN '' ELSE ' 12.5' END AS name, list_sort(list_distinct(regexp_extract_all(lower(p_name || CASE WHEN id % 2 = 0 THEN '' ELSE ' 12.5' END), '[0-9]+(?:[.,][0-9]+)?|[a-z]+'))) AS tokens FROM {GOODS.sql} JOIN part ON id = p_partkey", joined=("tokens",))
 def item_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items' names without decorations, and their tokens."""
     return GOODS.rows(spark, sf_dir).select("id", P.item_name(F.col("name")).alias("name"), F.array_sort(P.item_tokens(F.col("name"))).alias("tokens"))
@@ -46,7 +46,8 @@ TEXTS = StandIn("orders", {"id": "o_orderkey", "said": "CASE o_orderkey % 4 WHEN
 
 @query(
     f"""WITH t AS (SELECT id, said, TRY_CAST(regexp_extract(said, '(부가세 -?|합계 )(\\d+)', 2) AS BIGINT) AS n, 12000 + TRY_CAST(regexp_extract(said, '12,(\\d\\d\\d)', 1) AS BIGINT) AS a FROM {TEXTS.sql})
-SELECT id, CASE id % 4 WHEN 0 THEN CASE WHEN a = n THEN a END WHEN 1 THEN n END AS total, id % 4 = 0 AND a <> n AS conflict, CASE id % 4 WHEN 0 THEN n WHEN 3 THEN -n END AS tax, list_filter([CASE WHEN length(trim(regexp_replace(said, '\\s+', ' ', 'g'))) < 40 THEN 'OCR_TEXT_TOO_SHORT' END, CASE WHEN NOT regexp_matches(said, '\\d\\d\\d') THEN 'NO_MONEY_EVIDENCE' END], lambda x: x IS NOT NULL) AS reasons FROM t"""
+SELECT id, CASE id % 4 WHEN 0 THEN CASE WHEN a = n THEN a END WHEN 1 THEN n END AS total, id % 4 = 0 AND a <> n AS conflict, CASE id % 4 WHEN 0 THEN n WHEN 3 THEN -n END AS tax, list_filter([CASE WHEN length(trim(regexp_replace(said, '\\s+', ' ', 'g'))) < 40 THEN 'OCR_TEXT_TOO_SHORT' END, CASE WHEN NOT regexp_matches(said, '\\d\\d\\d') THEN 'NO_MONEY_EVIDENCE' END], lambda x: x IS NOT NULL) AS reasons FROM t""",
+    joined=("reasons",),
 )
 def labelled_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Amounts after labels, and why texts should be reviewed."""
@@ -80,7 +81,8 @@ LINES = StandIn("lineitem", {"id": "l_orderkey", "quantity": "cast(l_linenumber
 
 @query(
     f"""WITH s AS (SELECT id, count(*) AS n, count(total_amount) AS k, sum(total_amount) AS s, coalesce(bool_or(abs(quantity * unit_price - total_amount) > 1), false) AS odd FROM {LINES.sql} GROUP BY id), t AS (SELECT *, cast(id % 50 as double) * 10 AS total, cast(id % 3 as double) * 5 AS less FROM s)
-SELECT id, list_filter([CASE WHEN k < n THEN 'ITEM_TOTALS_INCOMPLETE' END, CASE WHEN k > 0 AND ((k = n AND least(abs(s - total), abs(s - total - less)) > 10) OR s - total - less > 10) THEN 'ITEM_SUM_TOTAL_MISMATCH' END, CASE WHEN odd THEN 'ITEM_ARITHMETIC_MISMATCH' END], lambda x: x IS NOT NULL) AS reasons FROM t"""
+SELECT id, list_filter([CASE WHEN k < n THEN 'ITEM_TOTALS_INCOMPLETE' END, CASE WHEN k > 0 AND ((k = n AND least(abs(s - total), abs(s - total - less)) > 10) OR s - total - less > 10) THEN 'ITEM_SUM_TOTAL_MISMATCH' END, CASE WHEN odd THEN 'ITEM_ARITHMETIC_MISMATCH' END], lambda x: x IS NOT NULL) AS reasons FROM t""",
+    joined=("reasons",),
 )
 def item_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Why receipts' items should be reviewed."""

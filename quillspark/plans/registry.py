@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quillspark.sources.tables import table
 
@@ -13,13 +15,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(sql: str | None = None) -> Callable:
-    """Register a query under its function's name."""
+def query(sql: str | None = None, joined: tuple[str, ...] = ()) -> Callable:
+    """Register a query under its function's name; lists in the `joined` columns become texts with bars between."""
 
     def register(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        QUERIES[run.__name__] = run
+        @wraps(run)
+        def told(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return run(spark, sf_dir).withColumns({c: F.array_join(c, "|") for c in joined})
+
+        QUERIES[run.__name__] = told if joined else run
         if sql:
-            ORACLES[run.__name__] = sql
+            ORACLES[run.__name__] = f"SELECT * REPLACE ({', '.join(f"array_to_string({c}, '|') AS {c}" for c in joined)}) FROM ({sql})" if joined else sql
         return run
 
     return register

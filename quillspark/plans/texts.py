@@ -98,7 +98,8 @@ LINES = StandIn("orders", {"id": "o_orderkey", "said": "'Shop\n 감사합니다
 
 
 @query(
-    f"""SELECT id, ['Shop', 'item ' || custkey || ' 1,000'] || CASE WHEN id > 99 AND id <= 99999999 THEN ['감사합니다 ' || id] ELSE [] END || ['item ' || CAST(CAST(custkey AS BIGINT) % 3 AS VARCHAR)] AS lines FROM (SELECT id, split_part(split_part(said, 'item ', 2), ' ', 1) AS custkey FROM {LINES.sql})"""
+    f"""SELECT id, ['Shop', 'item ' || custkey || ' 1,000'] || CASE WHEN id > 99 AND id <= 99999999 THEN ['감사합니다 ' || id] ELSE [] END || ['item ' || CAST(CAST(custkey AS BIGINT) % 3 AS VARCHAR)] AS lines FROM (SELECT id, split_part(split_part(said, 'item ', 2), ' ', 1) AS custkey FROM {LINES.sql})""",
+    joined=("lines",),
 )
 def receipt_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct lines of receipts without noise."""
@@ -132,7 +133,8 @@ QUESTIONS = StandIn("orders", {"id": "o_orderkey", "asked": choice("o_orderkey",
 
 @query(
     f"""SELECT id, CASE id % 7 WHEN 0 THEN '연차는 며칠 인가요?' ELSE asked END AS split, CASE id % 7 WHEN 0 THEN '연차는 며칠인가요?' WHEN 1 THEN '한도가 몇 원 이상이야' WHEN 2 THEN '표의 열 이름 알려줘' WHEN 3 THEN '출장비 30000원 1200원 1개월' WHEN 4 THEN '재택 2일. 3일 가능! 네' ELSE '' END AS normal,
-CAST(CASE id % 7 WHEN 0 THEN 2 WHEN 4 THEN 3 WHEN 5 THEN 0 WHEN 6 THEN 0 ELSE 1 END AS INTEGER) AS units, CASE id % 7 WHEN 0 THEN ['일'] WHEN 1 THEN ['원'] ELSE [] END AS requested, id % 7 = 2 AS about_table, CASE (id % 5) % 5 WHEN 0 THEN true WHEN 1 THEN true WHEN 2 THEN true ELSE false END AS supported, round(least(0.45, 0.07 * (id % 4) + 0.04 * (id % 9)), 6) AS boost FROM {QUESTIONS.sql}"""
+CAST(CASE id % 7 WHEN 0 THEN 2 WHEN 4 THEN 3 WHEN 5 THEN 0 WHEN 6 THEN 0 ELSE 1 END AS INTEGER) AS units, CASE id % 7 WHEN 0 THEN ['일'] WHEN 1 THEN ['원'] ELSE [] END AS requested, id % 7 = 2 AS about_table, CASE (id % 5) % 5 WHEN 0 THEN true WHEN 1 THEN true WHEN 2 THEN true ELSE false END AS supported, round(least(0.45, 0.07 * (id % 4) + 0.04 * (id % 9))::DOUBLE, 6) AS boost FROM {QUESTIONS.sql}""",
+    joined=("requested",),
 )
 def question_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Normal forms, evidence units, requested units and supported conditions of questions."""
@@ -167,7 +169,8 @@ ANSWER_JSON = StandIn("customer", {"id": "c_custkey", "reply": "CASE c_custkey %
 @query(
     f"""SELECT id, round(CASE id % 4 WHEN 0 THEN 3 / 9 ELSE 0 END, 6) AS share, CASE id % 4 WHEN 0 THEN sha256('{{"items":"[]","merchant":"' || name || '","total_amount":"5"}}') WHEN 1 THEN sha256('{{"a":"1","b":"2","상호":"' || name || '"}}') END AS digest,
 CASE WHEN id % 4 < 2 THEN name END AS merchant, CASE id % 4 WHEN 0 THEN 'a=9,items=[],merchant=' || name || ',total_amount=5,z=0' WHEN 1 THEN 'a=9,b=2,z=0,상호=' || name ELSE 'a=9,z=0' END AS merged, CASE WHEN id % 2 = 0 THEN ['TOTAL_MISSING', 'X'] ELSE ['X', 'TOTAL_MISSING'] END AS reasons
-FROM (SELECT id, regexp_extract(reply, 'Customer[^"]*') AS name FROM {ANSWER_JSON.sql})"""
+FROM (SELECT id, regexp_extract(reply, 'Customer[^"]*') AS name FROM {ANSWER_JSON.sql})""",
+    joined=("reasons",),
 )
 def json_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Required keys, canonical digests, aliases, merges and distinct reasons of JSON texts."""
