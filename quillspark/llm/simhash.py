@@ -10,7 +10,9 @@ together are joined, and every pair that meets is verified on all 64 bits.
 
 `one_of_each` drops texts, so it decides by the Jaccard similarity of word-shingle sets.
 At 0.8 fingerprints differ in about ten bits, too many for fuzzy keys alone: pairs are
-proposed by them and by bands of smallest hashes, and the sets themselves decide.
+proposed by them and by bands of smallest hashes, and the sets themselves decide.  Keys
+that hold different texts, as a passage in very many texts makes them, are searched by
+their texts' rarest shingles, never by all pairs.
 """
 
 from __future__ import annotations
@@ -184,12 +186,45 @@ def _similar(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float
     return settle(pairs.join(left, "a").join(right, "b").select("a", "b", "_left", "_right").mapInArrow(run, "a long, b long").distinct())
 
 
+def prefix_pairs(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Pairs (a, b) of texts (id, c, text) of different classes c: all whose shingle sets are similar, and few others.
+
+    Shingles stand in order of the number of texts that hold them, the rarest first.  Of two
+    similar sets the shorter's start and the longer's start (at 0.8 a ninth and a fifth) share
+    one, at places that leave enough behind them.  A passage in very many texts stands at
+    their ends and proposes nothing, unless texts hold little else.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            held = [np.unique(shingle_hashes(text, shingle)) for text in batch.column(2).to_pylist()]
+            same = np.array([xxh64_intdigest(x.tobytes()) for x in held], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(same), pa.array([x.view(np.int64) for x in held], pa.list_(pa.int64()))], names=["id", "c", "same", "held"])
+
+    sets = settle(texts.select("id", "c", "text").mapInArrow(run, "id long, c long, same long, held array<long>").dropDuplicates(["id", "same"]))
+    said = sets.select("id", "same", F.explode("held").alias("h"))
+    often = said.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
+    # A shingle of one text alone comes before all others and can't be shared, so its place is only counted.
+    order = said.join(often, "h").groupBy("id", "same").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("order"))
+    whole = sets.select("id", "c", "same", F.size("held").alias("n")).join(order, ["id", "same"]).withColumn("alone", F.col("n") - F.size("order"))
+    first = (F.floor(F.col("n") * (1 - similarity) + 1e-6) + 1 - F.col("alone")).cast("int")
+    starts = whole.select("id", "c", "n", "alone", F.posexplode(F.slice("order", F.lit(1), F.greatest(first, F.lit(0)))).alias("at", "o"))
+    starts = settle(starts.select("id", "c", "n", (F.col("alone") + F.col("at")).alias("at"), F.col("o.h").alias("h")))
+    share = similarity / (1 + similarity)
+    shorter, longer = (starts.select("h", *[F.col(x).alias(f"{x}_{side}") for x in ("id", "c", "n", "at")]) for side in ("a", "b"))
+    sizes = "c_a <> c_b AND (n_a < n_b OR n_a = n_b AND id_a < id_b)"
+    left = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+    near = (F.col("n_a") + 1e-6 >= similarity * F.col("n_b")) & (left + 1e-6 >= share * (F.col("n_a") + F.col("n_b")))
+    found = shorter.where(F.col("at_a") <= F.col("n_a") * (1 - 2 * share) + 1e-6).join(longer, "h").where(F.expr(sizes) & near)
+    return found.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
+
+
 def similar_links(texts: DataFrame, points: DataFrame, shingle: int = COPY_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """Links (a, b) that join all similar texts (id, text), from one point (id, fp, keys) for each shingle set.
 
     Every proposed pair is decided by its sets.  First all points of a key are compared with
-    its smallest id, then those that are still in different components with each other; so a
-    large group of near-copies costs one comparison a point and key.
+    its smallest id; so a large group of near-copies costs one comparison a point and key.
+    Points of keys that are then in different components go through a prefix filter.
     """
     spread = points.select("id", F.explode(F.array_union("keys", F.array("fp"))).alias("key"))
     tops = spread.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first")
@@ -202,9 +237,8 @@ def similar_links(texts: DataFrame, points: DataFrame, shingle: int = COPY_SHING
     ring = components(links).withColumnRenamed("node", "id")
     tagged = settle(shared.join(ring, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c")))
     mixed = tagged.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    apart = tagged.join(mixed, "key")
-    a, b = (apart.select("key", F.col("id").alias(i), F.col("c").alias(c)) for i, c in (("a", "_ca"), ("b", "_cb")))
-    rest = a.join(b, "key").where("a < b AND _ca <> _cb").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
+    apart = tagged.join(mixed, "key", "left_semi").select("id", "c").distinct()
+    rest = prefix_pairs(held.join(apart, "id"), shingle, similarity).join(pairs, ["a", "b"], "left_anti")
     return links.union(_similar(settle(rest), held, shingle, similarity))
 
 

@@ -12,7 +12,7 @@ from xxhash import xxh64_intdigest
 
 from quillspark.llm.queries import op7_sentence_spans, op8_simhash
 from quillspark.llm.sentences import drop_repeated_sentences, span_hashes, split_sentences
-from quillspark.llm.simhash import fingerprint, fuzzy_links, near_duplicates, one_of_each
+from quillspark.llm.simhash import fingerprint, fuzzy_links, near_duplicates, one_of_each, prefix_pairs, shingle_hashes
 from quillspark.llm.suffixes import remove_repeats
 
 DOCS = "doc_id long, text string, spans string, kept string, id long, component_id string, fp string"
@@ -226,3 +226,17 @@ def test_one_of_each_keeps_rows_of_null_ids(spark):
     rows = [(None, "a text of its own that nobody else has"), (None, None), (3, "one two three four five six"), (4, "one two three four five six")]
     kept = one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(map(tuple, kept), key=str) == sorted(rows[:3], key=str)
+
+
+def test_prefix_pairs_holds_every_similar_pair_and_no_group_of_a_shared_passage(spark):
+    """Texts around one passage: all pairs share it, only those with few other words are similar."""
+    rng = random.Random(5)
+    passage = [f"p{i}" for i in range(60)]
+    texts = [" ".join([f"w{rng.randrange(10**6)}" for _ in range(rng.choice([0, 2, 5, 40, 60]))] + passage + [f"v{rng.randrange(10**6)}" for _ in range(rng.choice([0, 1, 3, 30]))]) for _ in range(150)]
+    texts += [texts[7] + " more", "", None, "few words"]
+    rows = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)] + [(0, 0, texts[0])], "id long, c long, text string")
+    found = {(r["a"], r["b"]) for r in prefix_pairs(rows, 5, 0.8).collect()}
+    sets = [set(shingle_hashes(t, 5).tolist()) for t in texts]
+    near = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if sets[i] and sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert near and near <= found
+    assert len(found) <= 2 * len(near)
