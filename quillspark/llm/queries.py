@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators, with production parameters, over whole tables."""
+"""The registered queries of the thirteen operators, with production parameters, over whole tables."""
 
 from __future__ import annotations
 
@@ -11,13 +11,16 @@ from quillspark.llm import oracles
 from quillspark.llm.chatformat import format_conversations, read_back
 from quillspark.llm.common import table
 from quillspark.llm.decontaminate import contamination
+from quillspark.llm.divergence import divergence
 from quillspark.llm.langid import identify
 from quillspark.llm.media import text_media
 from quillspark.llm.packing import pack, token_pieces
 from quillspark.llm.pagediff import extract
+from quillspark.llm.phrases import collocations
 from quillspark.llm.sentences import drop_repeated_sentences
 from quillspark.llm.simhash import hex64, near_duplicates
 from quillspark.llm.suffixes import remove_repeats
+from quillspark.llm.toxicity import toxicity
 from quillspark.llm.urlrules import judge
 
 #: The rules that op10 judges by.
@@ -84,6 +87,21 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents' toxicity, as labels mark it; fold 2 is held out."""
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's first 2000 phrases by the score of their lowest cut."""
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distance of each pair of sources, and the terms of each."""
+    return divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array": op1_suffix_array,
     "op2_packing": op2_packing,
@@ -95,6 +113,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_chat": op9_chat,
     "op10_url_rules": op10_url_rules,
+    "op11_toxicity": op11_toxicity,
+    "op12_phrases": op12_phrases,
+    "op13_sources": op13_sources,
 }
 
-ORACLES: dict[str, str] = {"op1_suffix_array": oracles.OP1, "op4_decontaminate": oracles.OP4, "op10_url_rules": oracles.OP10}
+ORACLES: dict[str, str] = {"op1_suffix_array": oracles.OP1, "op4_decontaminate": oracles.OP4, "op10_url_rules": oracles.OP10, "op12_phrases": oracles.OP12, "op13_sources": oracles.OP13}
