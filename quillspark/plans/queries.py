@@ -328,6 +328,6 @@ def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Other modules register theirs on import.
-from quillspark.plans import evaluation, layout, listings, receipts, texts  # noqa: E402
+from quillspark.plans import evaluation, grounding, layout, listings, receipts, texts  # noqa: E402
 
-__all__ = ["ORACLES", "QUERIES", "evaluation", "layout", "listings", "receipts", "texts"]
+__all__ = ["ORACLES", "QUERIES", "evaluation", "grounding", "layout", "listings", "receipts", "texts"]
