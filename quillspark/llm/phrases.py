@@ -69,7 +69,7 @@ class Shard:
     def suffixes(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
         """Places in the order of their first `depth` words, and how many words each shares with the one before."""
         n = len(self.ids)
-        rank, order, width = self.ids, np.argsort(self.ids, kind="stable"), 1
+        rank, order, width = self.ids, np.argsort(self.ids, kind="stable") if depth == 1 else None, 1
         while width < depth:
             further = np.append(rank[width:], np.zeros(min(width, n), dtype=np.int64))
             key = rank * (rank.max(initial=0) + 1) + further
@@ -93,6 +93,24 @@ class Shard:
         n = np.add.reduceat(counted, starts) if len(starts) else np.zeros(0, dtype=np.int64)
         return order[starts[n > 0]], n[n > 0]
 
+    def chains(self, pairs: Map, lang: str, depth: int) -> np.ndarray:
+        """Keep the words of pairs that may be frequent alone; how many such pairs run on from each, `depth` - 1 at most."""
+        order, shared = self.suffixes(2)
+        starts = np.flatnonzero(shared < 2)
+        first = order[starts]
+        real = self.sizes(2)[first] >= 2
+        known = np.zeros(len(starts), dtype=bool)
+        known[real] = pairs.has(lang, self.texts(first[real], 2))
+        good = np.zeros(len(order), dtype=bool)
+        good[order] = np.repeat(known, np.diff(np.append(starts, len(order))))
+        here = good | np.append(False, good[:-1])[: len(good)]
+        self.ids, self.least = self.ids[here], self.least[here]
+        further = np.append(good[here], np.zeros(depth, dtype=bool)).astype(np.int64)
+        chain = np.zeros(len(self.ids), dtype=np.int64)
+        for k in range(depth - 2, -1, -1):
+            chain = further[k : k + len(chain)] * (1 + chain)
+        return chain
+
     def texts(self, places: np.ndarray, k: int) -> list[bytes]:
         words = self.words
         return [b" ".join(words[i] for i in row) for row in self.ids[places[:, None] + np.arange(k)].tolist()]
@@ -166,18 +184,9 @@ def _of_shard(shard: Shard, lang: str, words: Map | None, pairs: Map | None, dep
         order, shared = shard.suffixes(2)
         places, n = shard.phrases(order, shared, shard.sizes(2), 2)
         return shard.texts(places, 2), n
+    chain = shard.chains(pairs, lang, depth)
     order, shared = shard.suffixes(depth)
-    size, starts = shard.sizes(depth), np.flatnonzero(shared < 2)
-    first = order[starts]
-    real = size[first] >= 2
-    frequent = np.zeros(len(starts), dtype=bool)
-    frequent[real] = pairs.has(lang, shard.texts(first[real], 2))
-    good = np.zeros(len(order) + depth, dtype=np.int64)
-    good[order] = np.repeat(frequent, np.diff(np.append(starts, len(order))))
-    chain = np.zeros(len(order), dtype=np.int64)
-    for k in range(depth - 2, -1, -1):
-        chain = good[k : k + len(order)] * (1 + chain)
-    size = np.minimum(size, 1 + chain)
+    size = 1 + chain
     texts, counts = [], [np.zeros(0, dtype=np.int64)]
     for k in range(3, depth + 1):
         places, n = shard.phrases(order, shared, size, k)
