@@ -25,14 +25,16 @@ from quillspark.llm.common import slices
 WINDOW, STEP = 6, 3
 #: A document is predicted toxic from this score on.
 THRESHOLD = 0.3
-#: Labelled documents of each label that the model is fitted on, at most, and bytes of their texts.
-SAMPLE_DOCS, SAMPLE_BYTES = 3000, 6 << 20
+#: Labelled documents of each label that the model is fitted on, at most, and bytes of the texts of each.
+SAMPLE_DOCS, SAMPLE_BYTES = 3000, 3 << 20
 #: Bytes of a dictionary that holds ordinary text, and of what sets the two dictionaries apart.
 BASE_BYTES, OWN_BYTES = 1 << 14, 1 << 12
 #: Windows that the common part of the dictionaries is trained on, at most.
 BASE_WINDOWS = 50_000
 #: Sizes of the byte strings by which toxic passages are found, and the least excess of toxic documents among those that hold one, in standard deviations.
 GRAMS, EXCESS = (5, 6, 7, 8), 5.0
+#: Toxic texts that a passage needs to stand in.
+LEAST_TEXTS = 3
 #: Windows count by gains of so many bytes.
 GAINS = np.arange(1, 7)
 LEVEL = 3
@@ -87,44 +89,54 @@ class Gains:
         return np.array([*reached / max(1, n), excess / max(1, n), most, np.log1p(n)]), n, int(reached[1])
 
 
+def _words(text: str) -> set[str]:
+    return set(_MARKS.sub(" ", text.lower()).split())
+
+
 def _grams(word: str) -> set[bytes]:
     body = f" {word} ".encode("utf-8", "surrogatepass")
     return {body[i : i + size] for size in GRAMS for i in range(len(body) - size + 1)}
 
 
+@dataclass
 class Evidence:
-    """In how many texts of each label words and byte strings stand."""
+    """In how many texts of each kind byte strings stand, and the words of the toxic ones."""
 
-    def __init__(self) -> None:
-        self.texts, self.words, self.held = [0, 0], [Counter(), Counter()], [Counter(), Counter()]
+    texts: list[int]
+    words: set[str]
+    toxic: Counter
+    ordinary: Counter
 
     @classmethod
-    def of(cls, rows: Iterable[tuple[str, int]]) -> Evidence:
-        found, known = cls(), {}
-        for text, label in rows:
-            words = set(_MARKS.sub(" ", text.lower()).split())
-            for word in words - known.keys():
-                known[word] = _grams(word)
-            found.texts[label] += 1
-            found.words[label].update(words)
-            found.held[label].update(set().union(*map(known.__getitem__, words)))
+    def of(cls, parts: list[list[tuple[str, int]]]) -> list[Evidence]:
+        """Of each part of the rows (text, label).  Only strings of three toxic texts in all are looked for in ordinary ones."""
+        found = [cls([0, 0], set(), Counter(), Counter()) for _ in parts]
+        for one, rows in zip(found, parts, strict=True):
+            for words in (_words(text) for text, label in rows if label):
+                one.texts[1] += 1
+                one.words |= words
+                one.toxic.update(set().union(*map(_grams, words)))
+        often = {g for g, n in sum((one.toxic for one in found), Counter()).items() if n >= LEAST_TEXTS}
+        known: dict[str, list[bytes]] = {}
+        for one, rows in zip(found, parts, strict=True):
+            one.toxic = Counter({g: n for g, n in one.toxic.items() if g in often})
+            for words in (_words(text) for text, label in rows if not label):
+                one.texts[0] += 1
+                for word in words - known.keys():
+                    known[word] = list(_grams(word) & often)
+                one.ordinary.update(set().union(*map(known.__getitem__, words)))
         return found
 
     def __add__(self, other: Evidence) -> Evidence:
-        found = Evidence()
-        for k in (0, 1):
-            found.texts[k] = self.texts[k] + other.texts[k]
-            found.words[k] = self.words[k] + other.words[k]
-            found.held[k] = self.held[k] + other.held[k]
-        return found
+        return Evidence([a + b for a, b in zip(self.texts, other.texts, strict=True)], self.words | other.words, self.toxic + other.toxic, self.ordinary + other.ordinary)
 
-    def telling(self, label: int) -> dict[bytes, float]:
-        """Byte strings that texts of a label hold more often than others do, with the excess in standard deviations."""
-        mine, others = max(1, self.texts[label]), max(1, self.texts[1 - label])
+    def telling(self) -> dict[bytes, float]:
+        """Byte strings that toxic texts hold more often than others do, with the excess in standard deviations."""
+        others, mine = (max(1, n) for n in self.texts)
         found = {}
-        for gram, n in self.held[label].items():
-            if n >= 3:
-                elsewhere = self.held[1 - label][gram]
+        for gram, n in self.toxic.items():
+            if n >= LEAST_TEXTS:
+                elsewhere = self.ordinary[gram]
                 share = (n + elsewhere) / (mine + others)
                 spread = (share * (1 - share) * (1 / mine + 1 / others)) ** 0.5
                 excess = (n / mine - elsewhere / others) / max(spread, 1e-9)
@@ -132,17 +144,18 @@ class Evidence:
                     found[gram] = excess
         return found
 
-    def passages(self, label: int) -> bytes:
+    def passages(self) -> bytes:
         """The parts of words that telling byte strings cover, the most telling last and nearest to what is compressed."""
-        telling, spans = self.telling(label), {}
-        for word in self.words[label]:
+        telling, spans = self.telling(), {}
+        for word in self.words:
             body = f" {word} ".encode("utf-8", "surrogatepass")
             hits = [(i, i + size) for size in GRAMS for i in range(len(body) - size + 1) if body[i : i + size] in telling]
+            if not hits:
+                continue
             covered = np.zeros(len(body) + 2, dtype=bool)
             for a, z in hits:
                 covered[a + 1 : z + 1] = True
-            edges = np.flatnonzero(np.diff(covered))
-            for a, z in edges.reshape(-1, 2):
+            for a, z in np.flatnonzero(np.diff(covered)).reshape(-1, 2):
                 worth = sum(telling[body[i:j]] for i, j in hits if a <= i < z)
                 spans[body[a:z]] = max(spans.get(body[a:z], 0.0), worth)
         chosen, size = [], 0
@@ -161,7 +174,7 @@ def train_dictionaries(texts: list[str], evidence: Evidence) -> tuple[bytes, byt
     """
     plain = [w for text in texts for part in windows(text) for w in part[:: WINDOW // STEP]]
     plain = plain[:: -(-len(plain) // BASE_WINDOWS)] if plain else []
-    base, own = _trained(plain, BASE_BYTES), evidence.passages(1)
+    base, own = _trained(plain, BASE_BYTES), evidence.passages()
     return base + own, base + b"".join(plain[: len(own)])[: len(own)]
 
 
@@ -187,7 +200,7 @@ class Model:
         """
         rows = sorted(dict.fromkeys(rows), key=lambda row: row[1])
         halves = [rows[0::2], rows[1::2]]
-        evidence = [Evidence.of(h) for h in halves]
+        evidence = Evidence.of(halves)
         toxic, ordinary = train_dictionaries([text for text, label in rows if not label], evidence[0] + evidence[1])
         width = len(GAINS) + 3
         labels = np.array([label for _, label in rows])
@@ -220,11 +233,12 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, sa
     """A model from the texts of docs (doc_id, text) that labels (doc_id, toxic) mark.
 
     Null ids, texts and labels don't count; a document that is marked both ways is toxic.
-    It is fitted on up to `sample_docs` documents of each label with `sample_bytes` of text in
-    all, chosen by a hash of id and text; a text that alone is longer than that isn't chosen.
+    It is fitted on about `sample_docs` documents of each label with `sample_bytes` of text,
+    chosen by a hash of id and text; a text that alone is longer than that isn't chosen.
     """
     marked = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max((F.col("toxic") != 0).cast("int")).alias("_label"))
-    usable = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text").join(marked, "doc_id").select("_label", "text", F.xxhash64("doc_id", "text").alias("_h"), F.octet_length("text").alias("_n"))
+    hashed = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", F.xxhash64("doc_id", "text").alias("_h"))
+    usable = hashed.select("doc_id", "_h", F.octet_length("text").alias("_n")).join(marked, "doc_id")
     counts = dict(usable.groupBy("_label").count().collect())
     if not counts:
         return Model.fit([])
@@ -232,19 +246,13 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, sa
     wanted = F.lit(False)
     for label, n in counts.items():
         wanted |= (F.col("_label") == label) & (F.pmod("_h", F.lit(span)) < F.lit(min(span, span * sample_docs // n)))
-    drawn = usable.where(wanted)
-    limits = {}
-    for label in counts:
-        total = 0
-        for h, n in drawn.where((F.col("_label") == label) & (F.col("_n") <= sample_bytes)).select("_h", "_n").sort("_h").collect():
-            total += n
-            if total > sample_bytes:
-                break
-            limits[label] = h
-    kept = F.lit(False)
-    for label, h in limits.items():
-        kept |= (F.col("_label") == label) & (F.col("_h") <= F.lit(h))
-    rows = [(text, label) for label, text, _, _ in sorted(drawn.where(kept & (F.col("_n") <= sample_bytes)).collect(), key=lambda r: (r["_h"], r["text"]))]
+    left, chosen = dict.fromkeys(counts, sample_bytes), {}
+    for h, label, n in usable.where(wanted & (F.col("_n") <= sample_bytes)).select("_h", "_label", "_n").distinct().sort("_h").collect():
+        left[label] -= n
+        if left[label] >= 0:
+            chosen[h] = label
+    picked = docs.sparkSession.createDataFrame(list(chosen.items()), "_h long, _label int")
+    rows = [(text, label) for label, text, _ in sorted(hashed.join(F.broadcast(picked), "_h").select("_label", "text", "_h").dropDuplicates(["_h"]).collect(), key=lambda r: (r["_h"], r["text"]))]
     got = Counter(label for _, label in rows)
     return Model.fit(rows, tuple(max(got[k], 1) / counts.get(k, 1) for k in (0, 1)))
 
