@@ -9,6 +9,7 @@ from quillspark.functions import dates as D
 from quillspark.functions import json as J
 from quillspark.functions import numbers as N
 from quillspark.functions import text as T
+from quillspark.operators.leaves import json_leaves
 from quillspark.plans.registry import StandIn, choice, query
 
 ANSWERS = StandIn("orders", {"id": "o_orderkey", "answer": choice("o_orderkey", "근거가 없습니다", "문서에 없는 내용", "제공되지 않은 자료", "확인할 수 없어요", "정답은 3일입니다", "알 수\t없음", "Plain ANSWER")})
@@ -178,3 +179,13 @@ def json_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = F.array_join(F.transform(F.array_sort(F.map_entries(J.merged(held, J.entries(F.col("change"))))), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
     reasons = F.when(F.col("id") % 2 == 0, F.array(F.lit("NO_TOTAL"), F.lit("X"), F.lit("TOTAL_MISSING"))).otherwise(F.array(F.lit("X"), F.lit("NO_TOTAL"), F.lit("X")))
     return ANSWER_JSON.rows(spark, sf_dir).select("id", F.round(J.key_share(F.col("reply")), 6).alias("share"), F.sha2(J.canonical(F.col("reply")), 256).alias("digest"), J.first_of(held, "상호", "merchant").alias("merchant"), both.alias("merged"), J.distinct_reasons(reasons, {"NO_TOTAL": "TOTAL_MISSING"}).alias("reasons"))
+
+
+#: Events as nested objects and arrays, some broken or empty.
+NESTED = StandIn("events", {"id": "event_id", "body": """CASE WHEN event_id % 97 = 0 THEN '{broken' WHEN event_id % 89 = 0 THEN '[]' WHEN event_id % 83 = 0 THEN cast(user_id as string) ELSE '{"user": {"id": ' || cast(user_id as string) || ', "tags": [' || cast(event_id % 5 as string) || ', {"deep": [[' || cast(event_id % 3 as string) || '], ' || props || ']}]}, "kind": "' || event_type || '", "none": null, "on": true}' END"""})
+
+
+@query(f"SELECT n.id, fullkey AS path, CASE WHEN type = 'NULL' THEN NULL ELSE atom ->> '$' END AS value FROM {NESTED.sql} AS n, json_tree(CASE WHEN json_valid(body) THEN CAST(body AS JSON) END) WHERE type NOT IN ('OBJECT', 'ARRAY')")
+def json_leaf_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Path and value of every leaf of the events' nested texts."""
+    return json_leaves(NESTED.rows(spark, sf_dir), "id", "body")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,8 +25,8 @@ def json_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path, multiLine=True)
 
 
-def append_new(rows: DataFrame, path: str, keys: list[str]) -> None:
-    """Append rows whose keys the table lacks, so that a repeated write adds nothing."""
+def append_new(rows: DataFrame, path: str, keys: list[str], work: Callable[[DataFrame], DataFrame] | None = None) -> None:
+    """Append rows whose keys the table lacks, so that a repeated write adds nothing; `work` is applied to them first, if given."""
     rows.sparkSession.catalog.refreshByPath(path)
     try:
         held = rows.sparkSession.read.parquet(path).select(*keys)
@@ -32,7 +34,8 @@ def append_new(rows: DataFrame, path: str, keys: list[str]) -> None:
         if "PATH_NOT_FOUND" not in str(error):
             raise
         held = rows.select(*keys).where("false")
-    only_new(rows, held, keys).write.mode("append").parquet(path)
+    left = only_new(rows, held, keys)
+    (work(left) if work else left).write.mode("append").parquet(path)
 
 
 def replace_partitions(rows: DataFrame, path: str, by: str) -> None:
