@@ -24,7 +24,8 @@ class LineRule:
     `middle` is what a line's height and place are: `mean` of the middles and greatest height,
     `first` cell's, or `median` of all.  A cell fits within `share` of the lower height, `least` at
     least, and doesn't fit a line that has a cell which it overlaps by more than `overlap` of
-    the narrower one.  Cells sort by their top, or by their middle.
+    the narrower one.  Cells sort by their top, or by their middle.  `within` names a column with
+    the distance that fits, in the place of heights.
     """
 
     look_back: int
@@ -34,6 +35,7 @@ class LineRule:
     overlap: float | None = None
     by_top: bool = True
     least_height: float = 1.0
+    within: str | None = None
 
 
 #: Lines of text pages, of cells to be searched for private data, and of receipts.
@@ -61,8 +63,8 @@ class Line:
         if rule.overlap is not None:
             self.spans.append((x0, x1))
 
-    def fits(self, rule: LineRule, y: float, height: float, x0: float, x1: float) -> bool:
-        if abs(self.y - y) > max(rule.least, min(self.height, height) * rule.share):
+    def fits(self, rule: LineRule, y: float, height: float, x0: float, x1: float, within: float | None = None) -> bool:
+        if abs(self.y - y) > (max(rule.least, min(self.height, height) * rule.share) if within is None else within):
             return False
         return rule.overlap is None or not any(min(x1, b) - max(x0, a) > min(x1 - x0, b - a) * rule.overlap for a, b in self.spans)
 
@@ -73,11 +75,11 @@ class Page:
     def __init__(self, rule: LineRule):
         self.rule, self.lines, self.next = rule, deque(maxlen=rule.look_back), 0
 
-    def line(self, y: float | None, height: float, x0: float, x1: float) -> int:
+    def line(self, y: float | None, height: float, x0: float, x1: float, within: float | None = None) -> int:
         if y is None:
             self.next += 1
             return self.next - 1
-        held = next((line for line in reversed(self.lines) if line.fits(self.rule, y, height, x0, x1)), None)
+        held = next((line for line in reversed(self.lines) if line.fits(self.rule, y, height, x0, x1, within)), None)
         if held:
             held.add(self.rule, y, height, x0, x1)
             return held.number
@@ -100,7 +102,7 @@ def visual_lines(cells: DataFrame, page: str, cell: str, rule: LineRule = TEXT,
     height = F.greatest(F.lit(rule.least_height), F.col("y1") - F.col("y0"))
     held = cells.withColumns({"_y": F.when(placed, middle.cast("double")), "_h": height.cast("double"), "_top": F.when(placed, F.col("y0") if rule.by_top else middle)})
     sorted_cells = held.repartition(F.col(page)).sortWithinPartitions(F.col(page).asc_nulls_first(), F.col("_top").asc_nulls_last(), F.col("x0").asc_nulls_last(), cell)
-    places = [sorted_cells.columns.index(c) for c in (page, "_y", "_h", "x0", "x1")]
+    places = [sorted_cells.columns.index(c) for c in (page, "_y", "_h", "x0", "x1", *([rule.within] if rule.within else []))]
     kept = [i for i, c in enumerate(sorted_cells.columns) if c not in ("_y", "_h", "_top")]
     names = [sorted_cells.columns[i] for i in kept]
 
@@ -108,10 +110,10 @@ def visual_lines(cells: DataFrame, page: str, cell: str, rule: LineRule = TEXT,
         current, state = object(), Page(rule)
         for batch in batches:
             lines = []
-            for key, y, height, x0, x1 in zip(*[batch.column(i).to_pylist() for i in places], strict=True):
+            for key, *place in zip(*[batch.column(i).to_pylist() for i in places], strict=True):
                 if key != current:
                     current, state = key, Page(rule)
-                lines.append(state.line(y, height, x0, x1))
+                lines.append(state.line(*place))
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in kept], pa.array(lines, pa.int32())], names=[*names, "line"])
 
     kinds = ", ".join(f"`{c}` {sorted_cells.schema[c].dataType.simpleString()}" for c in names)

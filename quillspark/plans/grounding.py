@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.operators import grounding as N
 from quillspark.operators import lines as L
+from quillspark.operators import tables as B
 from quillspark.plans.registry import query
 
 #: Cells of receipts: four of each line, tilted by receipt and moved up or down by up to three units, at rows sixteen apart.
@@ -120,3 +121,35 @@ def aligned_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = names.groupBy("receipt", "row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(each)), lambda c: c["text"]), " ").alias("name"))
     rows = rows.where((F.col("row") * 7 + F.col("receipt")) % 20 > 0).withColumn("page", (F.col("row") / 4).cast("int"))
     return N.align_items(items, rows).withColumn("score", F.round("score", 6))
+
+
+def printed_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of pages: orders' lines as rows of four columns, some cells missing, notes far right; every fifth page is prose, every seventh a stair of cells."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_tax")
+    held = lines.select(F.col("l_orderkey").alias("page"), F.row_number().over(order).alias("i"), "l_partkey", "l_suppkey", F.col("l_quantity").cast("int").alias("q"), "l_returnflag")
+    stair = F.when(F.col("page") % 7 == 0, 37.0 * F.col("i")).otherwise(0.0)
+    top = 22.0 * F.col("i") + F.col("l_suppkey") % 4
+
+    def cell(k: int, text, x: float, wide: float, there):  # noqa: ANN001, ANN202
+        left = x + stair + F.col("l_partkey") % 5
+        return F.when(there, F.struct(F.lit(k).alias("k"), text.cast("string").alias("text"), left.alias("x0"), (left + wide).alias("x1"), (top + (F.col("l_partkey") * (k + 1)) % 3).alias("y0"), (top + 11.0 + F.col("l_suppkey") % 2).alias("y1")))
+
+    table_page = F.col("page") % 5 > 0
+    parts = F.array_compact(
+        F.array(
+            cell(0, F.concat(F.lit(" part "), "l_partkey"), 0.0, 44.0, F.lit(True)),
+            cell(1, F.col("q"), 100.0, 14.0, table_page & (F.col("l_partkey") % 6 > 0)),
+            cell(2, F.col("l_returnflag"), 170.0, 10.0, table_page & (F.col("l_suppkey") % 5 > 0)),
+            cell(3, F.when(F.col("l_partkey") % 9 > 0, F.col("l_suppkey").cast("string")).otherwise(" "), 240.0, 30.0, table_page),
+            cell(4, F.lit("note"), 700.0, 30.0, table_page & (F.col("page") % 3 == 0)),
+            cell(5, F.lit("too"), 196.0, 8.0, table_page & (F.col("l_partkey") % 11 == 0)),
+        )
+    )
+    return held.select("page", "i", F.explode(parts).alias("c")).select("page", (F.col("i") * 10 + F.col("c.k")).cast("long").alias("cell"), "c.text", "c.x0", "c.x1", "c.y0", "c.y1")
+
+
+@query()
+def tables_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cells of tables without borders, by row and column."""
+    return B.borderless_tables(printed_tables(spark, sf_dir))

@@ -286,3 +286,76 @@ def test_likeness_is_never_cut_where_it_counts(spark):
     for a, b, got in spark.createDataFrame(rows, "a string, b string").select("a", "b", N.likeness(F.col("a"), F.col("b"), 0.6)).collect():
         true = 1.0 if a == b else difflib.SequenceMatcher(None, a, b).ratio()
         assert got == pytest.approx(true) if true >= 0.6 else got < 0.6
+
+
+def brute_table(cells):
+    """(row, column, text) of a page's table, by lists."""
+    cells = [dict(c, text=(c["text"] or "").strip(), x=(c["x0"] + c["x1"]) / 2, h=max(1.0, c["y1"] - c["y0"])) for c in cells]
+    near = max(6.0, int(median(c["h"] for c in cells) * 0.65))
+    lines = []
+    for c in sorted(cells, key=lambda c: ((c["y0"] + c["y1"]) / 2, c["x0"], c["cell"])):
+        y = (c["y0"] + c["y1"]) / 2
+        line = next((line for line in reversed(lines[-3:]) if abs(line["y"] - y) <= near), None)
+        if line:
+            line["cells"].append(c)
+            n = len(line["cells"])
+            line["y"] = (line["y"] * (n - 1) + y) / n
+        else:
+            lines.append({"y": y, "cells": [c]})
+    rows = [sorted(line["cells"], key=lambda c: (c["x0"], c["cell"])) for line in lines if len(line["cells"]) >= 2]
+    if len(rows) < 3:
+        return []
+    wide = max(12.0, int(median(c["h"] for row in rows for c in row) * 1.8))
+    groups = []
+    for at in sorted(round(c["x"]) for row in rows for c in row):
+        if groups and at - groups[-1][-1] <= wide:
+            groups[-1].append(at)
+        else:
+            groups.append([at])
+    hits = {a: n for a in (round(sum(g) / len(g)) for g in groups) if (n := sum(any(abs(c["x"] - a) <= wide for c in row) for row in rows)) >= 3}
+    anchors = sorted(hits)
+    if len(anchors) >= 3:
+        gaps = [b - a for a, b in zip(anchors, anchors[1:], strict=False)]
+        parts = [[anchors[0]]]
+        for a, gap in zip(anchors[1:], gaps, strict=True):
+            if median(gaps) > 0 and gap > 1.5 * median(gaps):
+                parts.append([a])
+            else:
+                parts[-1].append(a)
+        good = [p for p in parts if len(p) >= 2]
+        anchors = max(good, key=lambda p: sum(hits[a] for a in p)) if good else anchors
+    if not 2 <= len(anchors) <= 12:
+        return []
+    table = []
+    for row in rows:
+        filled = defaultdict(list)
+        for c in row:
+            k = min(range(len(anchors)), key=lambda i: abs(anchors[i] - c["x"]))
+            if abs(anchors[k] - c["x"]) <= wide:
+                filled[k].append(c["text"])
+        if len(filled) >= 2:
+            table.append({k: " ".join(t for t in v if t) for k, v in filled.items()})
+    if len(table) < 3 or len({k for row in table for k, v in row.items() if v}) < 2:
+        return []
+    return [(i + 1, k + 1, v) for i, row in enumerate(table) for k, v in row.items()]
+
+
+def test_tables_of_the_whole_table(spark, sf):
+    pages = defaultdict(list)
+    for r in plans.printed_tables(spark, sf).collect():
+        pages[r["page"]].append(r.asDict())
+    found = defaultdict(list)
+    for r in plans.tables_found(spark, sf).collect():
+        found[r["page"]].append((r["row"], r["column"], r["text"]))
+    for page, cells in pages.items():
+        assert sorted(found[page]) == sorted(brute_table(cells)), page
+    assert not any(found[p] for p in pages if p % 5 == 0)
+    whole = [p for p in pages if found[p] and p % 7 and p % 5]
+    assert len(whole) > 300 and any("note" in str(found[p]) for p in pages) is not all("note" in str(found[p]) for p in pages if p % 3 == 0)
+
+
+def test_no_tables(spark):
+    cells = spark.createDataFrame([(None, 1, None, 0.0, 0.0, 1.0, 1.0), (1, 1, "a", None, 0.0, 1.0, 1.0)], "page int, cell int, text string, x0 double, y0 double, x1 double, y1 double")
+    from quillspark.operators.tables import borderless_tables
+
+    assert borderless_tables(cells).collect() == [] and borderless_tables(cells.limit(0)).collect() == []
