@@ -149,3 +149,22 @@ def with_status(documents: DataFrame, parts: DataFrame, key: str) -> DataFrame:
     """Documents with the number of their parts, and READY if there are any, else EMPTY."""
     counts = parts.groupBy(key).agg(F.count("*").alias("n"))
     return documents.join(counts, key, "left").select(*documents.columns, F.coalesce("n", F.lit(0)).alias("n"), F.when(F.col("n") > 0, "READY").otherwise("EMPTY").alias("status"))
+
+
+#: Days that a payment keeps a subscription.
+PERIOD_DAYS = 30
+
+
+def subscriptions(payments: DataFrame, cancels: DataFrame, now: Column) -> DataFrame:
+    """(user, tier, status, period_start, period_end) of each user's last payment (user, paid_at) and the cancels (user, asked_at) since.
+
+    A payment keeps the subscription for PERIOD_DAYS and undoes what was cancelled before; a later cancel takes
+    effect at the period's end, when the tier is FREE.  Without a cancel the status stays ACTIVE, as periods
+    are renewed by payments only.  Null users and times don't count.
+    """
+    last = payments.where("user IS NOT NULL AND paid_at IS NOT NULL").groupBy("user").agg(F.max("paid_at").alias("period_start"))
+    asked = cancels.where("user IS NOT NULL AND asked_at IS NOT NULL").groupBy("user").agg(F.max("asked_at").alias("_asked"))
+    held = last.join(asked, "user", "left").withColumn("period_end", F.col("period_start") + F.make_interval(days=F.lit(PERIOD_DAYS)))
+    cancelled = F.coalesce(F.col("_asked") >= F.col("period_start"), F.lit(False))
+    over = cancelled & (F.col("period_end") <= now)
+    return held.select("user", F.when(over, "FREE").otherwise("ENTERPRISE").alias("tier"), F.when(over, "CANCELED").when(cancelled, "CANCEL_SCHEDULED").otherwise("ACTIVE").alias("status"), "period_start", "period_end")

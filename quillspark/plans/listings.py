@@ -164,3 +164,15 @@ def reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ready_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts of each document, and whether it has any."""
     return R.with_status(table(spark, sf_dir, "customer").select("c_custkey"), table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+
+
+@query(
+    """WITH paid AS (SELECT o_custkey AS user, max(CAST(o_orderdate AS TIMESTAMP)) AS s FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1), asked AS (SELECT o_custkey AS user, max(CAST(o_orderdate AS TIMESTAMP)) AS a FROM orders WHERE o_orderstatus = 'F' GROUP BY 1),
+held AS (SELECT user, s, s + INTERVAL 30 DAYS AS e, coalesce(a >= s, false) AS c FROM paid LEFT JOIN asked USING (user))
+SELECT user, CASE WHEN c AND e <= TIMESTAMP '2001-06-01' THEN 'FREE' ELSE 'ENTERPRISE' END AS tier, CASE WHEN c AND e <= TIMESTAMP '2001-06-01' THEN 'CANCELED' WHEN c THEN 'CANCEL_SCHEDULED' ELSE 'ACTIVE' END AS status, CAST(s AS VARCHAR) AS period_start, CAST(e AS VARCHAR) AS period_end FROM held"""
+)
+def subscription_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers' subscriptions: orders pay, those of status F cancel."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("user"), "o_orderdate", "o_orderstatus")
+    found = R.subscriptions(orders.where("o_orderstatus <> 'F'").withColumnRenamed("o_orderdate", "paid_at"), orders.where("o_orderstatus = 'F'").withColumnRenamed("o_orderdate", "asked_at"), F.to_timestamp_ntz(F.lit("2001-06-01 00:00:00")))
+    return found.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("period_start", "period_end")})
