@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
@@ -46,13 +47,16 @@ class Shard:
         for token in tokens:
             if token not in numbers:
                 numbers[token] = len(numbers)
-        self.words = list(numbers)
+        self.words = pa.array(list(numbers), pa.binary())
         self.ids = np.fromiter(map(numbers.__getitem__, tokens), dtype=np.int64, count=len(tokens))
         self.least = np.ones(len(tokens), dtype=np.int64)
         self.least[:carried] = carried - np.arange(carried) + 1
 
-    def keep(self, known: np.ndarray) -> None:
-        """Turn words that aren't known into gaps; gaps that follow a gap go."""
+    def keep(self, words: Map, lang: str) -> None:
+        """Turn words that can't be frequent into gaps; gaps that follow a gap go."""
+        self.hashes = word_hashes(lang, self.words.to_pylist())
+        known = words.has(self.hashes)
+        known[0] = False
         self.ids = np.where(known[self.ids], self.ids, 0)
         here = (self.ids > 0) | (np.append(0, self.ids[:-1]) > 0)
         self.ids, self.least = self.ids[here], self.least[here]
@@ -93,16 +97,11 @@ class Shard:
         n = np.add.reduceat(counted, starts) if len(starts) else np.zeros(0, dtype=np.int64)
         return order[starts[n > 0]], n[n > 0]
 
-    def chains(self, pairs: Map, lang: str, depth: int) -> np.ndarray:
+    def chains(self, pairs: Map, depth: int) -> np.ndarray:
         """Keep the words of pairs that may be frequent alone; how many such pairs run on from each, `depth` - 1 at most."""
-        order, shared = self.suffixes(2)
-        starts = np.flatnonzero(shared < 2)
-        first = order[starts]
-        real = self.sizes(2)[first] >= 2
-        known = np.zeros(len(starts), dtype=bool)
-        known[real] = pairs.has(lang, self.texts(first[real], 2))
-        good = np.zeros(len(order), dtype=bool)
-        good[order] = np.repeat(known, np.diff(np.append(starts, len(order))))
+        after = np.append(self.ids[1:], 0)
+        good = (self.ids > 0) & (after > 0)
+        good[good] = pairs.has(joined(self.hashes[self.ids[good]], self.hashes[after[good]]))
         here = good | np.append(False, good[:-1])[: len(good)]
         self.ids, self.least = self.ids[here], self.least[here]
         further = np.append(good[here], np.zeros(depth, dtype=bool)).astype(np.int64)
@@ -111,13 +110,24 @@ class Shard:
             chain = further[k : k + len(chain)] * (1 + chain)
         return chain
 
-    def texts(self, places: np.ndarray, k: int) -> list[bytes]:
-        words = self.words
-        return [b" ".join(words[i] for i in row) for row in self.ids[places[:, None] + np.arange(k)].tolist()]
+    def texts(self, places: np.ndarray, k: int) -> pa.Array:
+        """The phrases of k words at places."""
+        return pc.binary_join_element_wise(*[self.words.take(pa.array(self.ids[places + i])) for i in range(k)], pa.scalar(b" ", pa.binary()))
+
+
+def word_hashes(lang: str, words: list[bytes]) -> np.ndarray:
+    """Hashes of group and word as Spark's xxhash64 has them."""
+    seed = xxh64_intdigest(lang.encode(), 42)
+    return np.fromiter((xxh64_intdigest(w, seed) for w in words), dtype=np.uint64, count=len(words))
+
+
+def joined(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Hash of a pair of words from theirs."""
+    return ((first << np.uint64(1)) | (first >> np.uint64(63))) ^ second
 
 
 class Map:
-    """Phrases that may be frequent, by hashes of group and phrase as Spark's xxhash64 has them."""
+    """Phrases that may be frequent, by the hashes of group and words."""
 
     def __init__(self, bits: np.ndarray):
         self.bits = bits
@@ -125,17 +135,16 @@ class Map:
     @classmethod
     def of(cls, counts: DataFrame, bits: int = BITS) -> Map:
         """Of the rows (lang, phrase); what reaches the driver has a fixed size."""
-        place = F.pmod(F.xxhash64("lang", "phrase"), F.lit(bits)) + 1
+        words = F.transform(F.split("phrase", " ", -1), lambda w: F.xxhash64("lang", w))
+        place = F.pmod(F.aggregate(words, F.lit(0).cast("long"), lambda h, w: F.shiftleft(h, 1).bitwiseOR(F.shiftrightunsigned(h, 63)).bitwiseXOR(w)), F.lit(bits)) + 1
         parts = counts.select(place.alias("_p")).groupBy(F.bitmap_bucket_number("_p").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_p")).alias("_bits")).collect()
         found = np.zeros(max(bits // 8, 4096), dtype=np.uint8)
         for bucket, part in parts:
             found[(bucket - 1) * 4096 : bucket * 4096] = np.frombuffer(part, dtype=np.uint8)
         return cls(found[: -(-bits // 8)])
 
-    def has(self, lang: str, phrases: list[bytes]) -> np.ndarray:
-        seed = xxh64_intdigest(lang.encode(), 42)
-        h = np.fromiter((xxh64_intdigest(p, seed) for p in phrases), dtype=np.uint64, count=len(phrases)).astype(np.int64)
-        at = h % (len(self.bits) * 8)
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        at = hashes.astype(np.int64) % (len(self.bits) * 8)
         return (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
 
 
@@ -170,29 +179,29 @@ def _counts(batches: Iterator[pa.RecordBatch], words: Map | None, pairs: Map | N
             groups.setdefault(lang, []).append(text)
         for lang, texts in groups.items():
             for shard in shards(texts):
-                found, n = _of_shard(shard, lang, words, pairs, depth)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found, pa.binary()).view(pa.string()), pa.array(n, pa.int64())], names=["lang", "phrase", "n"])
+                for found, n in _of_shard(shard, lang, words, pairs, depth):
+                    yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang, pa.string()), len(found)), found.view(pa.string()), pa.array(n, pa.int64())], names=["lang", "phrase", "n"])
 
 
-def _of_shard(shard: Shard, lang: str, words: Map | None, pairs: Map | None, depth: int) -> tuple[list, np.ndarray]:
+def _of_shard(shard: Shard, lang: str, words: Map | None, pairs: Map | None, depth: int) -> Iterator[tuple[pa.Array, np.ndarray]]:
     if words is None:
-        n = np.bincount(shard.ids[shard.least == 1], minlength=len(shard.words))[1:]
+        n = np.bincount(shard.ids[shard.least == 1], minlength=len(shard.words))
+        n[0] = 0
         seen = np.flatnonzero(n)
-        return [None, *(shard.words[i + 1] for i in seen)], np.append(n.sum(), n[seen])
-    shard.keep(np.append(False, words.has(lang, shard.words[1:])))
+        yield shard.words.take(pa.array(seen)), n[seen]
+        yield pa.nulls(1, pa.binary()), np.array([n.sum()])
+        return
+    shard.keep(words, lang)
     if pairs is None:
         order, shared = shard.suffixes(2)
         places, n = shard.phrases(order, shared, shard.sizes(2), 2)
-        return shard.texts(places, 2), n
-    chain = shard.chains(pairs, lang, depth)
+        yield shard.texts(places, 2), n
+        return
+    size = 1 + shard.chains(pairs, depth)
     order, shared = shard.suffixes(depth)
-    size = 1 + chain
-    texts, counts = [], [np.zeros(0, dtype=np.int64)]
     for k in range(3, depth + 1):
         places, n = shard.phrases(order, shared, size, k)
-        texts += shard.texts(places, k)
-        counts.append(n)
-    return texts, np.concatenate(counts)
+        yield shard.texts(places, k), n
 
 
 def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, bits: int = BITS) -> DataFrame:

@@ -94,7 +94,7 @@ def test_shards_cut_long_texts(limit):
         order, shared = shard.suffixes(4)
         for k in range(1, 5):
             places, n = shard.phrases(order, shared, shard.sizes(4), k)
-            found.update(dict(zip((p.decode() for p in shard.texts(places, k)), n.tolist(), strict=True)))
+            found.update(dict(zip((p.decode() for p in shard.texts(places, k).to_pylist()), n.tolist(), strict=True)))
     assert found == sum(brute_counts([(t.decode(), "en", None) for t in texts])[0].values(), Counter())
 
 
