@@ -9,6 +9,7 @@ from quillspark.functions.numbers import separator_lost
 from quillspark.functions.text import compact
 from quillspark.operators.grounding import likeness
 from quillspark.operators.receipts import canonical_category
+from quillspark.session import checkpointed
 
 # Numeric fields, labels that stand before them, words that tell of a category, and letters read for digits.
 NUMBERS = ("quantity", "unit_price", "total_amount", "supply_amount", "tax_amount", "total_quantity", "discount_amount")
@@ -231,7 +232,7 @@ def attribute(fields: DataFrame, items: DataFrame, finals: DataFrame) -> tuple[D
     of_items = told.select("sample", scope.alias("scope"), "failed", F.explode_outer("causes").alias("c")).select("sample", F.col("c.code").alias("code"), "scope", F.col("c.field").alias("field"), F.col("failed").alias("wrong"), F.col("c.code").eqNullSafe("OCR_CHARACTER_CONFUSION").alias("_confusion"))
     of_items = of_items.select("sample", "code", "scope", "field", (F.col("wrong") | F.col("_confusion")).alias("wrong"), F.col("code").isin("DECIMAL_SEPARATOR_LOST", "SEMANTIC_EQUIVALENCE").alias("early"))
     of_sums = sums.select("sample", F.explode("causes").alias("code"), F.lit("sample").alias("scope"), F.lit(None).cast("string").alias("field"), F.lit(False).alias("wrong"), F.lit(False).alias("early"))
-    every = of_fields.select("sample", "code", "scope", "field", "wrong", "early").union(of_items).union(of_sums)
+    every = checkpointed(of_fields.select("sample", "code", "scope", "field", "wrong", "early").union(of_items).union(of_sums))
     samples = every.groupBy("sample").agg(F.max("wrong").alias("failed"))
     kept = every.where("code IS NOT NULL").join(samples, "sample").where("failed OR early").select("sample", "failed", tagged(F.col("code"), F.col("scope"), F.col("field")).alias("t")).distinct()
     bare = samples.where("failed").join(kept.select("sample").distinct(), "sample", "left_anti").select("sample", "failed", tagged(F.lit("UNKNOWN"), F.lit("sample"), F.lit(None).cast("string")).alias("t"))

@@ -108,7 +108,7 @@ def relabel(rows: DataFrame, names: DataFrame, column: str) -> tuple[DataFrame,
 def split_groups(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """(node, group) of undirected edges (a, b): smallest node within reach, so that alike rows never cross a split.
 
-    Labels spread by joins until none changes; each round is checkpointed.
+    Labels spread by joins until none changes; each round is checkpointed.  Raises if they still change after `rounds`.
     """
     both = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct()
     labels = checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("group")))
@@ -121,5 +121,5 @@ def split_groups(edges: DataFrame, rounds: int = 50) -> DataFrame:
         stepped = checkpointed(stepped.join(hop, stepped["group"] == hop["_n"], "left").select("node", F.least("group", F.coalesce("_g", "group")).alias("group"), "changed"))
         labels = stepped.select("node", "group")
         if stepped.where("changed").isEmpty():
-            break
-    return labels
+            return labels
+    raise RuntimeError(f"groups still change after {rounds} rounds")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.operators.lines import RECEIPT, visual_lines
-from quillspark.operators.receipts import ratio
+from quillspark.operators.receipts import may_reach, ratio
 from quillspark.session import checkpointed
 
 # A number with its unit, product codes, what isn't an item, and the heads of columns.
@@ -53,9 +53,7 @@ def cell_number(text: Column) -> Column:
 
 def likeness(a: Column, b: Column, least: float) -> Column:
     """Ratcliff-Obershelp similarity of two texts that may reach `least`; 0 for those that by length or letters can't."""
-    n = F.length(a) + F.length(b)
-    common = F.least(F.length(a) - F.length(F.call_function("translate", a, b, F.lit(""))), F.length(b) - F.length(F.call_function("translate", b, a, F.lit(""))))
-    open_ = (a != b) & (2 * common >= F.lit(least) * n)
+    open_ = (a != b) & may_reach(a, b, least)
     return F.when(a == b, 1.0).otherwise(F.coalesce(ratio(F.when(open_, a), F.when(open_, b)), F.lit(0.0)))
 
 
@@ -149,6 +147,7 @@ def beside(matched: DataFrame, numbers: DataFrame, read: DataFrame) -> DataFrame
     step = F.col("_y") - F.col("y")
     near = matched.join(rows, "receipt").where((step >= -0.55 * F.col("h")) & (step <= 1.4 * F.col("h")))
     two = near.groupBy("receipt", "index", "y", "h").agg(F.slice(F.array_sort(F.collect_list(F.struct(F.abs(step).alias("away"), F.col("_line").alias("line"), F.col("_y").alias("row_y"), "least_confidence", "cells"))), 1, 2).alias("_two"))
+    two = checkpointed(two)
     labels = read.where("excluded AND role IS NULL").select("receipt", F.col("level").alias("_label"))
     spoilt = two.join(labels, "receipt").where(F.abs(F.col("_label") - F.col("_two")[0]["row_y"]) <= 0.75 * F.col("h")).select("receipt", "index").distinct().withColumn("_spoilt", F.lit(True))
     told = matched.join(two.drop("y", "h"), ["receipt", "index"], "left").join(spoilt, ["receipt", "index"], "left")
@@ -235,7 +234,7 @@ def ground_items(cells: DataFrame, items: DataFrame) -> DataFrame:
     told = items.join(found.select("receipt", "index", "_name_reason"), ["receipt", "index"], "left").join(resolved, ["receipt", "index"], "left")
     agrees = consistent({f: F.col(f) for f in FIELDS})
     own = F.when(F.col("_name_reason") != "matched", F.col("_name_reason")).when(F.col("_row_reason") != "matched", F.col("_row_reason")).otherwise(F.coalesce("_n.reason", F.lit("name_not_grounded")))
-    reasoned = told.withColumn("reason", F.when(agrees, "model_arithmetic_consistent").otherwise(own))
+    reasoned = checkpointed(told.withColumn("reason", F.when(agrees, "model_arithmetic_consistent").otherwise(own)))
     holds = F.col("line").isNotNull() & F.col("reason").isin("model_arithmetic_consistent", "unique_arithmetic_with_geometry")
     claims = reasoned.where(holds).groupBy("receipt", "line").agg(F.count("*").alias("_claims"))
     reasoned = reasoned.join(claims, ["receipt", "line"], "left")

@@ -144,6 +144,12 @@ def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+def may_reach(a: Column, b: Column, least: float) -> Column:
+    """Whether the similarity of two texts can be `least` by their lengths and letters: false only where `ratio` is less."""
+    common = F.least(F.length(a) - F.length(F.call_function("translate", a, b, F.lit(""))), F.length(b) - F.length(F.call_function("translate", b, a, F.lit(""))))
+    return 2 * common >= F.lit(least) * (F.length(a) + F.length(b)) - 1e-9
+
+
 def same_number(a: Column, b: Column) -> Column:
     """Equal to two decimals; null is 0."""
     return F.round(F.coalesce(a, F.lit(0.0)), 2) == F.round(F.coalesce(b, F.lit(0.0)), 2)
@@ -163,7 +169,7 @@ def names_match(a: Column, b: Column) -> Column:
     fewer = F.least(F.size(a["words"]), F.size(b["words"]))
     overlap = (fewer >= 2) & (F.size(F.array_intersect(a["words"], b["words"])) >= 0.75 * fewer)
     open_ = (a["text"] != "") & (b["text"] != "") & ~clash
-    undecided = (a["text"] != b["text"]) & open_ & ~within & ~overlap
+    undecided = (a["text"] != b["text"]) & open_ & ~within & ~overlap & may_reach(a["bare"], b["bare"], 0.72)
     alike = ratio(F.when(undecided, a["bare"]), F.when(undecided, b["bare"])) >= 0.72
     return F.coalesce((a["text"] == b["text"]) | (open_ & (within | overlap)) | (undecided & alike), F.lit(False))
 

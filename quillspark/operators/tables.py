@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.operators.lines import LineRule, visual_lines
+from quillspark.session import checkpointed
 
 #: Rows of such tables are found like lines, by the mean of their middles, within a distance that the page gives.
 ROWS = LineRule(look_back=3, share=0.0, middle="mean", by_top=False)
@@ -26,11 +27,11 @@ def borderless_tables(cells: DataFrame) -> DataFrame:
     boxed = cells.where("x1 IS NOT NULL AND y1 IS NOT NULL AND x0 IS NOT NULL AND y0 IS NOT NULL").select("page", "cell", F.trim(F.coalesce("text", F.lit(""))).alias("text"), "x0", "y0", "x1", "y1")
     boxed = boxed.withColumns({"h": F.greatest(F.lit(1.0), F.col("y1") - F.col("y0")), "x": (F.col("x0") + F.col("x1")) / 2})
     usual = boxed.groupBy("page").agg(F.greatest(F.lit(6.0), F.floor(F.median("h") * 0.65).cast("double")).alias("near"))
-    lined = visual_lines(boxed.join(usual, "page"), "page", "cell", replace(ROWS, within="near"))
+    lined = checkpointed(visual_lines(boxed.join(usual, "page"), "page", "cell", replace(ROWS, within="near")))
     lines = lined.groupBy("page", "line").agg(F.count("*").alias("_n")).where("_n >= 2").drop("_n")
     rows = lined.join(lines, ["page", "line"])
     pages = rows.groupBy("page").agg(F.count_distinct("line").alias("_lines"), F.greatest(F.lit(12.0), F.floor(F.median("h") * 1.8).cast("double")).alias("wide")).where(F.col("_lines") >= LEAST_ROWS)
-    rows = rows.join(pages.drop("_lines"), "page")
+    rows = checkpointed(rows.join(pages.drop("_lines"), "page"))
 
     order = Window.partitionBy("page").orderBy("_at")
     places = rows.select("page", "wide", F.bround("x").alias("_at"))
@@ -41,6 +42,7 @@ def borderless_tables(cells: DataFrame) -> DataFrame:
     often = meets.groupBy("page", "anchor").agg(F.count_distinct("line").alias("hits")).where(F.col("hits") >= LEAST_ROWS)
 
     across = Window.partitionBy("page").orderBy("anchor")
+    often = checkpointed(often)
     gaps = often.withColumn("_gap", F.col("anchor") - F.lag("anchor").over(across))
     typical = gaps.groupBy("page").agg(F.median("_gap").alias("_typical"), F.count("*").alias("_columns"))
     parted = gaps.join(typical, "page").withColumn("_part", F.sum(F.coalesce(((F.col("_columns") >= 3) & (F.col("_typical") > 0) & (F.col("_gap") > WIDE_GAP * F.col("_typical"))).cast("int"), F.lit(0))).over(across))
@@ -53,7 +55,7 @@ def borderless_tables(cells: DataFrame) -> DataFrame:
     each = F.struct("x0", "cell", "text")
     filled = nearest.groupBy("page", "line", F.col("_c.column").alias("column")).agg(F.array_join(F.filter(F.transform(F.array_sort(F.collect_list(each)), lambda s: s["text"]), lambda t: t != ""), " ").alias("text"))
     used = filled.groupBy("page", "line").agg(F.count("*").alias("_used")).where("_used >= 2")
-    kept = filled.join(used, ["page", "line"])
+    kept = checkpointed(filled.join(used, ["page", "line"]))
     whole = kept.groupBy("page").agg(F.count_distinct("line").alias("_rows"), F.count_distinct(F.when(F.col("text") != "", F.col("column"))).alias("_held")).where((F.col("_rows") >= LEAST_ROWS) & (F.col("_held") >= 2))
     numbered = kept.join(whole, "page").withColumn("row", F.dense_rank().over(Window.partitionBy("page").orderBy("line")))
     return numbered.select("page", "row", "column", "text")

@@ -10,6 +10,7 @@ from quillspark.operators import evidence as V
 from quillspark.operators import retrieval as R
 from quillspark.plans.queries import BM25
 from quillspark.plans.registry import query
+from quillspark.session import checkpointed
 from quillspark.sources.tables import table
 
 #: Questions and documents in both engines' words: the first words of a text, with amounts made of other columns.
@@ -90,5 +91,5 @@ def answered_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = found.groupBy("query_id").agg(F.max("score").alias("_top"))
     scored = found.join(top, "query_id").select("query_id", "doc_id", (F.col("score") / F.col("_top") * 0.5).alias("similarity")).join(docs.withColumnRenamed("text", "content"), "doc_id")
     passages = V.boosted(asked, scored.select("query_id", "doc_id", "content", "similarity")).where(F.col("rank") <= V.KEPT)
-    told = V.facets(asked)
+    told, passages = V.facets(asked), checkpointed(passages)
     return V.gate(told, passages, V.unit_scores(told, passages))

@@ -328,6 +328,6 @@ def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Other modules register theirs on import.
-from quillspark.plans import attribution, chunks, evaluation, evidence, grounding, layout, listings, receipts, taxonomy, texts  # noqa: E402
+from quillspark.plans import amounts, attribution, chunks, evaluation, evidence, grounding, layout, listings, receipts, taxonomy, texts  # noqa: E402
 
-__all__ = ["ORACLES", "QUERIES", "attribution", "chunks", "evaluation", "evidence", "grounding", "layout", "listings", "receipts", "taxonomy", "texts"]
+__all__ = ["ORACLES", "QUERIES", "amounts", "attribution", "chunks", "evaluation", "evidence", "grounding", "layout", "listings", "receipts", "taxonomy", "texts"]
