@@ -11,7 +11,7 @@ from quillspark.operators import tables as B
 from quillspark.plans.registry import query
 
 #: Cells of receipts: four of each line, tilted by receipt and moved up or down by up to three units, at rows sixteen apart.
-CELLS = """SELECT l_orderkey AS page, ((l_partkey * 1000 + l_suppkey) * 10 + l_linenumber) * 10 + k AS cell, k, x0, y0, x0 + CASE k WHEN 0 THEN 60.0 ELSE 18.0 END AS x1, y0 + 6.0 + l_suppkey % 5 AS y1,
+CELLS = """SELECT l_orderkey AS page, ((((l_partkey * 1000 + l_suppkey) * 10 + l_linenumber) * 100 + CAST(l_quantity AS BIGINT)) * 1000 + CAST(floor(l_extendedprice) AS BIGINT) % 1000) * 10 + k AS cell, k, x0, y0, x0 + CASE k WHEN 0 THEN 60.0 ELSE 18.0 END AS x1, y0 + 6.0 + l_suppkey % 5 AS y1,
 CASE k WHEN 0 THEN 'part ' || CAST(l_partkey AS STRING) WHEN 1 THEN CAST(CAST(l_quantity AS INT) AS STRING) WHEN 2 THEN l_returnflag ELSE ' ' || l_linestatus || ' ' END AS text
 FROM (SELECT *, 80.0 * least(k, 1) + 30.0 * greatest(k - 1, 0) AS x0, 16.0 * l_linenumber + (l_partkey * (k + 3) + l_suppkey) % 7 - 3 + (l_orderkey % 5 - 2) * 2.0 * k AS y0 FROM lineitem, kinds)"""
 
@@ -22,7 +22,7 @@ def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     tilted = 16.0 * F.col("l_linenumber") + (F.col("l_partkey") * (F.col("k") + 3) + F.col("l_suppkey")) % 7 - 3 + (F.col("l_orderkey") % 5 - 2) * 2.0 * F.col("k")
     placed = lines.select("*", kinds).withColumns({"x0": F.when(F.col("k") > 0, 80.0 + 30.0 * (F.col("k") - 1)).otherwise(0.0), "y0": tilted})
     text = F.when(F.col("k") == 0, F.concat(F.lit("part "), "l_partkey")).when(F.col("k") == 1, F.col("l_quantity").cast("int").cast("string")).when(F.col("k") == 2, F.col("l_returnflag")).otherwise(F.concat(F.lit(" "), "l_linestatus", F.lit(" ")))
-    cell = ((F.col("l_partkey") * 1000 + F.col("l_suppkey")) * 10 + F.col("l_linenumber")) * 10 + F.col("k")
+    cell = ((((F.col("l_partkey") * 1000 + F.col("l_suppkey")) * 10 + F.col("l_linenumber")) * 100 + F.col("l_quantity").cast("long")) * 1000 + F.floor("l_extendedprice") % 1000) * 10 + F.col("k")
     return placed.select(F.col("l_orderkey").alias("page"), cell.alias("cell"), "k", "x0", "y0", (F.col("x0") + F.when(F.col("k") == 0, 60.0).otherwise(18.0)).alias("x1"), (F.col("y0") + 6.0 + F.col("l_suppkey") % 5).alias("y1"), text.alias("text"))
 
 
