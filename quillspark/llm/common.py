@@ -31,7 +31,11 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def settle(frame: DataFrame) -> DataFrame:
-    """Write the frame to the shared folder and read it back: later steps neither recompute it nor depend on executors."""
+    """Write the frame to the shared folder and read it back: later steps neither recompute it nor depend on executors.
+
+    Spark takes the compressed files' size for the frame's and would broadcast what is many times larger
+    in memory, or is made of it.  So joins of settled frames that grow with the input are hinted to merge.
+    """
     spark = frame.sparkSession
     path = f"{shared_folder(spark)}/settled-{uuid.uuid4().hex}"
     frame.write.parquet(path, compression="zstd")
@@ -80,10 +84,10 @@ def components(edges: DataFrame) -> DataFrame:
         if larger:
             around = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
             least = around.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-            moved = around.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+            moved = around.where("b > a").join(least.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         else:
             least = pairs.groupBy("a").agg(F.min("b").alias("m"))
-            moved = pairs.join(least, "a").select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("e")).select(F.col("e.b").alias("a"), F.col("e.m").alias("b"))
+            moved = pairs.join(least.hint("merge"), "a").select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("e")).select(F.col("e.b").alias("a"), F.col("e.m").alias("b"))
         return moved.where("a > b").distinct()
 
     pairs = settle(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct())

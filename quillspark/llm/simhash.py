@@ -124,7 +124,7 @@ def fuzzy_links(points: DataFrame) -> DataFrame:
     index = points.mapInArrow(partial(keyed, probe=False), schema).select("code", F.col("id").alias("a"), F.col("fp").alias("fa"))
     probes = points.mapInArrow(partial(keyed, probe=True), schema).select("code", F.col("id").alias("b"), F.col("fp").alias("fb"))
     near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= 3)
-    return index.join(probes, "code").where(near).select("a", "b").distinct()
+    return index.join(probes.hint("merge"), "code").where(near).select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
@@ -138,8 +138,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prints = settle(fingerprints(docs, id_col, text_col, shingle))
     points = prints.groupBy("fp").agg(F.min("id").alias("id")).select("id", "fp")
     ring = components(fuzzy_links(settle(points)))
-    classes = points.join(ring, points["id"] == ring["node"], "left").select("fp", F.coalesce("component", "id").alias("component_id"))
-    return prints.join(classes, "fp").select("id", "fp", "component_id")
+    classes = points.join(ring.hint("merge"), points["id"] == ring["node"], "left").select("fp", F.coalesce("component", "id").alias("component_id"))
+    return prints.join(classes.hint("merge"), "fp").select("id", "fp", "component_id")
 
 
 def hex64(value: Column) -> Column:

@@ -240,3 +240,12 @@ def test_prefix_pairs_holds_every_similar_pair_and_no_group_of_a_shared_passage(
     near = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if sets[i] and sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
     assert near and near <= found
     assert len(found) <= 2 * len(near)
+
+
+def planned(frame):
+    return frame._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_links_are_joined_without_a_broadcast(spark):
+    points = spark.range(2000).selectExpr("id", "xxhash64(id) AS fp")
+    assert "Broadcast" not in planned(fuzzy_links(points))
