@@ -183,7 +183,7 @@ def _similar(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float
             yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
     left, right = (texts.select(F.col("id").alias(i), F.col("text").alias(t)) for i, t in (("a", "_left"), ("b", "_right")))
-    return settle(pairs.join(left, "a").join(right, "b").select("a", "b", "_left", "_right").mapInArrow(run, "a long, b long").distinct())
+    return settle(pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "_left", "_right").mapInArrow(run, "a long, b long").distinct())
 
 
 def prefix_pairs(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -205,8 +205,8 @@ def prefix_pairs(texts: DataFrame, shingle: int, similarity: float) -> DataFrame
     said = sets.select("id", "same", F.explode("held").alias("h"))
     often = said.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
     # A shingle of one text alone comes before all others and can't be shared, so its place is only counted.
-    order = said.join(often, "h").groupBy("id", "same").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("order"))
-    whole = sets.select("id", "c", "same", F.size("held").alias("n")).join(order, ["id", "same"]).withColumn("alone", F.col("n") - F.size("order"))
+    order = said.join(often.hint("merge"), "h").groupBy("id", "same").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("order"))
+    whole = sets.select("id", "c", "same", F.size("held").alias("n")).join(order.hint("merge"), ["id", "same"]).withColumn("alone", F.col("n") - F.size("order"))
     first = (F.floor(F.col("n") * (1 - similarity) + 1e-6) + 1 - F.col("alone")).cast("int")
     starts = whole.select("id", "c", "n", "alone", F.posexplode(F.slice("order", F.lit(1), F.greatest(first, F.lit(0)))).alias("at", "o"))
     starts = settle(starts.select("id", "c", "n", (F.col("alone") + F.col("at")).alias("at"), F.col("o.h").alias("h")))
@@ -215,7 +215,7 @@ def prefix_pairs(texts: DataFrame, shingle: int, similarity: float) -> DataFrame
     sizes = "c_a <> c_b AND (n_a < n_b OR n_a = n_b AND id_a < id_b)"
     left = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
     near = (F.col("n_a") + 1e-6 >= similarity * F.col("n_b")) & (left + 1e-6 >= share * (F.col("n_a") + F.col("n_b")))
-    found = shorter.where(F.col("at_a") <= F.col("n_a") * (1 - 2 * share) + 1e-6).join(longer, "h").where(F.expr(sizes) & near)
+    found = shorter.where(F.col("at_a") <= F.col("n_a") * (1 - 2 * share) + 1e-6).join(longer.hint("merge"), "h").where(F.expr(sizes) & near)
     return found.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
 
 
@@ -228,17 +228,17 @@ def similar_links(texts: DataFrame, points: DataFrame, shingle: int = COPY_SHING
     """
     spread = points.select("id", F.explode(F.array_union("keys", F.array("fp"))).alias("key"))
     tops = spread.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first")
-    shared = settle(spread.join(tops, "key").select("key", "first", "id"))
+    shared = settle(spread.join(tops.hint("merge"), "key").select("key", "first", "id"))
     fuzzy = fuzzy_links(settle(points.groupBy("fp").agg(F.min("id").alias("id")).select("id", "fp")))
     pairs = settle(shared.where("id > first").select(F.col("first").alias("a"), F.col("id").alias("b")).union(fuzzy).distinct())
     wanted = shared.select("id").union(pairs.select(F.explode(F.array("a", "b")).alias("id"))).distinct()
-    held = settle(texts.join(wanted, "id", "left_semi"))
+    held = settle(texts.join(wanted.hint("merge"), "id", "left_semi"))
     links = _similar(pairs, held, shingle, similarity)
     ring = components(links).withColumnRenamed("node", "id")
-    tagged = settle(shared.join(ring, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c")))
+    tagged = settle(shared.join(ring.hint("merge"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("c")))
     mixed = tagged.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    apart = tagged.join(mixed, "key", "left_semi").select("id", "c").distinct()
-    rest = prefix_pairs(held.join(apart, "id"), shingle, similarity).join(pairs, ["a", "b"], "left_anti")
+    apart = tagged.join(mixed.hint("merge"), "key", "left_semi").select("id", "c").distinct()
+    rest = prefix_pairs(held.join(apart.hint("merge"), "id"), shingle, similarity).join(pairs.hint("merge"), ["a", "b"], "left_anti")
     return links.union(_similar(settle(rest), held, shingle, similarity))
 
 
@@ -253,5 +253,5 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
     points = settle(_sets(texts, shingle).groupBy("same").agg(F.min("id").alias("id"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
     ring = components(similar_links(texts, points, shingle, similarity))
-    kept = points.join(ring, points["id"] == ring["node"], "left").select(F.coalesce("component", "id").alias("_kept")).distinct()
-    return docs.join(kept, docs[id_col].cast("long") == kept["_kept"], "left_semi").unionByName(unnamed)
+    kept = points.join(ring.hint("merge"), points["id"] == ring["node"], "left").select(F.coalesce("component", "id").alias("_kept")).distinct()
+    return docs.join(kept.hint("merge"), docs[id_col].cast("long") == kept["_kept"], "left_semi").unionByName(unnamed)

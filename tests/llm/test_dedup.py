@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
+from quillspark.llm import simhash
 from quillspark.llm.queries import op7_sentence_spans, op8_simhash
 from quillspark.llm.sentences import drop_repeated_sentences, span_hashes, split_sentences
 from quillspark.llm.simhash import fingerprint, fuzzy_links, near_duplicates, one_of_each, prefix_pairs, shingle_hashes
@@ -249,3 +250,17 @@ def planned(frame):
 def test_links_are_joined_without_a_broadcast(spark):
     points = spark.range(2000).selectExpr("id", "xxhash64(id) AS fp")
     assert "Broadcast" not in planned(fuzzy_links(points))
+
+
+def test_near_copies_are_joined_without_a_broadcast(spark, sf, monkeypatch):
+    plans = []
+
+    def kept(frame):
+        plans.append(planned(frame))
+        return frame
+
+    monkeypatch.setattr(simhash, "settle", kept)
+    monkeypatch.setattr(simhash, "components", lambda edges: edges.selectExpr("b AS node", "a AS component"))
+    held = spark.read.parquet(f"{sf}/documents.parquet")
+    plans += [planned(near_duplicates(held)), planned(one_of_each(held))]
+    assert len(plans) > 8 and not any("Broadcast" in p for p in plans)
