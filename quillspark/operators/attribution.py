@@ -72,7 +72,10 @@ ITEM_CODES = {"quantity": "QUANTITY_ERROR", "unit_price": "UNIT_PRICE_ERROR", "t
 
 def as_amount(value: Column) -> Column:
     """A number of two decimals from text with units and commas; null if it holds none."""
-    return F.round(F.regexp_replace(value, "[^0-9.+-]", "").try_cast("double"), 2)
+    left = F.regexp_replace(value, "[^0-9.+-]", "")
+    # A cast that fails costs an exception, so only what is a number comes to it.
+    whole = F.try_element_at(F.regexp_extract_all(left, F.lit(r"^[+-]?(?:\d+\.?\d*|\.\d+)$"), 0), F.lit(1))
+    return F.round(whole.try_cast("double"), 2)
 
 
 def numbers_in(text: Column) -> Column:
@@ -80,6 +83,18 @@ def numbers_in(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\d[\d,.]*"), 0), as_amount)
 
 
+def read_texts(samples: DataFrame) -> DataFrame:
+    """Rows with text, and what causes are judged by: the `numbers` that it spells, and its bare `words`.
+
+    Both are dear and the same for all fields and items of a sample, so add them to samples before those are dealt out.
+    """
+    return samples.withColumns({"numbers": numbers_in(F.col("text")), "words": compact(F.col("text"))})
+
+
+def _read(rows: DataFrame) -> DataFrame:
+    return rows if {"numbers", "words"} <= set(rows.columns) else read_texts(rows)
+
+
 def same_amount(a: Column, b: Column) -> Column:
     return F.coalesce(F.abs(a - b) < 0.01, F.lit(False))
 
@@ -131,19 +146,21 @@ def field_causes(rows: DataFrame) -> DataFrame:
 
     Values are texts; text is what was read.  A field that is right can still be tagged as written in
     another way; one without an expected value is wrong for no cause that can be told.
+    Columns that `read_texts` has added are used as they are.
     """
-    number, words = F.col("field").isin(*NUMBERS), compact(F.col("text"))
-    step = rows.withColumns({"_e": as_amount(F.col("expected")), "_a": as_amount(F.col("actual")), "_m": as_amount(F.col("model")), "_all": numbers_in(F.col("text")), "_ce": compact(F.col("expected")), "_ca": compact(F.col("actual")), "_words": words})
-    category = (F.col("field") == "expense_category") & F.coalesce(canonical_category(F.col("expected")) == canonical_category(F.col("actual")), F.lit(False))
+    number = F.col("field").isin(*NUMBERS)
+    of_category = F.when(F.col("field") == "expense_category", canonical_category(F.col("expected")))
+    step = _read(rows).withColumns({"_e": F.when(number, as_amount(F.col("expected"))), "_a": F.when(number, as_amount(F.col("actual"))), "_m": F.when(number, as_amount(F.col("model"))), "_ce": compact(F.col("expected")), "_ca": compact(F.col("actual")), "_category": of_category})
+    category = (F.col("field") == "expense_category") & F.coalesce(F.col("_category") == canonical_category(F.col("actual")), F.lit(False))
     step = step.withColumn("_alike", ~number & (((F.col("_ce") != "") & (F.col("_ce") == F.col("_ca"))) | category))
     loose = ~F.col("field").isin("merchant", "transaction_date") & ~number
     equal = F.when(number, same_amount(F.col("_e"), F.col("_a"))).when(F.col("field") == "transaction_date", same_date(F.col("expected"), F.col("actual"))).otherwise(F.col("_alike") | (loose & similar(F.when(loose, F.col("expected")), F.when(loose, F.col("actual")))))
-    held = F.when(number, _among(F.col("_all"), F.col("_e"))).otherwise(F.coalesce((F.col("_ce") != "") & F.contains(F.col("_words"), F.col("_ce")), F.lit(False)))
+    held = F.when(number, _among(F.col("numbers"), F.col("_e"))).otherwise(F.coalesce((F.col("_ce") != "") & F.contains(F.col("words"), F.col("_ce")), F.lit(False)))
     step = step.withColumns({"equal": F.coalesce(equal, F.lit(False)), "_held": held, "_empty": F.coalesce(F.col("expected"), F.lit("")) == ""})
     lost = (F.col("field") == "total_quantity") & separator_lost(F.col("_e"), F.col("_a")) & F.col("_held")
     worded = F.lit(False)
     for name, pattern in CATEGORY_WORDS.items():
-        worded |= (canonical_category(F.col("expected")) == name) & F.col("text").rlike(f"(?i){pattern}")
+        worded |= (F.col("_category") == name) & F.col("text").rlike(f"(?i){pattern}")
     labelled = F.coalesce(*[F.when(F.col("field") == f, F.col("text").rlike(pattern)) for f, pattern in LABELS.items()], F.lit(False))
     reordered = F.coalesce(F.col("expected") != F.col("actual"), F.lit(False)) & F.col("_alike")
     calculated = F.col("field").isin("supply_amount", "tax_amount") & F.coalesce(F.col("source") == "CALCULATED_TAXABLE", F.lit(False))
@@ -169,20 +186,20 @@ def item_causes(rows: DataFrame) -> DataFrame:
 
     truth, model and final are structs (name, quantity, unit_price, total_amount) of one item as it is, as the model
     told it and as it came out; null where a side lacks it.  A row of a model's or a final
-    item alone is one that nothing matches.
+    item alone is one that nothing matches.  Columns that `read_texts` has added are used as they are.
     """
     fields = ("quantity", "unit_price", "total_amount")
-    step = rows.withColumns({"_all": numbers_in(F.col("text")), "_words": compact(F.col("text")), "_seen": F.coalesce("model", "final")})
+    step = _read(rows).withColumn("_seen", F.coalesce("model", "final"))
 
     def read(name: Column) -> Column:
         bare = compact(name)
-        return F.coalesce((bare != "") & F.contains(F.col("_words"), bare), F.lit(False))
+        return F.coalesce((bare != "") & F.contains(F.col("words"), bare), F.lit(False))
 
     step = step.withColumns({"_named": read(F.col("truth.name")), "_told": F.coalesce(F.col("_seen"), F.col("truth")).isNotNull() & F.col("truth").isNotNull()})
     here, seen = F.col("truth").isNotNull(), F.col("_seen").isNotNull()
     alone = ~here & F.col("model").isNotNull()
     name = F.coalesce(F.col("model.name"), F.lit(""))
-    extra = F.when(name.rlike(DISCOUNT_ITEM), "DISCOUNT_AS_ITEM").when(name.rlike(TOTAL_ITEM), "TOTAL_ROW_AS_ITEM").when(~read(F.col("model.name")) & ~_among(F.col("_all"), F.col("model.total_amount")), "LLM_HALLUCINATION").otherwise("EXTRA_ITEM")
+    extra = F.when(name.rlike(DISCOUNT_ITEM), "DISCOUNT_AS_ITEM").when(name.rlike(TOTAL_ITEM), "TOTAL_ROW_AS_ITEM").when(~read(F.col("model.name")) & ~_among(F.col("numbers"), F.col("model.total_amount")), "LLM_HALLUCINATION").otherwise("EXTRA_ITEM")
     causes = [
         (here & F.col("model").isNull(), F.when(F.col("_named"), "ITEM_MISSING").otherwise("ITEM_TEXT_MISSING"), None),
         (here & seen & confused(F.col("truth.name"), F.col("_seen.name")) & read(F.col("_seen.name")), F.lit("OCR_CHARACTER_CONFUSION"), "name"),
@@ -193,8 +210,8 @@ def item_causes(rows: DataFrame) -> DataFrame:
     ]
     for f in fields:
         expected, got = F.col(f"truth.{f}"), F.col(f"_seen.{f}")
-        lost = F.lit(f == "quantity") & separator_lost(expected, got) & _among(F.col("_all"), expected)
-        causes.append((here & expected.isNotNull() & F.col("_named") & ~_among(F.col("_all"), expected), F.lit("OCR_NUMBER_ERROR"), f))
+        lost = F.lit(f == "quantity") & separator_lost(expected, got) & _among(F.col("numbers"), expected)
+        causes.append((here & expected.isNotNull() & F.col("_named") & ~_among(F.col("numbers"), expected), F.lit("OCR_NUMBER_ERROR"), f))
         causes.append((here & seen & expected.isNotNull() & ~same_amount(expected, got) & ~lost, F.lit(ITEM_CODES[f]), f))
         causes.append((here & seen & lost, F.lit("DECIMAL_SEPARATOR_LOST"), f))
     each = [F.when(condition, F.struct(code.alias("code"), F.lit(field).cast("string").alias("field"))) for condition, code, field in causes]
@@ -232,7 +249,8 @@ def attribute(fields: DataFrame, items: DataFrame, finals: DataFrame) -> tuple[D
     of_items = told.select("sample", scope.alias("scope"), "failed", F.explode_outer("causes").alias("c")).select("sample", F.col("c.code").alias("code"), "scope", F.col("c.field").alias("field"), F.col("failed").alias("wrong"), F.col("c.code").eqNullSafe("OCR_CHARACTER_CONFUSION").alias("_confusion"))
     of_items = of_items.select("sample", "code", "scope", "field", (F.col("wrong") | F.col("_confusion")).alias("wrong"), F.col("code").isin("DECIMAL_SEPARATOR_LOST", "SEMANTIC_EQUIVALENCE").alias("early"))
     of_sums = sums.select("sample", F.explode("causes").alias("code"), F.lit("sample").alias("scope"), F.lit(None).cast("string").alias("field"), F.lit(False).alias("wrong"), F.lit(False).alias("early"))
-    every = checkpointed(of_fields.select("sample", "code", "scope", "field", "wrong", "early").union(of_items).union(of_sums))
+    # Dealt by sample once: all that follows groups and joins by it.
+    every = checkpointed(of_fields.select("sample", "code", "scope", "field", "wrong", "early").union(of_items).union(of_sums).repartition("sample"))
     samples = every.groupBy("sample").agg(F.max("wrong").alias("failed"))
     kept = every.where("code IS NOT NULL").join(samples, "sample").where("failed OR early").select("sample", "failed", tagged(F.col("code"), F.col("scope"), F.col("field")).alias("t")).distinct()
     bare = samples.where("failed").join(kept.select("sample").distinct(), "sample", "left_anti").select("sample", "failed", tagged(F.lit("UNKNOWN"), F.lit("sample"), F.lit(None).cast("string")).alias("t"))

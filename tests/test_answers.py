@@ -154,3 +154,21 @@ def test_json_leaves_of_any_depth(spark):
         return [(path, value if value is None else value if isinstance(value, str) else json.dumps(value))]
 
     assert sorted(found, key=str) == sorted(((i, *x) for i, b in enumerate(bodies) if b not in (None, "{") for x in leaves(json.loads(b), "$")), key=str)
+
+
+def test_amounts_of_odd_texts(spark):
+    told = ["12", "1,234.567원", "-3.", ".5", "+7", "2001.01.02", "1-2", "", "Shop", ".", "-", None, "00012.10"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(told)], "i int, t string").select("i", A.as_amount(F.col("t")).alias("a"))
+    assert [r["a"] for r in rows.orderBy("i").collect()] == [12.0, 1234.57, -3.0, 0.5, 7.0, None, None, None, None, None, None, None, 12.1]
+
+
+def test_texts_are_read_once_a_sample(spark, sf):
+    from quillspark.plans.attribution import readings
+
+    fields, items, _ = readings(spark, sf)
+    for rows, judged in ((fields, A.field_causes(fields)), (items, A.item_causes(items))):
+        assert {"numbers", "words"} <= set(rows.columns)
+        plan = judged._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("AS numbers") == 1
+    plain = A.field_causes(fields.drop("numbers", "words")).select("sample", "field", "equal", "code")
+    assert plain.exceptAll(A.field_causes(fields).select("sample", "field", "equal", "code")).isEmpty()
