@@ -42,15 +42,15 @@ def readings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Da
     of_order = told.groupBy("sample").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item", "said"))), lambda s: s["said"]), "\n").alias("said"), F.min("amount").alias("low"), F.collect_list(F.col("amount").cast("double")).alias("amounts"))
     orders = ORDERS.rows(spark, sf_dir).join(of_order, "sample", "left").selectExpr("*", f"{HEAD} || coalesce(said, '') AS text")
     rows = F.array(*[F.struct(F.lit(f).alias("field"), F.expr(e).cast("string").alias("expected"), F.expr(a).cast("string").alias("actual"), F.expr(m).cast("string").alias("model")) for f, (e, a, m) in FIELDS.items()])
-    fields = orders.select("sample", "text", F.coalesce("amounts", F.array().cast("array<double>")).alias("item_amounts"), F.when(F.col("fault") == 10, "CALCULATED_TAXABLE").alias("source"), F.inline(rows))
+    fields = A.read_texts(orders).select("sample", "text", "numbers", "words", F.coalesce("amounts", F.array().cast("array<double>")).alias("item_amounts"), F.when(F.col("fault") == 10, "CALCULATED_TAXABLE").alias("source"), F.inline(rows))
 
-    texts = orders.select("sample", "text")
+    texts = A.read_texts(orders.select("sample", "text"))
     kind = "struct<name: string, quantity: double, unit_price: double, total_amount: double>"
     sides = [F.expr(e.format(s="named_struct")).cast(kind).alias(n) for n, e in (("truth", TRUTH), ("model", MODEL), ("final", FINAL))]
     both = lines.select("sample", "item", *sides)
     name = F.expr(f"CASE fault {' '.join(f'WHEN {k} THEN {n}' for k, n in EXTRAS.items())} END")
     extra = lines.where(F.col("fault").isin(*EXTRAS)).select("sample", (-1 - F.col("item")).alias("item"), F.lit(None).cast(kind).alias("truth"), F.struct(name.alias("name"), F.lit(1.0).alias("quantity"), F.lit(1.0).alias("unit_price"), F.lit(999999999.0).alias("total_amount")).cast(kind).alias("model"), F.lit(None).cast(kind).alias("final"))
-    items = both.union(extra).join(texts, "sample")
+    items = both.union(extra).join(texts.hint("merge"), "sample")
 
     finals = both.where("final IS NOT NULL").groupBy("sample").agg(F.collect_list("final.total_amount").alias("item_amounts"), F.collect_list("final.name").alias("names"))
     amount = lambda f: A.as_amount(F.expr(FIELDS[f][1]).cast("string"))
