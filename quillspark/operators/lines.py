@@ -7,10 +7,10 @@ them; the fold keeps only the last few lines, so a page may be of any size.
 
 from __future__ import annotations
 
+from bisect import insort
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
-from statistics import median
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -44,56 +44,64 @@ PRIVATE = LineRule(look_back=4, share=0.7, least=5.0, middle="first")
 RECEIPT = LineRule(look_back=3, share=0.75, middle="median", overlap=0.25, by_top=False, least_height=0.0)
 
 
-class Line:
-    """A line so far."""
-
-    def __init__(self, number: int, y: float, height: float, x0: float, x1: float):
-        self.number, self.y, self.height, self.n = number, y, height, 1
-        self.ys, self.heights, self.spans = [y], [height], [(x0, x1)]
-
-    def add(self, rule: LineRule, y: float, height: float, x0: float, x1: float) -> None:
-        self.n += 1
-        if rule.middle == "mean":
-            self.y = (self.y * (self.n - 1) + y) / self.n
-            self.height = max(self.height, height)
-        elif rule.middle == "median":
-            self.ys.append(y)
-            self.heights.append(height)
-            self.y, self.height = median(self.ys), median(self.heights)
-        if rule.overlap is not None:
-            self.spans.append((x0, x1))
-
-    def fits(self, rule: LineRule, y: float, height: float, x0: float, x1: float, within: float | None = None) -> bool:
-        if abs(self.y - y) > (max(rule.least, min(self.height, height) * rule.share) if within is None else within):
-            return False
-        return rule.overlap is None or not any(min(x1, b) - max(x0, a) > min(x1 - x0, b - a) * rule.overlap for a, b in self.spans)
-
-
 class Page:
-    """Numbers the lines of a page whose cells come in order."""
+    """Numbers the lines of a page whose cells come in order.
+
+    A line is a list: number, place, height, cells, and, if the rule needs them, all places and heights in order and the spans.
+    Every cell of every page passes here, so what a rule doesn't ask for isn't kept.
+    """
 
     def __init__(self, rule: LineRule):
-        self.rule, self.lines, self.next = rule, deque(maxlen=rule.look_back), 0
+        self.rule, self.next = rule, 0
+        self.lines: deque[list] = deque(maxlen=rule.look_back)
 
-    def line(self, y: float | None, height: float, x0: float, x1: float, within: float | None = None) -> int:
+    def line(self, y: float | None, height: float, x0: float | None = None, x1: float | None = None, within: float | None = None) -> int:
+        number = self.next
         if y is None:
             self.next += 1
-            return self.next - 1
-        held = next((line for line in reversed(self.lines) if line.fits(self.rule, y, height, x0, x1, within)), None)
-        if held:
-            held.add(self.rule, y, height, x0, x1)
-            return held.number
-        self.lines.append(Line(self.next, y, height, x0, x1))
+            return number
+        rule = self.rule
+        share, least, overlap = rule.share, rule.least, rule.overlap
+        for line in reversed(self.lines):
+            if within is None:
+                low = line[2]
+                near = (height if height < low else low) * share
+                near = near if near > least else least
+            else:
+                near = within
+            if abs(line[1] - y) > near or (overlap is not None and any(min(x1, b) - max(x0, a) > min(x1 - x0, b - a) * overlap for a, b in line[6])):
+                continue
+            n = line[3] = line[3] + 1
+            if rule.middle == "mean":
+                line[1] = (line[1] * (n - 1) + y) / n
+                if height > line[2]:
+                    line[2] = height
+            elif rule.middle == "median":
+                insort(line[4], y)
+                insort(line[5], height)
+                i = n // 2
+                line[1], line[2] = ((h[i] if n % 2 else (h[i - 1] + h[i]) / 2) for h in line[4:6])
+            if overlap is not None:
+                line[6].append((x0, x1))
+            return line[0]
+        self.lines.append([number, y, height, 1, [y], [height], [(x0, x1)]])
         self.next += 1
-        return self.next - 1
+        return number
+
+
+def _values(column: pa.Array) -> list:
+    """A column's values; numbers without nulls come by NumPy, which is faster."""
+    plain = (pa.types.is_integer(column.type) or pa.types.is_floating(column.type)) and not column.null_count
+    return column.to_numpy(zero_copy_only=False).tolist() if plain else column.to_pylist()
 
 
-def visual_lines(cells: DataFrame, page: str, cell: str, rule: LineRule = TEXT, slope: Column | None = None, origin: Column | None = None) -> DataFrame:
+def visual_lines(cells: DataFrame, page: str, cell: str, rule: LineRule = TEXT, slope: Column | None = None, origin: Column | None = None, keep: tuple[str, ...] | None = None) -> DataFrame:
     """Cells with `line`, from 0 down each page.
 
     Cells have a box x0, y0, x1, y1; those without one (a null side) come last, each on a line of its
     own.  Cells at one place are taken in the order of `cell`, and their rows stay as they are,
     repeated ones too; a null page is a page.  With `slope` and `origin` a page's tilt is taken off first.
+    Only the columns `keep` come back, if it is given: others needn't go through the shuffle and Python.
     """
     middle = (F.col("y0") + F.col("y1")) / 2
     if slope is not None:
@@ -101,16 +109,19 @@ def visual_lines(cells: DataFrame, page: str, cell: str, rule: LineRule = TEXT,
     placed = F.col("x0").isNotNull() & F.col("y0").isNotNull() & F.col("x1").isNotNull() & F.col("y1").isNotNull()
     height = F.greatest(F.lit(rule.least_height), F.col("y1") - F.col("y0"))
     held = cells.withColumns({"_y": F.when(placed, middle.cast("double")), "_h": height.cast("double"), "_top": F.when(placed, F.col("y0") if rule.by_top else middle)})
+    names = list(keep or cells.columns)
+    spans = ["x0", "x1"] if rule.overlap is not None or rule.within else []
+    used = [page, "_y", "_h", *spans, *([rule.within] if rule.within else [])]
+    held = held.select(*dict.fromkeys([*names, *used, "_top", "x0", cell]))
     sorted_cells = held.repartition(F.col(page)).sortWithinPartitions(F.col(page).asc_nulls_first(), F.col("_top").asc_nulls_last(), F.col("x0").asc_nulls_last(), cell)
-    places = [sorted_cells.columns.index(c) for c in (page, "_y", "_h", "x0", "x1", *([rule.within] if rule.within else []))]
-    kept = [i for i, c in enumerate(sorted_cells.columns) if c not in ("_y", "_h", "_top")]
-    names = [sorted_cells.columns[i] for i in kept]
+    sorted_cells = sorted_cells.select(*dict.fromkeys([*names, *used]))
+    places, kept = ([sorted_cells.columns.index(c) for c in held] for held in (used, names))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, state = object(), Page(rule)
         for batch in batches:
             lines = []
-            for key, *place in zip(*[batch.column(i).to_pylist() for i in places], strict=True):
+            for key, *place in zip(*[_values(batch.column(i)) for i in places], strict=True):
                 if key != current:
                     current, state = key, Page(rule)
                 lines.append(state.line(*place))

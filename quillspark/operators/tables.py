@@ -27,7 +27,7 @@ def borderless_tables(cells: DataFrame) -> DataFrame:
     boxed = cells.where("x1 IS NOT NULL AND y1 IS NOT NULL AND x0 IS NOT NULL AND y0 IS NOT NULL").select("page", "cell", F.trim(F.coalesce("text", F.lit(""))).alias("text"), "x0", "y0", "x1", "y1")
     boxed = boxed.withColumns({"h": F.greatest(F.lit(1.0), F.col("y1") - F.col("y0")), "x": (F.col("x0") + F.col("x1")) / 2})
     usual = boxed.groupBy("page").agg(F.greatest(F.lit(6.0), F.floor(F.median("h") * 0.65).cast("double")).alias("near"))
-    lined = checkpointed(visual_lines(boxed.join(usual, "page"), "page", "cell", replace(ROWS, within="near")))
+    lined = checkpointed(visual_lines(boxed.join(usual, "page"), "page", "cell", replace(ROWS, within="near"), keep=("page", "cell", "text", "x0", "h", "x")))
     lines = lined.groupBy("page", "line").agg(F.count("*").alias("_n")).where("_n >= 2").drop("_n")
     rows = lined.join(lines, ["page", "line"])
     pages = rows.groupBy("page").agg(F.count_distinct("line").alias("_lines"), F.greatest(F.lit(12.0), F.floor(F.median("h") * 1.8).cast("double")).alias("wide")).where(F.col("_lines") >= LEAST_ROWS)

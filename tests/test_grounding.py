@@ -359,3 +359,20 @@ def test_no_tables(spark):
     from quillspark.operators.tables import borderless_tables
 
     assert borderless_tables(cells).collect() == [] and borderless_tables(cells.limit(0)).collect() == []
+
+
+def test_lines_hand_on_only_what_is_asked_for(spark, sf):
+    from quillspark.operators.lines import TEXT, visual_lines
+    from quillspark.plans.grounding import _cells
+
+    cells = _cells(spark, sf)
+    few = visual_lines(cells, "page", "cell", TEXT, keep=("page", "cell"))
+    assert few.columns == ["page", "cell", "line"]
+    assert few.exceptAll(visual_lines(cells, "page", "cell").select("page", "cell", "line")).isEmpty()
+
+
+def test_steps_of_grounding_are_written_in_columns(spark, sf):
+    from quillspark.operators.grounding import ground_items
+    from quillspark.plans.grounding import read_receipts
+
+    assert "ExistingRDD" not in ground_items(*read_receipts(spark, sf))._jdf.queryExecution().sparkPlan().toString()
