@@ -108,17 +108,18 @@ def relabel(rows: DataFrame, names: DataFrame, column: str) -> tuple[DataFrame,
 def split_groups(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """(node, group) of undirected edges (a, b): smallest node within reach, so that alike rows never cross a split.
 
-    Labels spread by joins until none changes; each round is checkpointed.  Raises if they still change after `rounds`.
+    Labels spread by joins until none changes; each round is checkpointed.  The joins merge: both sides grow
+    with the edges, so none is sent to the driver for a broadcast.  Raises if they still change after `rounds`.
     """
     both = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct()
     labels = checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("group")))
     for _ in range(rounds):
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("group").alias("near"))
-        joined = labels.join(near, labels["node"] == near["a"])
+        near = both.join(labels.hint("merge"), both["b"] == labels["node"]).groupBy("a").agg(F.min("group").alias("near"))
+        joined = labels.join(near.hint("merge"), labels["node"] == near["a"])
         # a label leads on to its own label, so paths halve each round
         stepped = joined.select("node", F.least("group", "near").alias("group"), (F.col("near") < F.col("group")).alias("changed"))
         hop = stepped.select(F.col("node").alias("_n"), F.col("group").alias("_g"))
-        stepped = checkpointed(stepped.join(hop, stepped["group"] == hop["_n"], "left").select("node", F.least("group", F.coalesce("_g", "group")).alias("group"), "changed"))
+        stepped = checkpointed(stepped.join(hop.hint("merge"), stepped["group"] == hop["_n"], "left").select("node", F.least("group", F.coalesce("_g", "group")).alias("group"), "changed"))
         labels = stepped.select("node", "group")
         if stepped.where("changed").isEmpty():
             return labels

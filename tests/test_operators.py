@@ -111,3 +111,26 @@ def test_stream_equals_batch(spark, sf, tmp_path):
         assert run.awaitTermination(120) and run.exception() is None
     want = events.groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.count("*").alias("n"))
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_groups_are_joined_without_a_broadcast(spark, monkeypatch):
+    from quillspark.operators import filters
+
+    plans, held = [], filters.checkpointed
+
+    def kept(frame):
+        plans.append(frame._jdf.queryExecution().executedPlan().toString())
+        return held(frame)
+
+    monkeypatch.setattr(filters, "checkpointed", kept)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(9)], "a long, b long")
+    assert {r["group"] for r in filters.split_groups(edges).collect()} == {0}
+    assert len(plans) > 1 and not any("Broadcast" in p for p in plans)
+
+
+def test_vectors_of_odd_rows(spark):
+    rows = [(i, [float(i), 1.0]) for i in range(5)] + [(7, None)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    asked = vectors.where("vec_id IN (0, 3, 7)").withColumnRenamed("vec_id", "query_id")
+    found = V.vector_topk(asked, vectors, k=2, threshold=2.0).collect()
+    assert {(r["query_id"], r["vec_id"], r["similarity"], r["rank"]) for r in found} == {(3, 4, 13.0, 1), (3, 3, 10.0, 2)}
