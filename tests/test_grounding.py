@@ -376,3 +376,13 @@ def test_steps_of_grounding_are_written_in_columns(spark, sf):
     from quillspark.plans.grounding import read_receipts
 
     assert "ExistingRDD" not in ground_items(*read_receipts(spark, sf))._jdf.queryExecution().sparkPlan().toString()
+
+
+def shuffles(frame):
+    return frame._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_pages_are_dealt_out_once_before_and_once_after_their_lines(spark, sf):
+    found = plans.tables_found(spark, sf)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert shuffles(found) == 2 and "Join" not in plan and "ExistingRDD" not in plan
