@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
+import re
 from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -134,3 +137,30 @@ def test_vectors_of_odd_rows(spark):
     asked = vectors.where("vec_id IN (0, 3, 7)").withColumnRenamed("vec_id", "query_id")
     found = V.vector_topk(asked, vectors, k=2, threshold=2.0).collect()
     assert {(r["query_id"], r["vec_id"], r["similarity"], r["rank"]) for r in found} == {(3, 4, 13.0, 1), (3, 3, 10.0, 2)}
+
+
+def test_best_pairs_keep_ties_by_id():
+    rng = np.random.default_rng(3)
+    for k, width in ((1, 5), (3, 3), (4, 40)):
+        similar, ids = rng.integers(-3, 4, (9, width)).astype(float), rng.permutation(width)
+        want = [(i, int(ids[j])) for i, row in enumerate(similar) for j in np.lexsort((ids, -row))[:k] if row[j] >= 0]
+        rows, columns = V.best_pairs(similar, ids, k, 0.0)
+        assert list(zip(rows.tolist(), ids[columns].tolist(), strict=True)) == want
+
+
+def test_search_tokens_take_one_particle_off_each_run(spark):
+    particles = T.SEARCH_PARTICLES.split("|")
+    rng = random.Random(5)
+    said = ["".join(rng.choice([*particles, "a", "Z9", "회사", " ", "-", "é", "\n"]) for _ in range(12)) for _ in range(400)]
+    want = [[t for t in (re.sub(f"({T.SEARCH_PARTICLES})$", "", r) for r in re.findall("[가-힣A-Za-z0-9]+", s.lower())) if len(t) >= 2] for s in said]
+    rows = spark.createDataFrame(list(enumerate(said)), "i int, s string").select("i", T.search_tokens(F.col("s")).alias("t")).collect()
+    assert [r["t"] for r in sorted(rows)] == want
+
+
+def test_documents_are_scored_where_they_lie(spark, sf):
+    from quillspark.plans.queries import bm25_topk
+
+    plan = bm25_topk(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    # Only the terms' counts are dealt out, by document; no score is shuffled before it is ranked.
+    assert "SortMergeJoin" not in plan and "ExistingRDD" not in plan
+    assert "hashpartitioning(doc_id" in plan and "hashpartitioning(query_id#" in plan and ", doc_id#" not in "".join(x for x in plan.splitlines() if "Exchange" in x)
