@@ -89,7 +89,9 @@ def answered_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.expr(SAID).alias("text"))
     found = R.bm25(asked.select("query_id", F.col("query").alias("text")), docs)
     top = found.groupBy("query_id").agg(F.max("score").alias("_top"))
-    scored = found.join(top, "query_id").select("query_id", "doc_id", (F.col("score") / F.col("_top") * 0.5).alias("similarity")).join(docs.withColumnRenamed("text", "content"), "doc_id")
+    likely = found.join(top, "query_id").select("query_id", "doc_id", (F.col("score") / F.col("_top") * 0.5).alias("similarity"))
+    # A dozen rows a question go to the texts, not the texts of all documents to them.
+    scored = docs.withColumnRenamed("text", "content").join(F.broadcast(likely), "doc_id")
     passages = V.boosted(asked, scored.select("query_id", "doc_id", "content", "similarity")).where(F.col("rank") <= V.KEPT)
     told, passages = V.facets(asked), checkpointed(passages)
     return V.gate(told, passages, V.unit_scores(told, passages))
