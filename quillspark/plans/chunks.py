@@ -76,8 +76,9 @@ UNION ALL SELECT cells.t, r, '[표 행] ' || string_agg(CASE WHEN h IS NOT NULL
 )
 def table_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders' tables as lines of text: size and heads, then each row with its columns' heads."""
-    lines = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS t", "l_linenumber + 1 AS r", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag")
+    # Both are dealt out by table before cells are made of them; Spark then leaves out the shuffle of the cells.
+    lines = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS t", "l_linenumber + 1 AS r", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag").repartition("t")
     rows = lines.groupBy("t", "r").agg(*[F.max(c).alias(c) for c in ("l_partkey", "l_suppkey", "l_quantity", "l_returnflag")])
     cells = rows.select("t", "r", F.inline(F.array(*[F.struct(F.lit(k).alias("c"), F.expr(e).alias("v")) for k, e in COLUMNS.items()])))
-    heads = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("t"), F.lit(1).alias("r"), F.inline(F.array(*[F.struct(F.lit(k).alias("c"), F.expr(e).alias("v")) for k, e in HEADS.items()])))
+    heads = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("t"), "o_orderstatus").withColumn("o_orderkey", F.col("t")).repartition("t").select("t", F.lit(1).alias("r"), F.inline(F.array(*[F.struct(F.lit(k).alias("c"), F.expr(e).alias("v")) for k, e in HEADS.items()])))
     return C.table_lines(cells.union(heads), "t", "r", "c", "v")

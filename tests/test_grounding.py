@@ -386,3 +386,10 @@ def test_pages_are_dealt_out_once_before_and_once_after_their_lines(spark, sf):
     found = plans.tables_found(spark, sf)
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert shuffles(found) == 2 and "Join" not in plan and "ExistingRDD" not in plan
+
+
+def test_tables_are_dealt_out_before_their_cells(spark, sf):
+    from quillspark.plans.chunks import table_texts
+
+    plan = table_texts(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and "Join" not in plan
