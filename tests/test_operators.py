@@ -8,6 +8,7 @@ import re
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -164,3 +165,14 @@ def test_documents_are_scored_where_they_lie(spark, sf):
     # Only the terms' counts are dealt out, by document; no score is shuffled before it is ranked.
     assert "SortMergeJoin" not in plan and "ExistingRDD" not in plan
     assert "hashpartitioning(doc_id" in plan and "hashpartitioning(query_id#" in plan and ", doc_id#" not in "".join(x for x in plan.splitlines() if "Exchange" in x)
+
+
+def test_similarities_of_pairs_that_come_again_are_kept(monkeypatch):
+    from quillspark.operators import receipts as P
+
+    made = []
+    real = P.difflib.SequenceMatcher
+    monkeypatch.setattr(P.difflib, "SequenceMatcher", lambda *a: made.append(a) or real(*a))
+    a, b = pd.Series(["kept pair", "kept pair", "pair kept", None]), pd.Series(["pair kept", "pair kept", "kept pair", "x"])
+    found = P.ratio.func(a, b)
+    assert len(made) == 2 and found[0] == found[1] == real(None, a[0], b[0]).ratio() and found[2] == real(None, a[2], b[2]).ratio() and pd.isna(found[3])
