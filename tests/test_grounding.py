@@ -393,3 +393,8 @@ def test_tables_are_dealt_out_before_their_cells(spark, sf):
 
     plan = table_texts(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 2 and "Join" not in plan
+
+
+def test_cells_are_made_after_their_page_is_dealt_out(spark, sf):
+    plan = plans.first_cell_lines(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(l_orderkey" in plan and "hashpartitioning(page" not in plan.split("MapInArrow")[1]
