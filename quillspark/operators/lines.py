@@ -2,7 +2,8 @@
 
 Whether a cell belongs to a line depends on the cells that the line has got so far, so a
 page is a fold over its cells in order.  Spark brings a page's cells together and sorts
-them; the fold keeps only the last few lines, so a page may be of any size.
+them; the fold keeps only the last few lines, so a page may be of any size.  Pages don't
+depend on each other, so a task takes their first cells together, then their second ones, and so on.
 """
 
 from __future__ import annotations
@@ -12,7 +13,9 @@ from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +47,10 @@ PRIVATE = LineRule(look_back=4, share=0.7, least=5.0, middle="first")
 RECEIPT = LineRule(look_back=3, share=0.75, middle="median", overlap=0.25, by_top=False, least_height=0.0)
 
 
+#: Cells and bytes that a task takes at a time, and pages below which it goes cell by cell.
+AT_ONCE, AT_ONCE_BYTES, FEW = 1 << 17, 1 << 26, 16
+
+
 class Page:
     """Numbers the lines of a page whose cells come in order.
 
@@ -95,42 +102,181 @@ def _values(column: pa.Array) -> list:
     return column.to_numpy(zero_copy_only=False).tolist() if plain else column.to_pylist()
 
 
-def visual_lines(cells: DataFrame, page: str, cell: str, rule: LineRule = TEXT, slope: Column | None = None, origin: Column | None = None, keep: tuple[str, ...] | None = None) -> DataFrame:
-    """Cells with `line`, from 0 down each page.
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches joined until they hold `AT_ONCE` rows or `AT_ONCE_BYTES` bytes; empty ones go."""
+    held: list[pa.RecordBatch] = []
+    rows = size = 0
+    for batch in batches:
+        held.append(batch)
+        rows, size = rows + batch.num_rows, size + batch.nbytes
+        if rows >= AT_ONCE or size >= AT_ONCE_BYTES:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, rows, size = [], 0, 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
-    Cells have a box x0, y0, x1, y1; those without one (a null side) come last, each on a line of its
-    own.  Cells at one place are taken in the order of `cell`, and their rows stay as they are,
-    repeated ones too; a null page is a page.  With `slope` and `origin` a page's tilt is taken off first.
-    Only the columns `keep` come back, if it is given: others needn't go through the shuffle and Python.
+
+def _changes(keys: pa.Array) -> np.ndarray:
+    """Whether each key but the first differs from the one before; nulls are equal."""
+    if pa.types.is_nested(keys.type):
+        held = keys.to_pylist()
+        return np.array([a != b for a, b in zip(held, held[1:], strict=False)], bool)
+    null = keys.is_null().to_numpy(zero_copy_only=False)
+    return pc.not_equal(keys.slice(1), keys.slice(0, len(keys) - 1)).fill_null(False).to_numpy(zero_copy_only=False) | (null[1:] != null[:-1])
+
+
+def _side_by_side(rule: LineRule, starts: np.ndarray, ends: np.ndarray, columns: list[pa.Array], before: Page | None) -> tuple[np.ndarray, Page]:
+    """(lines, state of the last page) of pages given by the places of their cells; `before` is the state that the first page goes on from.
+
+    The i-th cells of all pages are placed together, the longest pages first.  A line is in a column, the latest on top, and
+    each number comes by the same steps as in `Page`, which takes what is left of the longest pages, and rules by overlap, medians or given distances.
     """
+    order = np.argsort(starts - ends, kind="stable")
+    at, left, pages = starts[order], (ends - starts)[order], len(starts)
+    lines = np.empty(len(columns[0]), np.int32)
+    place, high, size, number = np.zeros((rule.look_back, pages)), np.zeros((rule.look_back, pages)), np.zeros((rule.look_back, pages)), np.zeros((rule.look_back, pages), np.int64)
+    made, following = np.zeros(pages, np.int64), np.zeros(pages, np.int64)
+    if before is not None:
+        p = int(np.flatnonzero(order == 0)[0])
+        made[p], following[p] = len(before.lines), before.next
+        for i, line in enumerate(reversed(before.lines)):
+            number[i, p], place[i, p], high[i, p], size[i, p] = line[:4]
+
+    def page(p: int) -> Page:
+        if order[p] == 0 and before is not None and step == 0:
+            return before
+        state = Page(rule)
+        state.next = int(following[p])
+        state.lines.extend([int(number[i, p]), float(place[i, p]), float(high[i, p]), int(size[i, p]), [], [], []] for i in reversed(range(min(int(made[p]), rule.look_back))))
+        return state
+
+    step, active, alone = 0, pages, rule.overlap is not None or rule.within or rule.middle == "median"
+    if not alone:
+        middle, height = (c.to_numpy(zero_copy_only=False) for c in columns[:2])
+        unplaced = columns[0].is_null().to_numpy(zero_copy_only=False) if columns[0].null_count else None
+        age = np.arange(rule.look_back)[:, None]
+    while not alone and (active := int(np.searchsorted(-left, -step))) >= FEW:
+        here = at[:active] + step
+        y, h, low = middle[here], height[here], high[:, :active]
+        near = np.where(h < low, h, low) * rule.share
+        near = np.where(near > rule.least, near, rule.least)
+        fits = ~(np.abs(place[:, :active] - y) > near) & (age < made[:active])
+        new = None
+        if unplaced is not None:
+            fits &= ~unplaced[here]
+            new = ~unplaced[here]
+        found = fits.any(axis=0)
+        p = np.flatnonzero(found)
+        i = fits.argmax(axis=0)[p]
+        told = following[:active].copy()
+        told[p] = number[i, p]
+        lines[here] = told
+        following[:active] += ~found
+        if rule.middle == "mean":
+            n = size[i, p] + 1
+            place[i, p] = (place[i, p] * (n - 1) + y[p]) / n
+            high[i, p] = np.where(h[p] > high[i, p], h[p], high[i, p])
+            size[i, p] = n
+        p = np.flatnonzero(~found if new is None else ~found & new)
+        for held, value in ((number, told), (place, y), (high, h), (size, np.ones(active))):
+            held[1:, p] = held[:-1, p]
+            held[0, p] = value[p]
+        made[p] += 1
+        step += 1
+    values = [_values(c) for c in columns] if alone else None
+    last, final = None, int(np.flatnonzero(order == pages - 1)[0])
+    for p in range(active):
+        a, z, state = int(at[p]) + step, int(at[p] + left[p]), page(p)
+        lines[a:z] = [state.line(*cell) for cell in zip(*([v[a:z] for v in values] if values else [_values(c.slice(a, z - a)) for c in columns]), strict=True)]
+        if p == final:
+            last = state
+    return lines, last or page(final)
+
+
+def _numbered(batches: Iterator[pa.RecordBatch], rule: LineRule, key: int, places: list[int]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, Page, bool]]:
+    """(batch, starts of its pages, lines of its cells, state of its last page, whether its first page goes on from the batch before)."""
+    before, last = None, None
+    for batch in _together(batches):
+        keys = batch.column(key)
+        starts = np.flatnonzero(np.concatenate([[True], _changes(keys)]))
+        first = keys[0].as_py()
+        goes_on = last is not None and not (first != before)
+        lines, last = _side_by_side(rule, starts, np.append(starts[1:], batch.num_rows), [batch.column(i) for i in places], last if goes_on else None)
+        before = keys[len(keys) - 1].as_py()
+        yield batch, starts, lines, last, goes_on
+
+
+def _in_order(cells: DataFrame, page: str, cell: str, rule: LineRule, slope: Column | None, origin: Column | None, names: list[str]) -> tuple[DataFrame, list[int]]:
+    """(the columns `names` of cells and what places them, page by page in order; the places of the latter columns, the page's first)."""
     middle = (F.col("y0") + F.col("y1")) / 2
     if slope is not None:
         middle = middle - slope * ((F.col("x0") + F.col("x1")) / 2 - origin)
     placed = F.col("x0").isNotNull() & F.col("y0").isNotNull() & F.col("x1").isNotNull() & F.col("y1").isNotNull()
     height = F.greatest(F.lit(rule.least_height), F.col("y1") - F.col("y0"))
     held = cells.withColumns({"_y": F.when(placed, middle.cast("double")), "_h": height.cast("double"), "_top": F.when(placed, F.col("y0") if rule.by_top else middle)})
-    names = list(keep or cells.columns)
     spans = ["x0", "x1"] if rule.overlap is not None or rule.within else []
     used = [page, "_y", "_h", *spans, *([rule.within] if rule.within else [])]
     held = held.select(*dict.fromkeys([*names, *used, "_top", "x0", cell]))
     sorted_cells = held.repartition(F.col(page)).sortWithinPartitions(F.col(page).asc_nulls_first(), F.col("_top").asc_nulls_last(), F.col("x0").asc_nulls_last(), cell)
     sorted_cells = sorted_cells.select(*dict.fromkeys([*names, *used]))
-    places, kept = ([sorted_cells.columns.index(c) for c in held] for held in (used, names))
+    return sorted_cells, [sorted_cells.columns.index(c) for c in used]
+
+
+def visual_lines(cells: DataFrame, page: str, cell: str, rule: LineRule = TEXT, slope: Column | None = None, origin: Column | None = None, keep: tuple[str, ...] | None = None) -> DataFrame:
+    """Cells with `line`, from 0 down each page.
+
+    Cells have a box x0, y0, x1, y1; those without one (a null side) come last, each on a line of its
+    own.  Cells at one place are taken in the order of `cell`, and their rows stay as they are,
+    repeated ones too; a null page is a page.  With `slope` and `origin` a page's tilt is taken off first.
+    Only the columns `keep` come back, if it is given: others needn't go through the shuffle and Python.
+    """
+    names = list(keep or cells.columns)
+    sorted_cells, (key, *places) = _in_order(cells, page, cell, rule, slope, origin, names)
+    kept = [sorted_cells.columns.index(c) for c in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, state = object(), Page(rule)
-        for batch in batches:
-            lines = []
-            for key, *place in zip(*[_values(batch.column(i)) for i in places], strict=True):
-                if key != current:
-                    current, state = key, Page(rule)
-                lines.append(state.line(*place))
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in kept], pa.array(lines, pa.int32())], names=[*names, "line"])
+        for batch, _, lines, *_ in _numbered(batches, rule, key, places):
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in kept], pa.array(lines)], names=[*names, "line"])
 
     kinds = ", ".join(f"`{c}` {sorted_cells.schema[c].dataType.simpleString()}" for c in names)
     return sorted_cells.mapInArrow(run, f"{kinds}, line int")
 
 
+def line_sizes(cells: DataFrame, page: str, cell: str, rule: LineRule = TEXT) -> DataFrame:
+    """(page, line, cells, first_cell): how many cells each line of `visual_lines` has, and the least, null if all are; `cell` is an integer.
+
+    A line is told when no other cell can join it, so lines needn't be dealt out and grouped again; a task keeps those of its last page that are open.
+    """
+    sorted_cells, (key, *places) = _in_order(cells, page, cell, rule, None, None, [page, cell])
+    kind, own = sorted_cells.schema[page].dataType.simpleString(), sorted_cells.columns.index(cell)
+    names, most = ["page", "line", "cells", "first_cell"], np.iinfo(np.int64).max
+
+    def told(keys: pa.Array, lines: np.ndarray, sizes: np.ndarray, least: np.ndarray, known: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([keys, pa.array(lines, pa.int32()), pa.array(sizes, pa.int64()), pa.array(least, pa.int64(), mask=~known)], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch, starts, lines, last, goes_on in _numbered(batches, rule, key, places):
+            ids = batch.column(own)
+            known = ~ids.is_null().to_numpy(zero_copy_only=False)
+            each = [batch.column(key), lines, np.ones(len(lines), np.int64), ids.cast(pa.int64()).fill_null(most).to_numpy(zero_copy_only=False), known]
+            number = np.repeat(np.arange(1, len(starts) + 1), np.diff(np.append(starts, len(lines))))
+            if held:
+                number = np.concatenate([np.full(len(held[1]), 1 if goes_on else 0), number])
+                each = [pa.concat_arrays([held[0], each[0]]), *[np.concatenate(pair) for pair in zip(held[1:], each[1:], strict=True)]]
+            order = np.lexsort((each[1], number))
+            number, line = number[order], each[1][order]
+            heads = np.flatnonzero(np.concatenate([[True], (number[1:] != number[:-1]) | (line[1:] != line[:-1])]))
+            found = [each[0].take(pa.array(order[heads])), line[heads], *[step.reduceat(values[order], heads) for step, values in zip((np.add, np.minimum, np.logical_or), each[2:], strict=True)]]
+            still = (number[heads] == len(starts)) & np.isin(found[1], [open_line[0] for open_line in last.lines])
+            held, done = ([found[0].filter(pa.array(which)), *[values[which] for values in found[1:]]] for which in (still, ~still))
+            yield told(*done)
+        if held:
+            yield told(*held)
+
+    return sorted_cells.mapInArrow(run, f"page {kind}, line int, cells long, first_cell long").withColumnRenamed("page", page)
+
+
 def line_texts(lined: DataFrame, page: str, cell: str, text: str = "text", between: str = " | ") -> DataFrame:
     """(page, line, text) of cells with lines: their trimmed texts from left to right, blank ones apart; lines without any go.
 

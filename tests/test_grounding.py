@@ -398,3 +398,62 @@ def test_tables_are_dealt_out_before_their_cells(spark, sf):
 def test_cells_are_made_after_their_page_is_dealt_out(spark, sf):
     plan = plans.first_cell_lines(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(l_orderkey" in plan and "hashpartitioning(page" not in plan.split("MapInArrow")[1]
+
+
+@pytest.mark.parametrize(("rule", "terms"), RULES)
+@pytest.mark.parametrize(("at_once", "few"), [(1, 1), (7, 1), (50, 3), (1 << 17, 1), (1 << 17, 1 << 30)])
+def test_pages_side_by_side_are_folded_as_each_alone(monkeypatch, rule, terms, at_once, few):
+    import pyarrow as pa
+
+    monkeypatch.setattr(L, "AT_ONCE", at_once)
+    monkeypatch.setattr(L, "FEW", few)
+    rnd = random.Random(at_once + few)
+    rows = []
+    for page in (None, 3, 4, 9, 11):
+        cells = [(None if rnd.random() < 0.1 else rnd.randrange(60) / 2, rnd.randrange(1, 12) * 1.0, rnd.randrange(40) * 1.0) for _ in range(rnd.choice((1, 5, 40)))]
+        rows += [(page, *c, c[2] + 9.0) for c in cells]
+    key, y, h, x0, x1 = zip(*rows, strict=True)
+    held = pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), *[pa.array(c, pa.float64()) for c in (y, h, x0, x1)]], names=["p", "y", "h", "x0", "x1"])
+    batches = [held.slice(at, 3) for at in range(0, len(rows), 3)]
+    places = [1, 2, 3, 4] if rule.overlap else [1, 2]
+    found = [int(n) for _, _, lines, *_ in L._numbered(iter(batches), rule, 0, places) for n in lines]
+    want, current, state = [], object(), None
+    for page, *cell in zip(*[held.column(i).to_pylist() for i in (0, *places)], strict=True):
+        if page != current:
+            current, state = page, L.Page(rule)
+        want.append(state.line(*cell))
+    assert found == want
+
+
+def test_line_sizes_are_those_of_the_lines(spark, sf):
+    from pyspark.sql import functions as F
+
+    cells = plans._cells(spark, sf).where("page < 300").withColumn("page", F.when(F.col("page") % 7 > 0, F.col("page") % 40)).withColumn("y0", F.when(F.col("cell") % 5 > 0, F.col("y0"))).withColumn("cell", F.when(F.col("cell") % 9 > 0, F.col("cell")))
+    for rule in (L.TEXT, L.PRIVATE):
+        want = L.visual_lines(cells, "page", "cell", rule).groupBy("page", "line").agg(F.count("*").alias("cells"), F.min("cell").alias("first_cell"))
+        found = L.line_sizes(cells, "page", "cell", rule)
+        assert found.columns == want.columns
+        assert Counter((r["page"], r["line"], r["cells"]) for r in found.collect()) == Counter((r["page"], r["line"], r["cells"]) for r in want.collect())
+    assert L.line_sizes(cells.limit(0), "page", "cell").collect() == []
+
+
+@pytest.mark.parametrize("at_once", [1, 5, 1000])
+def test_line_sizes_across_batches(spark, monkeypatch, at_once):
+    import pyarrow as pa
+
+    cells = spark.createDataFrame([(p, i, 10.0 * (i % 4), 5.0 * (i // 3), 10.0 * (i % 4) + 8, 5.0 * (i // 3) + 6) for p in (1, 2, 3) for i in range(30)], "page long, cell long, x0 double, y0 double, x1 double, y1 double").coalesce(1)
+    monkeypatch.setattr(L, "AT_ONCE", at_once)
+    taken = {}
+    monkeypatch.setattr(type(cells), "mapInArrow", lambda self, run, kinds: taken.setdefault("f", (self, run)) and self)
+    L.line_sizes(cells, "page", "cell", L.PRIVATE)
+    monkeypatch.undo()
+    monkeypatch.setattr(L, "AT_ONCE", at_once)
+    frame, run = taken["f"]
+    told = pa.Table.from_batches(list(run(iter(frame.toArrow().to_batches(max_chunksize=3))))).to_pylist()
+    monkeypatch.undo()
+    want = Counter((r["page"], r["line"]) for r in L.visual_lines(cells, "page", "cell", L.PRIVATE).collect())
+    assert Counter({(r["page"], r["line"]): r["cells"] for r in told}) == want and len(told) == len(want)
+
+
+def test_line_sizes_need_no_second_shuffle(spark, sf):
+    assert shuffles(plans.first_cell_lines(spark, sf)) == 1
