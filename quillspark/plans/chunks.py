@@ -34,7 +34,8 @@ STEPS = (("line", 0), ("body", 1), ("clause", 2), ("rest", 3))
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = F.array(*[F.struct((F.col("pos") + i).alias("pos"), F.col(c).alias("text")) for c, i in STEPS])
-    return ORDERS.rows(spark, sf_dir).select("customer", F.inline(rows))
+    # Dealt out by customer before four lines are made of each order: the fold needs no other shuffle.
+    return ORDERS.rows(spark, sf_dir).repartition("customer").select("customer", F.inline(rows))
 
 
 FOLD = f"""

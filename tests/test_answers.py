@@ -172,3 +172,39 @@ def test_texts_are_read_once_a_sample(spark, sf):
         assert plan.count("AS numbers") == 1
     plain = A.field_causes(fields.drop("numbers", "words")).select("sample", "field", "equal", "code")
     assert plain.exceptAll(A.field_causes(fields).select("sample", "field", "equal", "code")).isEmpty()
+
+
+def test_statutes_are_dealt_out_once(spark, sf):
+    from quillspark.plans.chunks import statute_chunks
+
+    plan = statute_chunks(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Window" not in plan and "Aggregate" not in plan
+
+
+def test_chunks_of_documents_across_batches(spark):
+    rows = [(d, i, f"제 {i} {'장절항'[i // 5 % 3]} t" if i % 5 == 0 else " 1.2.3.4 deep" if i % 11 == 0 else f"line {i} of the document" if i % 7 else " ") for d in (None, 1, 2) for i in range(60)]
+    lines = spark.createDataFrame(rows, "doc long, at long, text string")
+    found = []
+    for size in ("10000", "4"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        found.append({(r["doc"], r["chunk"]): tuple(r[2:]) for r in C.section_chunks(lines, "doc", "at", "text", F.lit("T"), target=60).collect()})
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert found[0] == found[1]
+    for doc in (None, 1, 2):
+        chunks = [found[0][doc, i] for i in range(sum(d == doc for d, _ in found[0]))]
+        bodies = [line for c in chunks for line in c[3].split("\n") if not line.startswith("[")]
+        assert bodies == [text.strip() for d, _, text in rows if d == doc and text.strip()]
+        assert chunks[0][:3] == ("제 0 장 t", ["제 0 장 t"], 1)
+    held = {tuple(c[1]): c[2] for c in found[0].values()}
+    assert held["제 15 장 t", "제 20 절 t", "1.2.3.4 deep"] == 4 and ("제 15 장 t", "제 20 절 t", "제 25 항 t") in held
+
+
+def test_heading_levels_of_odd_lines(spark):
+    from quillspark.functions.text import heading_level
+
+    lines = {
+        "제 3 장 총칙": 1, "제3절": 2, "  제 1 항": 3, "제 1 장정": 2, "제 조": None, "| - 결론 : -": 2, "1 a": 1, "1.2) b": 2, "1.2.3.4. c": 4, "1.2.3.4.5 c": None, "12": None, "1.2": None, "１ a": None,
+        "INTRO TEXT": 2, "Abc def": None, "ABC": 2, "AB": None, "-·학력·-": 2, "학력사항 및 기타": 2, "a | b": None, "METHODS | |": 2, "학력 | b | c": None, "1 a | b | c": None, "": None, " |:- ": None, "1\u3000a\nb": 1, "A" * 42: None, "1 " + "x" * 99: None, "1 " + "x" * 98: 1,
+    }
+    found = spark.createDataFrame([(x,) for x in lines], "x string").select("x", heading_level(F.col("x")).alias("level"))
+    assert {r["x"]: r["level"] for r in found.collect()} == lines
