@@ -18,6 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 @dataclass(frozen=True)
@@ -47,8 +48,8 @@ PRIVATE = LineRule(look_back=4, share=0.7, least=5.0, middle="first")
 RECEIPT = LineRule(look_back=3, share=0.75, middle="median", overlap=0.25, by_top=False, least_height=0.0)
 
 
-#: Cells and bytes that a task takes at a time, and pages below which it goes cell by cell.
-AT_ONCE, AT_ONCE_BYTES, FEW = 1 << 17, 1 << 26, 16
+#: Cells and bytes that a task takes at a time, pages below which it goes cell by cell, and cells of a line from which it does so where a rule keeps all of them.
+AT_ONCE, AT_ONCE_BYTES, FEW, WIDE = 1 << 17, 1 << 26, 16, 64
 
 
 class Page:
@@ -129,38 +130,55 @@ def _side_by_side(rule: LineRule, starts: np.ndarray, ends: np.ndarray, columns:
     """(lines, state of the last page) of pages given by the places of their cells; `before` is the state that the first page goes on from.
 
     The i-th cells of all pages are placed together, the longest pages first.  A line is in a column, the latest on top, and
-    each number comes by the same steps as in `Page`, which takes what is left of the longest pages, and rules by overlap, medians or given distances.
+    each number comes by the same steps as in `Page`, which takes what is left of the longest pages, or once a line is wide, and rules by given distances.
+    Rules by overlap or medians keep the open lines' cells: tops of a pile of places, heights and ends, without a number where a line has fewer.
     """
     order = np.argsort(starts - ends, kind="stable")
     at, left, pages = starts[order], (ends - starts)[order], len(starts)
     lines = np.empty(len(columns[0]), np.int32)
-    place, high, size, number = np.zeros((rule.look_back, pages)), np.zeros((rule.look_back, pages)), np.zeros((rule.look_back, pages)), np.zeros((rule.look_back, pages), np.int64)
+    place, high = np.zeros((rule.look_back, pages)), np.zeros((rule.look_back, pages))
+    size, number = np.zeros((rule.look_back, pages), np.int64), np.zeros((rule.look_back, pages), np.int64)
     made, following = np.zeros(pages, np.int64), np.zeros(pages, np.int64)
+    by_cells, crowded = rule.overlap is not None or rule.middle == "median", False
+    room = min(WIDE, max(8, *(line[3] for line in before.lines)) if before is not None and before.lines else min(8, int(left[0]))) if by_cells else 0
+    piles = [np.full((rule.look_back, pages, room), np.nan) for _ in range(4)]
     if before is not None:
         p = int(np.flatnonzero(order == 0)[0])
         made[p], following[p] = len(before.lines), before.next
         for i, line in enumerate(reversed(before.lines)):
             number[i, p], place[i, p], high[i, p], size[i, p] = line[:4]
+            crowded |= by_cells and line[3] >= WIDE
+            if by_cells and not crowded:
+                for pile, values in zip(piles, (line[4], line[5], *zip(*line[6], strict=True)), strict=True):
+                    pile[i, p, : len(values)] = values
 
     def page(p: int) -> Page:
         if order[p] == 0 and before is not None and step == 0:
             return before
         state = Page(rule)
         state.next = int(following[p])
-        state.lines.extend([int(number[i, p]), float(place[i, p]), float(high[i, p]), int(size[i, p]), [], [], []] for i in reversed(range(min(int(made[p]), rule.look_back))))
+        for i in reversed(range(min(int(made[p]), rule.look_back))):
+            ys, hs, lows, highs = (pile[i, p, : int(size[i, p])].tolist() for pile in piles)
+            state.lines.append([int(number[i, p]), float(place[i, p]), float(high[i, p]), int(size[i, p]), sorted(ys), sorted(hs), list(zip(lows, highs, strict=True))])
         return state
 
-    step, active, alone = 0, pages, rule.overlap is not None or rule.within or rule.middle == "median"
+    step, alone = 0, bool(rule.within)
     if not alone:
         middle, height = (c.to_numpy(zero_copy_only=False) for c in columns[:2])
+        ends_of = [c.to_numpy(zero_copy_only=False) for c in columns[2:4]] if rule.overlap is not None else []
         unplaced = columns[0].is_null().to_numpy(zero_copy_only=False) if columns[0].null_count else None
         age = np.arange(rule.look_back)[:, None]
-    while not alone and (active := int(np.searchsorted(-left, -step))) >= FEW:
+    while (active := int(np.searchsorted(-left, -step))) >= FEW and not alone and not crowded:
         here = at[:active] + step
         y, h, low = middle[here], height[here], high[:, :active]
         near = np.where(h < low, h, low) * rule.share
         near = np.where(near > rule.least, near, rule.least)
         fits = ~(np.abs(place[:, :active] - y) > near) & (age < made[:active])
+        cell = [y, h, *(c[here] for c in ends_of)]
+        if rule.overlap is not None:
+            most = int(size[:, :active].max())
+            (x0, x1), (a, b) = (c[:, None] for c in cell[2:]), (pile[:, :active, :most] for pile in piles[2:])
+            fits &= ~(np.minimum(x1, b) - np.maximum(x0, a) > np.minimum(x1 - x0, b - a) * rule.overlap).any(axis=2)
         new = None
         if unplaced is not None:
             fits &= ~unplaced[here]
@@ -177,7 +195,23 @@ def _side_by_side(rule: LineRule, starts: np.ndarray, ends: np.ndarray, columns:
             place[i, p] = (place[i, p] * (n - 1) + y[p]) / n
             high[i, p] = np.where(h[p] > high[i, p], h[p], high[i, p])
             size[i, p] = n
+        if by_cells and len(p):
+            n = size[i, p] = (size[i, p] + 1 if rule.middle != "mean" else size[i, p])
+            most = int(n.max())
+            if most > piles[0].shape[2]:
+                piles = [np.concatenate([pile, np.full(pile.shape, np.nan)], axis=2) for pile in piles]
+            for pile, values in zip(piles, cell, strict=False):
+                pile[i, p, n - 1] = values[p]
+            if rule.middle == "median":
+                for held, pile in ((place, piles[0]), (high, piles[1])):
+                    own, each = np.sort(pile[i, p, :most], axis=1), np.arange(len(p))
+                    held[i, p] = (own[each, (n - 1) // 2] + own[each, n // 2]) / 2
+            crowded = most >= WIDE
         p = np.flatnonzero(~found if new is None else ~found & new)
+        for pile, values in zip(piles if by_cells else [], cell, strict=False):
+            pile[1:, p] = pile[:-1, p]
+            pile[0, p] = np.nan
+            pile[0, p, 0] = values[p]
         for held, value in ((number, told), (place, y), (high, h), (size, np.ones(active))):
             held[1:, p] = held[:-1, p]
             held[0, p] = value[p]
@@ -277,6 +311,26 @@ def line_sizes(cells: DataFrame, page: str, cell: str, rule: LineRule = TEXT) ->
     return sorted_cells.mapInArrow(run, f"page {kind}, line int, cells long, first_cell long").withColumnRenamed("page", page)
 
 
+@F.arrow_udf(T.ArrayType(T.ArrayType(T.IntegerType())))
+def receipt_lines(cells: pa.Array) -> pa.Array:
+    """The lines, by `RECEIPT`, of pages that are held whole: for each line from 0 down the places, from 0, of its cells in the page's array.
+
+    Cells are structs of numbers: level, h, x0, x1 and cell.  Those at one level go by x0, then by cell.
+    """
+    sizes = pc.list_value_length(cells).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    starts, page = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(sizes)), sizes)
+    level, h, x0, x1, cell = cells.flatten().flatten()
+    order = np.lexsort([c.to_numpy(zero_copy_only=False) for c in (cell, x0, level)] + [page])
+    some = np.flatnonzero(sizes)
+    lines = _side_by_side(RECEIPT, starts[some], (starts + sizes)[some], [c.take(pa.array(order)) for c in (level, h, x0, x1)], None)[0] if len(some) else np.empty(0, np.int32)
+    by_line = np.lexsort((lines, page))
+    line, own = lines[by_line], page[by_line]
+    heads = np.flatnonzero(np.concatenate([[True], (line[1:] != line[:-1]) | (own[1:] != own[:-1])])) if len(own) else np.empty(0, np.int64)
+    places = pa.array((order[by_line] - starts[own]).astype(np.int32))
+    each = pa.ListArray.from_arrays(pa.array(np.append(heads, len(own)).astype(np.int32)), places)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(own[heads], minlength=len(sizes)))]).astype(np.int32)), each)
+
+
 def line_texts(lined: DataFrame, page: str, cell: str, text: str = "text", between: str = " | ") -> DataFrame:
     """(page, line, text) of cells with lines: their trimmed texts from left to right, blank ones apart; lines without any go.
 

@@ -8,10 +8,12 @@ import re
 from collections import Counter, defaultdict
 from statistics import median
 
+import pyarrow as pa
 import pytest
 
 from quillspark.operators import grounding as N
 from quillspark.operators import lines as L
+from quillspark.operators import receipts as R
 from quillspark.plans import grounding as plans
 
 
@@ -457,3 +459,39 @@ def test_line_sizes_across_batches(spark, monkeypatch, at_once):
 
 def test_line_sizes_need_no_second_shuffle(spark, sf):
     assert shuffles(plans.first_cell_lines(spark, sf)) == 1
+
+
+def test_receipts_are_dealt_out_once_for_grounding(spark, sf):
+    """Cells and items each come from one shuffle by receipt, nothing is written between, and only what was told is dealt out again, by row of numbers."""
+    plan = plans.grounded_items(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "written-" not in plan and "Broadcast" not in plan
+    assert plan.count("Exchange hashpartitioning(receipt") == 3 and plan.count("Exchange hashpartitioning(l_partkey") == 4
+
+
+@pytest.mark.parametrize("wide", [1, 5, 64])
+def test_lines_of_receipts_held_whole(spark, monkeypatch, wide):
+    monkeypatch.setattr(L, "WIDE", wide)
+    rng = random.Random(5)
+    pages = [[(float(y := rng.randrange(40)), rng.randrange(1, 12) / 1.0, float(x := rng.randrange(60)), x + rng.randrange(1, 20) / 1.0, i) for i in range(rng.choice([0, 1, 3, 20, 90]))] for _ in range(60)]
+    pages[7] = None
+    kind = pa.list_(pa.struct([("level", pa.float64()), ("h", pa.float64()), ("x0", pa.float64()), ("x1", pa.float64()), ("cell", pa.int64())]))
+    names = ("level", "h", "x0", "x1", "cell")
+    held = pa.array([p and [dict(zip(names, c, strict=True)) for c in p] for p in [[], *pages]], kind).slice(1)
+    for page, got in zip(pages, L.receipt_lines.func(held).to_pylist(), strict=True):
+        fold, lines = L.Page(L.RECEIPT), defaultdict(list)
+        for i in sorted(range(len(page or [])), key=lambda i: (page[i][0], page[i][2], page[i][4])):
+            lines[fold.line(*page[i][:4])].append(i)
+        assert [sorted(line) for line in got] == [sorted(lines[k]) for k in range(len(lines))]
+
+
+@pytest.mark.parametrize("at_once", [1, 7, 1 << 19])
+@pytest.mark.parametrize(("least", "short"), [(0.6, 0), (0.88, 4)])
+def test_close_pairs_are_those_of_the_plain_ratio(monkeypatch, at_once, least, short):
+    monkeypatch.setattr(R, "PAIRS", at_once)
+    rng = random.Random(1)
+    text = lambda: None if rng.random() < 0.1 else "".join(rng.choices("abcde한", k=rng.randrange(9)))
+    keys, others = ([None if rng.random() < 0.1 else [text() for _ in range(rng.randrange(6))] for _ in range(150)] for _ in range(2))
+    found = R._close(*(pa.array(x, pa.list_(pa.string())) for x in (keys, others)), least, short).to_pylist()
+    for k, o, got in zip(keys, others, found, strict=True):
+        scored = [(i, j, 1.0 if a == b else difflib.SequenceMatcher(None, a, b).ratio(), a == b or min(len(a), len(b)) >= short) for i, a in enumerate(k or []) for j, b in enumerate(o or []) if a is not None and b is not None]
+        assert [(p["i"], p["j"], p["score"]) for p in got] == [(i, j, s) for i, j, s, open_ in scored if s >= least and open_]
