@@ -118,3 +118,16 @@ def test_titles(spark):
     found = {r["x"]: r["s"] for r in rows.select("x", T.title_score(F.col("x"), F.col("i")).alias("s")).collect()}
     assert found[lines[1]] == len(lines[1]) + 35 and found[lines[0]] == len(lines[0]) + 20
     assert all(found[x] is None for x in lines[2:])
+
+
+def test_items_are_matched_without_a_broadcast_of_parts(spark, sf):
+    """Both sides come from one shuffle by receipt; nothing else is dealt out, and nothing is sent to the driver."""
+    plan = QUERIES["matched_items"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.count("Exchange hashpartitioning(id") == 2 and plan.count("Exchange") == 6
+
+
+def test_items_without_a_receipt_are_counted_only(spark):
+    want = spark.createDataFrame([(None, 0, "a", 1.0, 1.0, 1.0)] * 2, "id int, index int, name string, quantity double, unit_price double, total_amount double")
+    said = want.limit(1).withColumnRenamed("index", "said_index")
+    assert P.match_items(want, said, "id").collect() == []
+    assert sorted((r["n_expected"], r["n_said"], r["name_f1"], r["quantity"]) for r in P.item_scores(want, said, "id").collect()) == [(0, 1, 0.0, 0.0), (2, 0, 0.0, 0.0)]
