@@ -6,10 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions.numbers import separator_lost
-from quillspark.functions.text import compact
+from quillspark.functions.text import all_but, compact
 from quillspark.operators.grounding import likeness
 from quillspark.operators.receipts import canonical_category
-from quillspark.session import checkpointed
 
 # Numeric fields, labels that stand before them, words that tell of a category, and letters read for digits.
 NUMBERS = ("quantity", "unit_price", "total_amount", "supply_amount", "tax_amount", "total_quantity", "discount_amount")
@@ -72,10 +71,11 @@ ITEM_CODES = {"quantity": "QUANTITY_ERROR", "unit_price": "UNIT_PRICE_ERROR", "t
 
 def as_amount(value: Column) -> Column:
     """A number of two decimals from text with units and commas; null if it holds none."""
-    left = F.regexp_replace(value, "[^0-9.+-]", "")
+    left = F.regexp_replace(value, f"{all_but('0-9.+-', hangul=False)}+", "")
     # A cast that fails costs an exception, so only what is a number comes to it.
     whole = F.try_element_at(F.regexp_extract_all(left, F.lit(r"^[+-]?(?:\d+\.?\d*|\.\d+)$"), 0), F.lit(1))
-    return F.round(whole.try_cast("double"), 2)
+    # Most are plain digits, which need none of this.
+    return F.when(value.rlike(r"^\d{1,15}$"), value.cast("double")).otherwise(F.round(whole.try_cast("double"), 2))
 
 
 def numbers_in(text: Column) -> Column:
@@ -122,14 +122,20 @@ def date_in(text: Column, date: Column) -> Column:
 
 def similar(a: Column, b: Column) -> Column:
     """Whether one text holds the other, letters and digits alone, or they are alike."""
-    x, y = compact(a), compact(b)
+    return _similar(compact(a), compact(b))
+
+
+def _similar(x: Column, y: Column) -> Column:
     both = (x != "") & (y != "")
     return F.coalesce(both & (F.contains(x, y) | F.contains(y, x) | (likeness(F.when(both, x), F.when(both, y), ALIKE) >= ALIKE)), F.lit(False))
 
 
 def confused(expected: Column, observed: Column) -> Column:
     """Whether two names differ only in letters that are read for digits."""
-    a, b = compact(expected), compact(observed)
+    return _confused(compact(expected), compact(observed))
+
+
+def _confused(a: Column, b: Column) -> Column:
     return F.coalesce((a != "") & (b != "") & (a != b) & a.rlike("[0-9]") & (F.translate(a, CONFUSED, MEANT) == F.translate(b, CONFUSED, MEANT)), F.lit(False))
 
 
@@ -154,7 +160,7 @@ def field_causes(rows: DataFrame) -> DataFrame:
     category = (F.col("field") == "expense_category") & F.coalesce(F.col("_category") == canonical_category(F.col("actual")), F.lit(False))
     step = step.withColumn("_alike", ~number & (((F.col("_ce") != "") & (F.col("_ce") == F.col("_ca"))) | category))
     loose = ~F.col("field").isin("merchant", "transaction_date") & ~number
-    equal = F.when(number, same_amount(F.col("_e"), F.col("_a"))).when(F.col("field") == "transaction_date", same_date(F.col("expected"), F.col("actual"))).otherwise(F.col("_alike") | (loose & similar(F.when(loose, F.col("expected")), F.when(loose, F.col("actual")))))
+    equal = F.when(number, same_amount(F.col("_e"), F.col("_a"))).when(F.col("field") == "transaction_date", same_date(F.col("expected"), F.col("actual"))).otherwise(F.col("_alike") | (loose & _similar(F.when(loose, F.col("_ce")), F.when(loose, F.col("_ca")))))
     held = F.when(number, _among(F.col("numbers"), F.col("_e"))).otherwise(F.coalesce((F.col("_ce") != "") & F.contains(F.col("words"), F.col("_ce")), F.lit(False)))
     step = step.withColumns({"equal": F.coalesce(equal, F.lit(False)), "_held": held, "_empty": F.coalesce(F.col("expected"), F.lit("")) == ""})
     lost = (F.col("field") == "total_quantity") & separator_lost(F.col("_e"), F.col("_a")) & F.col("_held")
@@ -191,19 +197,21 @@ def item_causes(rows: DataFrame) -> DataFrame:
     fields = ("quantity", "unit_price", "total_amount")
     step = _read(rows).withColumn("_seen", F.coalesce("model", "final"))
 
-    def read(name: Column) -> Column:
-        bare = compact(name)
+    def read(bare: Column) -> Column:
         return F.coalesce((bare != "") & F.contains(F.col("words"), bare), F.lit(False))
 
-    step = step.withColumns({"_named": read(F.col("truth.name")), "_told": F.coalesce(F.col("_seen"), F.col("truth")).isNotNull() & F.col("truth").isNotNull()})
+    # Names are made bare once; those that are told alike needn't be again.
+    bared = lambda name: F.when(name == F.col("truth.name"), F.col("_truth")).otherwise(compact(name))
+    step = step.withColumn("_truth", compact(F.col("truth.name"))).withColumns({"_seen_name": bared(F.col("_seen.name")), "_final_name": bared(F.col("final.name"))})
+    step = step.withColumn("_named", read(F.col("_truth")))
     here, seen = F.col("truth").isNotNull(), F.col("_seen").isNotNull()
     alone = ~here & F.col("model").isNotNull()
     name = F.coalesce(F.col("model.name"), F.lit(""))
-    extra = F.when(name.rlike(DISCOUNT_ITEM), "DISCOUNT_AS_ITEM").when(name.rlike(TOTAL_ITEM), "TOTAL_ROW_AS_ITEM").when(~read(F.col("model.name")) & ~_among(F.col("numbers"), F.col("model.total_amount")), "LLM_HALLUCINATION").otherwise("EXTRA_ITEM")
+    extra = F.when(name.rlike(DISCOUNT_ITEM), "DISCOUNT_AS_ITEM").when(name.rlike(TOTAL_ITEM), "TOTAL_ROW_AS_ITEM").when(~read(F.col("_seen_name")) & ~_among(F.col("numbers"), F.col("model.total_amount")), "LLM_HALLUCINATION").otherwise("EXTRA_ITEM")
     causes = [
         (here & F.col("model").isNull(), F.when(F.col("_named"), "ITEM_MISSING").otherwise("ITEM_TEXT_MISSING"), None),
-        (here & seen & confused(F.col("truth.name"), F.col("_seen.name")) & read(F.col("_seen.name")), F.lit("OCR_CHARACTER_CONFUSION"), "name"),
-        (here & F.coalesce(F.col("truth.name") != F.col("final.name"), F.lit(False)) & (compact(F.col("truth.name")) != "") & (compact(F.col("truth.name")) == compact(F.col("final.name"))), F.lit("SEMANTIC_EQUIVALENCE"), "name"),
+        (here & seen & _confused(F.col("_truth"), F.col("_seen_name")) & read(F.col("_seen_name")), F.lit("OCR_CHARACTER_CONFUSION"), "name"),
+        (here & F.coalesce(F.col("truth.name") != F.col("final.name"), F.lit(False)) & (F.col("_truth") != "") & (F.col("_truth") == F.col("_final_name")), F.lit("SEMANTIC_EQUIVALENCE"), "name"),
         (alone, extra, None),
         (here & F.col("model").isNotNull() & F.col("final").isNull(), F.lit("POSTPROCESSING_DROPPED_CORRECT_ITEM"), None),
         (~here & F.col("model").isNull() & F.col("final").isNotNull(), F.lit("POSTPROCESSING_ADDED_UNSUPPORTED_ITEM"), None),
@@ -249,13 +257,16 @@ def attribute(fields: DataFrame, items: DataFrame, finals: DataFrame) -> tuple[D
     of_items = told.select("sample", scope.alias("scope"), "failed", F.explode_outer("causes").alias("c")).select("sample", F.col("c.code").alias("code"), "scope", F.col("c.field").alias("field"), F.col("failed").alias("wrong"), F.col("c.code").eqNullSafe("OCR_CHARACTER_CONFUSION").alias("_confusion"))
     of_items = of_items.select("sample", "code", "scope", "field", (F.col("wrong") | F.col("_confusion")).alias("wrong"), F.col("code").isin("DECIMAL_SEPARATOR_LOST", "SEMANTIC_EQUIVALENCE").alias("early"))
     of_sums = sums.select("sample", F.explode("causes").alias("code"), F.lit("sample").alias("scope"), F.lit(None).cast("string").alias("field"), F.lit(False).alias("wrong"), F.lit(False).alias("early"))
-    # Dealt by sample once: all that follows groups and joins by it.
-    every = checkpointed(of_fields.select("sample", "code", "scope", "field", "wrong", "early").union(of_items).union(of_sums).repartition("sample"))
-    samples = every.groupBy("sample").agg(F.max("wrong").alias("failed"))
-    kept = every.where("code IS NOT NULL").join(samples, "sample").where("failed OR early").select("sample", "failed", tagged(F.col("code"), F.col("scope"), F.col("field")).alias("t")).distinct()
-    bare = samples.where("failed").join(kept.select("sample").distinct(), "sample", "left_anti").select("sample", "failed", tagged(F.lit("UNKNOWN"), F.lit("sample"), F.lit(None).cast("string")).alias("t"))
-    tags = kept.union(bare).select("sample", "t.*")
-    counts = tags.groupBy("sample", "category").agg(F.count("*").alias("n"), F.count_if(F.col("decision") != "AUTO").alias("unsure"))
-    reports = counts.groupBy("sample").agg(F.min(F.struct((-F.col("n")).alias("n"), "category"))["category"].alias("primary_category"), (F.sum("unsure") > 0).alias("needs_review"), F.sum("n").alias("tags"))
-    reports = samples.join(reports, "sample", "left").select("sample", F.when(F.col("failed"), "FAILED").otherwise("SUCCESS").alias("status"), "primary_category", F.coalesce("needs_review", F.lit(False)).alias("needs_review"), F.coalesce("tags", F.lit(0)).alias("tags"))
+    every = of_fields.select("sample", "code", "scope", "field", "wrong", "early").union(of_items).union(of_sums)
+    # Dealt by sample once: what is told of one stands in one row.
+    found = every.groupBy("sample").agg(F.max("wrong").alias("failed"), F.collect_set(F.when(F.col("code").isNotNull(), F.struct("code", "scope", "field", "early"))).alias("causes"))
+    kept = found.withColumn("causes", F.when(F.col("failed"), F.col("causes")).otherwise(F.filter("causes", lambda c: c["early"])))
+    unknown = F.array(F.struct(F.lit("UNKNOWN").alias("code"), F.lit("sample").alias("scope"), F.lit(None).cast("string").alias("field"), F.lit(False).alias("early")))
+    kept = kept.withColumn("causes", F.when(F.col("failed") & (F.size("causes") == 0), unknown).otherwise(F.col("causes")))
+    tags = kept.select("sample", F.inline("causes")).select("sample", tagged(F.col("code"), F.col("scope"), F.col("field")).alias("t")).select("sample", "t.*")
+
+    stage, sure = (F.create_map(*[F.lit(x) for code, told in CAUSES.items() for x in (code, told[i])]) for i in (0, 1))
+    counted = kept.withColumns({"_stages": F.transform("causes", lambda c: stage[c["code"]]), "needs_review": F.exists("causes", lambda c: sure[c["code"]] < AUTO)})
+    most = F.array_min(F.transform(F.array_distinct("_stages"), lambda s: F.struct((-F.size(F.filter("_stages", lambda t: t == s))).alias("n"), s.alias("category"))))
+    reports = counted.select("sample", F.when(F.col("failed"), "FAILED").otherwise("SUCCESS").alias("status"), most["category"].alias("primary_category"), F.coalesce("needs_review", F.lit(False)).alias("needs_review"), F.coalesce(F.size("causes").cast("long"), F.lit(0)).alias("tags"))
     return tags, reports

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.operators import attribution as A
 from quillspark.plans.registry import StandIn, query
+from quillspark.sources.tables import table
 
 ORDERS = StandIn("orders", {"sample": "o_orderkey", "cust": "cast(o_custkey as string)", "day": "cast(cast(o_orderdate as date) as string)", "total": "cast(floor(o_totalprice) as bigint)", "supply": "cast(floor(o_totalprice / 1.1) as bigint)", "fault": "(o_custkey * 7 + o_orderkey) % 15"})
 LINES = StandIn(
@@ -37,24 +38,30 @@ EXTRAS = {7: "'쿠폰 할인'", 8: "'합계 금액'", 9: "'zzz'", 10: "'Main Bra
 
 def readings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The fields, items and results of all orders, as `attribute` takes them."""
-    lines = LINES.rows(spark, sf_dir)
-    told = lines.selectExpr("sample", "item", "q * price AS amount", "name", "fault", f"{SAID} AS said")
-    of_order = told.groupBy("sample").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item", "said"))), lambda s: s["said"]), "\n").alias("said"), F.min("amount").alias("low"), F.collect_list(F.col("amount").cast("double")).alias("amounts"))
-    orders = ORDERS.rows(spark, sf_dir).join(of_order, "sample", "left").selectExpr("*", f"{HEAD} || coalesce(said, '') AS text")
+    # Lines are dealt out by order before texts and sides are made of them; fields, items and sums are all made of what stands in an order's row.
+    dealt = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity").where("l_orderkey IS NOT NULL").repartition("l_orderkey")
+    kind = "struct<name: string, quantity: double, unit_price: double, total_amount: double>"
+    truth, model, final = (F.expr(e.format(s="named_struct")).cast(kind).alias(n) for n, e in (("truth", TRUTH), ("model", MODEL), ("final", FINAL)))
+    lines = LINES.of(dealt).select("*", F.expr("q * price").alias("amount"), F.expr(SAID).alias("said"), final)
+    of_order = lines.groupBy("sample").agg(F.sort_array(F.collect_list(F.struct("item", "said", "amount", "name", "q", "price", "fault", "final"))).alias("lines"))
+    held = ORDERS.rows(spark, sf_dir).join(of_order.hint("merge"), "sample", "left").withColumns({"said": F.array_join("lines.said", "\n"), "low": F.array_min("lines.amount")})
+    orders = held.withColumn("text", F.expr(f"{HEAD} || coalesce(said, '')"))
+    told = lambda array: F.coalesce(F.filter(array, lambda x: x.isNotNull()), F.array())
+
     rows = F.array(*[F.struct(F.lit(f).alias("field"), F.expr(e).cast("string").alias("expected"), F.expr(a).cast("string").alias("actual"), F.expr(m).cast("string").alias("model")) for f, (e, a, m) in FIELDS.items()])
-    fields = A.read_texts(orders).select("sample", "text", "numbers", "words", F.coalesce("amounts", F.array().cast("array<double>")).alias("item_amounts"), F.when(F.col("fault") == 10, "CALCULATED_TAXABLE").alias("source"), F.inline(rows))
+    amounts = told(F.transform("lines", lambda x: x["amount"].cast("double"))).cast("array<double>")
+    fields = A.read_texts(orders).select("sample", "text", "numbers", "words", amounts.alias("item_amounts"), F.when(F.col("fault") == 10, "CALCULATED_TAXABLE").alias("source"), F.inline(rows))
 
-    texts = A.read_texts(orders.select("sample", "text"))
-    kind = "struct<name: string, quantity: double, unit_price: double, total_amount: double>"
-    sides = [F.expr(e.format(s="named_struct")).cast(kind).alias(n) for n, e in (("truth", TRUTH), ("model", MODEL), ("final", FINAL))]
-    both = lines.select("sample", "item", *sides)
     name = F.expr(f"CASE fault {' '.join(f'WHEN {k} THEN {n}' for k, n in EXTRAS.items())} END")
-    extra = lines.where(F.col("fault").isin(*EXTRAS)).select("sample", (-1 - F.col("item")).alias("item"), F.lit(None).cast(kind).alias("truth"), F.struct(name.alias("name"), F.lit(1.0).alias("quantity"), F.lit(1.0).alias("unit_price"), F.lit(999999999.0).alias("total_amount")).cast(kind).alias("model"), F.lit(None).cast(kind).alias("final"))
-    items = both.union(extra).join(texts.hint("merge"), "sample")
+    own = F.struct("item", truth, model, "final")
+    extra = F.struct((-1 - F.col("item")).alias("item"), F.lit(None).cast(kind).alias("truth"), F.struct(name.alias("name"), F.lit(1.0).alias("quantity"), F.lit(1.0).alias("unit_price"), F.lit(999999999.0).alias("total_amount")).cast(kind).alias("model"), F.lit(None).cast(kind).alias("final"))
+    each = A.read_texts(orders.where("lines IS NOT NULL").select("sample", "text", "lines")).select("sample", "text", "numbers", "words", F.inline("lines"))
+    items = each.select("sample", "text", "numbers", "words", F.inline(F.when(F.col("fault").isin(*EXTRAS), F.array(own, extra)).otherwise(F.array(own))))
 
-    finals = both.where("final IS NOT NULL").groupBy("sample").agg(F.collect_list("final.total_amount").alias("item_amounts"), F.collect_list("final.name").alias("names"))
+    finals = F.filter("lines.final", lambda x: x.isNotNull())
     amount = lambda f: A.as_amount(F.expr(FIELDS[f][1]).cast("string"))
-    whole = orders.join(finals, "sample", "left").select("sample", F.coalesce("item_amounts", F.array().cast("array<double>")).alias("item_amounts"), amount("total_amount").alias("total"), F.lit(None).cast("double").alias("discount"), amount("supply_amount").alias("supply"), (F.col("total") - F.col("supply")).cast("double").alias("tax"), F.coalesce("names", F.array().cast("array<string>")).alias("names"))
+    summed = orders.withColumn("_finals", finals)
+    whole = summed.select("sample", told(F.col("_finals.total_amount")).cast("array<double>").alias("item_amounts"), amount("total_amount").alias("total"), F.lit(None).cast("double").alias("discount"), amount("supply_amount").alias("supply"), (F.col("total") - F.col("supply")).cast("double").alias("tax"), told(F.col("_finals.name")).cast("array<string>").alias("names"))
     return fields, items, whole
 
 

@@ -208,3 +208,37 @@ def test_heading_levels_of_odd_lines(spark):
     }
     found = spark.createDataFrame([(x,) for x in lines], "x string").select("x", heading_level(F.col("x")).alias("level"))
     assert {r["x"]: r["level"] for r in found.collect()} == lines
+
+
+def test_causes_are_dealt_out_once(spark, sf):
+    """Fields, items and sums are made of one row of a sample; what is told of a sample is dealt out once, without a checkpoint."""
+    from quillspark.plans.attribution import failure_reports, failure_tags
+
+    for run in (failure_tags, failure_reports):
+        plan = run(spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert "ExistingRDD" not in plan and "Broadcast" not in plan
+        assert plan.count("Exchange hashpartitioning(l_orderkey") == 3 and plan.count("Exchange hashpartitioning(sample") == 4
+
+
+def test_classes_of_all_but_some_letters(spark):
+    from quillspark.functions.text import all_but, compact
+    from quillspark.operators.grounding import BLANKS
+
+    every = [(i, f"a{chr(i)}1") for i in [*range(0xD800), *range(0xE000, 0x10000), 0x1F600, 0x10FFFF]]
+    rows = spark.createDataFrame(every, "i int, t string")
+    for mine, plain in ((all_but("0-9a-z"), "[^0-9a-z가-힣]"), (all_but("a-z"), "[^a-z가-힣]"), (all_but("0-9.+-", hangul=False), "[^0-9.+-]"), (BLANKS, r"(?U)\s")):
+        assert rows.where(F.regexp_replace("t", f"(?:{mine})+", "_") != F.regexp_replace("t", f"(?:{plain})+", "_")).isEmpty(), plain
+    assert rows.where(compact(F.col("t")) != F.regexp_replace(F.lower("t"), "[^0-9a-z가-힣]", "")).isEmpty()
+    assert spark.createDataFrame([("12",), ("12\n",), ("1234567890123456",), ("12.345",)], "t string").select(A.as_amount(F.col("t")).alias("a")).collect() == [(12.0,), (12.0,), (1234567890123456.0,), (12.35,)]
+
+
+def test_spelling_alone_is_no_failure(spark):
+    field = "sample int, field string, expected string, actual string, model string, source string, text string, item_amounts array<double>"
+    item = "struct<name: string, quantity: double, unit_price: double, total_amount: double>"
+    fields = spark.createDataFrame([(1, "merchant", "A", "A", None, None, "A", []), (2, "merchant", "Shop A", "shop-a", None, None, "shop a", [])], field)
+    one, other = ("tea", 1.0, 2.0, 2.0), ("tea", 1.0, 2.0, None)
+    items = spark.createDataFrame([(1, 0, one, one, other, "tea 1 2 2")], f"sample int, item int, truth {item}, model {item}, final {item}, text string")
+    finals = spark.createDataFrame([], "sample int, item_amounts array<double>, total double, discount double, supply double, tax double, names array<string>")
+    tags, reports = A.attribute(fields, items, finals)
+    assert {(r["sample"], r["code"], r["decision"]) for r in tags.collect()} == {(1, "ITEM_FIELD_MISMATCH", "AUTO"), (2, "SEMANTIC_EQUIVALENCE", "AUTO")}
+    assert {tuple(r) for r in reports.collect()} == {(1, "FAILED", "LLM_ERROR", False, 1), (2, "SUCCESS", "NORMALIZATION_ERROR", False, 1)}
