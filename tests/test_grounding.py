@@ -495,3 +495,28 @@ def test_close_pairs_are_those_of_the_plain_ratio(monkeypatch, at_once, least, s
     for k, o, got in zip(keys, others, found, strict=True):
         scored = [(i, j, 1.0 if a == b else difflib.SequenceMatcher(None, a, b).ratio(), a == b or min(len(a), len(b)) >= short) for i, a in enumerate(k or []) for j, b in enumerate(o or []) if a is not None and b is not None]
         assert [(p["i"], p["j"], p["score"]) for p in got] == [(i, j, s) for i, j, s, open_ in scored if s >= least and open_]
+
+
+def test_receipts_are_dealt_out_once_for_alignment(spark, sf):
+    plan = plans.aligned_items(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.count("Exchange") == 3 and plan.count("Exchange hashpartitioning(receipt") == 1
+
+
+def test_aligned_items_of_the_whole_table(spark, sf):
+    """The query, made of whole receipts, gives what the operator gives for rows of items and names."""
+    from pyspark.sql import functions as F
+
+    cells, items = plans.read_receipts(spark, sf)
+    rows = defaultdict(list)
+    for c in cells.where("cell >= 10 AND cell % 10 < 2 AND x0 < 120").orderBy("cell").collect():
+        rows[c["receipt"], c["cell"] // 10 - 1].append(c["text"])
+    told = [(receipt, row, row // 4, " ".join(texts)) for (receipt, row), texts in rows.items() if (row * 7 + receipt) % 20 > 0]
+    want = N.align_items(items, spark.createDataFrame(told, "receipt long, row int, page int, name string")).withColumn("score", F.round("score", 6))
+    found = plans.aligned_items(spark, sf)
+    assert Counter(map(tuple, found.select("receipt", "index", "row", "score").collect())) == Counter(map(tuple, want.select("receipt", "index", "row", "score").collect()))
+
+
+def test_items_without_a_receipt_are_not_aligned(spark):
+    items = spark.createDataFrame([(None, 0, "green tea"), (1, 0, "green tea"), (1, 60, "green tea"), (1, 1, None)], "receipt int, index int, name string")
+    rows = spark.createDataFrame([(None, 0, 0, "green tea"), (1, 3, 0, "green tea"), (2, 0, 0, "tea")], "receipt int, row int, page int, name string")
+    assert {tuple(r) for r in N.align_items(items, rows).collect()} == {(None, 0, None, None), (1, 0, 3, 1.0), (1, 60, None, None), (1, 1, None, None)}
